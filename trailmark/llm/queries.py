@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_sentencepiece
+from . import op01_sentencepiece, op02_licenses, op04_topk, op06_mixing, op07_rules, op09_sharding, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op01_sentencepiece.query,
+    "op2_license_scan": op02_licenses.query,
+    "op4_exact_topk": op04_topk.query,
+    "op6_mixing": op06_mixing.query,
+    "op7_quality_rules": op07_rules.query,
+    "op9_sharding": op09_sharding.query,
+    "op10_pii": op10_pii.query,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL where it expresses the operator.
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": op04_topk.SQL,
+    "op6_mixing": op06_mixing.SQL,
+}
