@@ -95,8 +95,12 @@ def top_k(
         dim, tile_no = key[0].as_py(), key[1].as_py()
         out: list[tuple[int, list[dict]]] = []
         if c.num_rows and q.num_rows:
-            part = lambda t: (t["vec_id"].to_numpy(), _matrix(t["v"].combine_chunks(), dim))
-            out = list(tile_best(*part(q), *part(c), k))
+            vectors_of = lambda column: _matrix(column.combine_chunks(), dim)
+            out = list(
+                tile_best(
+                    q["q_vec_id"].to_numpy(), vectors_of(q["q_v"]), c["vec_id"].to_numpy(), vectors_of(c["v"]), k
+                )
+            )
         return pa.table(
             {
                 "query_id": pa.array([x[0] for x in out], pa.int64()),
@@ -106,7 +110,9 @@ def top_k(
         )
 
     keys = ["dim", "c_tile", "q_tile"]
-    left, right = left.select(*keys, "vec_id", "v"), right.select(*keys, "vec_id", "v")
+    # names of their own: with shared ones column pruning takes one side's columns for the other's
+    left, right = left.select(*keys, "vec_id", "v"), right.toDF(*[f"q_{c}" for c in right.columns])
+    right = right.select(*[F.col(f"q_{c}").alias(c) for c in keys], "q_vec_id", "q_v")
     lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, PARTIAL)
     first = lambda best: F.slice(
         F.array_sort(
