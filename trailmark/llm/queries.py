@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_sentencepiece, op02_licenses, op04_topk, op06_mixing, op07_rules, op09_sharding, op10_pii
+from . import op01_sentencepiece, op02_licenses, op04_topk, op05_near_dedup, op06_mixing, op07_rules, op09_sharding, op10_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op01_sentencepiece.query,
     "op2_license_scan": op02_licenses.query,
     "op4_exact_topk": op04_topk.query,
+    "op5_near_dedup": op05_near_dedup.query,
     "op6_mixing": op06_mixing.query,
     "op7_quality_rules": op07_rules.query,
     "op9_sharding": op09_sharding.query,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL where it expresses the operator.
 ORACLES: dict[str, str] = {
     "op4_exact_topk": op04_topk.SQL,
+    "op5_near_dedup": op05_near_dedup.query,
     "op6_mixing": op06_mixing.SQL,
 }
