@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_sentencepiece, op02_licenses, op04_topk, op05_near_dedup, op06_mixing, op07_rules, op09_sharding, op10_pii
+from . import (
+    op01_sentencepiece,
+    op02_licenses,
+    op03_ctw,
+    op04_topk,
+    op05_near_dedup,
+    op06_mixing,
+    op07_rules,
+    op09_sharding,
+    op10_pii,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op01_sentencepiece.query,
     "op2_license_scan": op02_licenses.query,
+    "op3_context_tree": op03_ctw.query,
     "op4_exact_topk": op04_topk.query,
     "op5_near_dedup": op05_near_dedup.query,
     "op6_mixing": op06_mixing.query,
