@@ -14,6 +14,7 @@ from . import (
     op05_near_dedup,
     op06_mixing,
     op07_rules,
+    op08_kneser_ney,
     op09_sharding,
     op10_pii,
 )
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op05_near_dedup.query,
     "op6_mixing": op06_mixing.query,
     "op7_quality_rules": op07_rules.query,
+    "op8_kneser_ney": op08_kneser_ney.query,
     "op9_sharding": op09_sharding.query,
     "op10_pii": op10_pii.query,
 }
