@@ -7,12 +7,14 @@ t * DEPTH on, round and round; a region is a run of classes that agree in the fi
 1. All orders are sorted at once (by range, so that no region, however large, meets in one task). Each class takes
    the neighbours with which it shares the longest prefixes, the links are confirmed on full sets, and components
    are formed.
-2. What is left are pairs of different components in one region. A region gives all pairs of members out of its
-   largest component with all its members. Where these are many (a crowded region of unlike texts) depth adapts:
-   its members are ordered anew from every value of the signature and twice as deep.
-3. Those links are confirmed too and joined to the components.
-
-No pair within a component is ever listed, and no region, bucket or partner is capped. A pair of similarity 0.8
+2. What is left are pairs of different components in one region. Each region's members out of its largest component
+   meet all its members, in tiles of BLOCK by BLOCK rows: signatures first tell which rows need their full sets, then
+   the sets decide, and a tile gives one link for each pair of components at most. Where the members out of the
+   largest component are many (a crowded region of unlike texts) depth adapts: they are ordered anew from every value
+   of the signature and twice as deep.
+3. These links join the components.
+
+No table of pairs grows with the square of a group, and no region, bucket or partner is capped. A pair of similarity 0.8
 shares no region of 24 trees with probability 3e-8 (crowded regions, 72 orders twice as deep: 3e-10).
 
 Defined results: documents without words or text have an empty set, are linked with nothing and kept; with fewer
@@ -43,7 +45,9 @@ CROWDED = 256
 MAP_BITS = 1 << 25
 #: Signatures that agree in less than this share are not compared on full sets: for a similarity of 0.8 the chance
 #: is below 1e-9 with 72 values.
-LEAST_AGREEMENT = 0.45
+LEAST_AGREEMENT = 0.5
+#: Rows on either side of a tile.
+BLOCK = 1_024
 SKETCH = "doc_id long,n_shingles long,d1 long,d2 long,signature binary"
 
 _random = np.random.default_rng(20_240_501)
@@ -201,8 +205,8 @@ class _Sets:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    def of(self, ids: DataFrame) -> DataFrame:
+        """id -> id, s for those and, by wrong bits of the map, some more."""
         spark, width = self.docs.sparkSession, self.width
         marks = spark.sparkContext.broadcast(_id_map(ids))
 
@@ -250,7 +254,8 @@ class _Sets:
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return written(self._joined(likely, written(self.of(likely))).mapInArrow(similar, "a long,b long").distinct())
+        ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id")))
+        return written(self._joined(likely, written(self.of(ids))).mapInArrow(similar, "a long,b long").distinct())
 
     @staticmethod
     def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -259,11 +264,64 @@ class _Sets:
         return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
 
 
-def _across(members: DataFrame, labels: DataFrame, percent: int, crowded: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different components in one region, and the members of crowded regions (left out of the pairs).
+TILE = ["tree", "k", "row_block", "column_block"]
+_TILED = "tree int,k long,row_block long,column_block long,is_row boolean,id long,n long,component long,signature binary"
+
+
+def _tiles(batches):
+    """The rows of each tile, from batches sorted by TILE: Arrow columns, cut where the tile changes."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(len(TILE))], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            key = tuple(keys[begin])
+            if held and key != at:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            at = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(tile: pa.Table, depth: int, step: int, percent: int):
+    """Rows and columns of a tile (as places in it), and for each row its agreement with each column, 0 if ruled out.
+
+    Ruled out: the same component, too unlike sizes or signatures, and pairs that share a region of an earlier order,
+    where they have been seen.
+    """
+    is_row = tile["is_row"].to_numpy(zero_copy_only=False)
+    rows, columns = np.flatnonzero(is_row), np.flatnonzero(~is_row)
+    component, n = tile["component"].to_numpy(), tile["n"].to_numpy()
+    sig = np.frombuffer(b"".join(tile["signature"].to_pylist()), np.uint32).reshape(tile.num_rows, -1)
+    order = int(tile["tree"][0].as_py())
+    found = np.zeros((len(rows), len(columns)), np.float32)
+    for begin in range(0, len(rows), 32):
+        r = rows[begin : begin + 32]
+        same = sig[r][:, None, :] == sig[columns][None, :, :]
+        share = same.mean(axis=2, dtype=np.float32)
+        small, large = (f(n[r][:, None], n[columns][None, :]) for f in (np.minimum, np.maximum))
+        fits = (share >= LEAST_AGREEMENT) & (component[r][:, None] != component[columns][None, :]) & (100 * small >= percent * large)
+        for start in range(0, order, step):
+            if not fits.any():
+                break
+            fits &= ~same[:, :, [(start + i) % sig.shape[1] for i in range(depth)]].all(axis=2)
+        found[begin : begin + 32] = np.where(fits, share, 0)
+    return rows, columns, found
+
+
+def _across(
+    members: DataFrame, labels: DataFrame, classes: DataFrame, sets: _Sets, depth: int, step: int, crowded: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """Links between different components in one region, and the members of crowded regions (left out of them).
 
     members: tree, k, id, n. Each region's members out of its largest component meet all its members.
     """
+    percent = sets.percent
     named = members.select("tree", "k", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     named = written(named.withColumn("component", F.coalesce("component", "id")))
     sizes = named.groupBy("tree", "k", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -271,24 +329,67 @@ def _across(members: DataFrame, labels: DataFrame, percent: int, crowded: int |
         sizes.groupBy("tree", "k")
         .agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("all"))
         .where("all > most.m")
-        .select("tree", "k", F.col("most.component").alias("largest"), (F.col("all") - F.col("most.m")).alias("others"))
+        .select("tree", "k", F.col("most.component").alias("largest"), "all", (F.col("all") - F.col("most.m")).alias("others"))
     )
     mixed = written(named.join(regions, ["tree", "k"]))
     full = F.lit(False) if crowded is None else F.col("others") > crowded
-    sparse = mixed.where(~full)
-    few = sparse.where("component <> largest").select(
-        "tree", "k", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
-    )
-    every = sparse.select(
-        F.col("tree").alias("t"), F.col("k").alias("kk"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")
-    )
-    pairs = (
-        few.join(every, (F.col("tree") == F.col("t")) & (F.col("k") == F.col("kk")) & (F.col("ca") != F.col("cb")))
-        .where(_similar_size("na", "nb", percent))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    place = lambda c: F.pmod(F.xxhash64("id"), blocks(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+    sparse = mixed.where(~full).join(classes.select("id", "signature"), "id")
+    rest = ["is_row", "id", "n", "component", "signature"]
+    as_rows = sparse.where("component <> largest").withColumn("row_block", place("others")).withColumn("column_block", every("all"))
+    as_columns = sparse.withColumn("column_block", place("all")).withColumn("row_block", every("others"))
+    tiled = (
+        as_rows.withColumn("is_row", F.lit(True)).select(*TILE, *rest)
+        .union(as_columns.withColumn("is_row", F.lit(False)).select(*TILE, *rest))
+    )
+
+    def likely(batches):
+        for tile in _tiles(batches):
+            rows, columns, found = _candidates(tile, depth, step, percent)
+            keep = np.concatenate([rows[found.any(axis=1)], columns[found.any(axis=0)]])
+            if len(keep):
+                yield from tile.take(pa.array(np.sort(keep))).to_batches()
+
+    needed = written(tiled.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(likely, _TILED))
+    full_sets = written(sets.of(needed.select("id")))
+
+    def similar(batches):
+        for tile in _tiles(batches):
+            rows, columns, found = _candidates(tile, depth, step, percent)
+            values, ids, component = tile["s"].to_pylist(), tile["id"].to_pylist(), tile["component"].to_pylist()
+            unpacked: dict[int, set] = {}
+            linked: set[tuple[int, int]] = set()
+            a, b = [], []
+            for i, row in enumerate(rows):
+                for j in np.argsort(-found[i], kind="stable"):
+                    if found[i, j] <= 0:
+                        break
+                    column = columns[j]
+                    joined = (min(component[row], component[column]), max(component[row], component[column]))
+                    if joined in linked:
+                        continue
+                    for x in (row, column):
+                        if x not in unpacked:
+                            unpacked[x] = set(np.frombuffer(values[x], np.uint64).tolist())
+                    x, y = unpacked[row], unpacked[column]
+                    both = len(x & y)
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        linked.add(joined)
+                        a.append(ids[row])
+                        b.append(ids[column])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    links = (
+        needed.join(full_sets, "id")
+        .select(*TILE, *rest, "s")
+        .repartition(*TILE)
+        .sortWithinPartitions(*TILE)
+        .mapInArrow(similar, "a long,b long")
     )
-    return pairs, mixed.where(full).select("id").distinct()
+    return written(links), mixed.where(full).select("id").distinct()
 
 
 def near_duplicates(
@@ -321,15 +422,13 @@ def near_duplicates(
     links = sets.linked(pairs, classes)
     labels = written(components(links))
 
-    left, packed = _across(members, labels, percent, crowded)
+    further, packed = _across(members, labels, classes, sets, DEPTH, DEPTH, crowded)
     packed = written(packed)
     if packed.head(1):
         deeper = _orders(classes.join(packed, "id", "left_semi"), range(TREES * DEPTH), 2 * DEPTH)
-        more, _ = _across(deeper, labels, percent, None)
-        left = left.union(more).distinct()
-    left = written(left)
-    if left.head(1):
-        further = sets.linked(left, classes)
+        more, _ = _across(deeper, labels, classes, sets, 2 * DEPTH, 1, None)
+        further = further.union(more)
+    if further.head(1):
         label = labels.select("node", "component")
         bridged = (
             further.join(label.toDF("a", "ca"), "a", "left")
