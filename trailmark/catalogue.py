@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trailmark.plans import (  # noqa: F401  they register their queries
+    detection_queries,
+    evaluation_queries,
+    flow_queries,
+    kit_queries,
+    link_queries,
+    source_queries,
+    stream_queries,
+)
+from trailmark.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
