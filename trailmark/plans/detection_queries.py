@@ -131,15 +131,15 @@ def schema_drift(spark, sf_dir):
     return detection.drift(per(rows.where(early)), after)
 
 
-EPISODES_SQL = """marks as (select user_id as target, ts as at, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hours then 0 else 1 end as fresh from events where event_type = 'error'),
-numbered as (select *, sum(fresh) over (partition by target order by at rows unbounded preceding)::bigint as episode from marks)"""
+EPISODES_SQL = """marks as (select user_id as target, ts as "at", case when ts - lag(ts) over (partition by user_id order by ts) <= interval 12 hours then 0 else 1 end as fresh from events where event_type = 'error'),
+numbered as (select *, sum(fresh) over (partition by target order by "at" rows unbounded preceding)::bigint as episode from marks)"""
 
 
 def _marks(spark, sf_dir):
     return _events(spark, sf_dir).where("is_error").select(F.col("user_id").alias("target"), F.col("observed_at").alias("at"))
 
 
-@query("det_episodes", f"with {EPISODES_SQL} select target, episode, min(at) as opened_at, max(at) as last_at, count(*)::bigint as n from numbered group by all")
+@query("det_episodes", f"""with {EPISODES_SQL} select target, episode, min("at") as opened_at, max("at") as last_at, count(*)::bigint as n from numbered group by all""")
 def episodes(spark, sf_dir):
     found = detection.episodes(_marks(spark, sf_dir), "12 hours")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "last_at")})
@@ -194,7 +194,7 @@ def causes(spark, sf_dir):
     "man_hop_score",
     """
     with h as (select event_type as node, avg(case when hour(ts) between 9 and 16 then 1.0 else 0.0 end) as business_share, avg(case when dayofweek(ts) between 1 and 5 then 1.0 else 0.0 end) as weekday_share, avg(case when user_id % 4 > 0 then 1.0 else 0.0 end) as human_share from events group by 1)
-    select node, round(0.25 * (node = 'purchase')::int + 0.2 + 0.2 * (business_share > 0.9)::int + 0.1 * (weekday_share > 0.95)::int + 0.2 * (human_share > 0.7)::int + 0.05, 6) as score,
+    select node, round(0.25 * (node = 'purchase')::int + 0.2 + 0.2 * (business_share > 0.9)::int + 0.1 * (weekday_share > 0.95)::int + 0.2 * (human_share > 0.7)::int + 0.05, 6)::double as score,
            0.25 * (node = 'purchase')::int + 0.2 + 0.2 * (business_share > 0.9)::int + 0.1 * (weekday_share > 0.95)::int + 0.2 * (human_share > 0.7)::int + 0.05 >= 0.7 as likely_manual from h""",
 )
 def hop_score(spark, sf_dir):

@@ -16,10 +16,10 @@ hops as (select txn, node as from_node, to_node, observed_at, epoch(next_at) - e
 
 @query(
     "asm_hub_tokens",
-    f"with {IDENTIFIERS_SQL} select system, field, observed_at::date as day, count(distinct event_key)::bigint as events from ids where observed_at is not null group by system, field, token, observed_at::date having count(distinct event_key) > 2",
+    f"with {IDENTIFIERS_SQL} select system, field, observed_at::date as day, count(distinct event_key)::bigint as events from ids where observed_at is not null group by system, field, token, observed_at::date having count(distinct event_key) > 1",
 )
 def hub_tokens(spark, sf_dir):
-    return assembly.hub_tokens(identifiers(spark, sf_dir), 2).select("system", "field", "day", "events")
+    return assembly.hub_tokens(identifiers(spark, sf_dir), 1).select("system", "field", "day", "events")
 
 
 @query(

@@ -45,9 +45,9 @@ def sliding(spark, sf_dir):
 @query(
     "str_session_episodes",
     """
-    with m as (select user_id as target, ts as at, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as fresh from events where event_type = 'error'),
-    n as (select *, sum(fresh) over (partition by target order by at rows unbounded preceding) as episode from m)
-    select target, min(at) as opened_at, max(at) + interval 12 hours as closes_at, count(*)::bigint as n from n group by target, episode""",
+    with m as (select user_id as target, ts as "at", case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as fresh from events where event_type = 'error'),
+    n as (select *, sum(fresh) over (partition by target order by "at" rows unbounded preceding) as episode from m)
+    select target, min("at") as opened_at, max("at") + interval 12 hours as closes_at, count(*)::bigint as n from n group by target, episode""",
 )
 def session_episodes(spark, sf_dir):
     marks = _stream(spark, sf_dir).where("is_error").select(F.col("entity").alias("target"), F.col("observed_at").alias("at"))
