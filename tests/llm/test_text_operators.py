@@ -1,0 +1,199 @@
+"""Operators that judge each text by itself, against plain Python."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+
+from trailmark.llm import op01_sentencepiece, op02_licenses, op07_rules, op10_pii
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def compare(df, docs, expected):
+    got = sorted((tuple(r) for r in df.collect()), key=repr)
+    assert got == sorted((expected(d["doc_id"], d["text"] or "") for d in docs.collect()), key=repr)
+
+
+def test_encoding_is_the_library_s(odd_docs):
+    lib = op01_sentencepiece.encoder(MODEL).library
+
+    def expected(doc_id, text):
+        ids = lib.encode(text)
+        return doc_id, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids))
+
+    compare(op01_sentencepiece.encode_documents(odd_docs, MODEL), odd_docs, expected)
+
+
+def test_encoding_of_random_strings():
+    e, r = op01_sentencepiece.encoder(MODEL), random.Random(1)
+    pieces = [*e.id, *[" ", "  ", "\n", "\t", "é", "日", "\U0001f600", "▁", "\0", "<0x41>", "</s>"] * 200]
+    for _ in range(4_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
+        assert e.encode(text) == e.library.encode(text), text
+    for n in (*range(40), 999):
+        for text in (" " * n, " " * n + "the", "a" * n, "\n" * n):
+            assert e.encode(text) == e.library.encode(text)
+
+
+def test_one_token_ends_each_prefix():
+    e = op01_sentencepiece.encoder(MODEL)
+    word = "▁interconnectedness"
+    for end in range(1, len(word) + 1):
+        prefix, ends = word[:end], 0
+        for at, token in e.automaton.iter(prefix):
+            if at + 1 == end:
+                start = end - e.length[token]
+                before = e.encode_chunk(prefix[:start])[-1] if start else None
+                ends += before is None or e.compatible(e.piece[before], e.piece[token])
+        assert ends == 1
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(d[::-1])) % 10 == 0
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    return (
+        [("email", *m.span()) for m in EMAIL.finditer(text)]
+        + [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        + [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m)) <= 19 and plain_luhn(digits(m))]
+        + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    )
+
+
+def test_personal_data_base(odd_docs):
+    def expected(doc_id, text):
+        own = plain_spans(text)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
+        return (doc_id, *[sum(x[0] == k for x in own) for k in op10_pii.BASE], sha(joined))
+
+    compare(op10_pii.find_personal_data(odd_docs).drop("spans"), odd_docs, expected)
+
+
+def test_personal_data_random_strings():
+    r = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(r.choice("ab@@..--1234 +()%é") for _ in range(r.randint(0, 30)))
+        assert plain_spans(text) == op10_pii.base_spans(text), text
+
+
+def test_added_spans_need_checksum_or_context():
+    kinds = lambda t: [x[0] for x in op10_pii.added_spans(t)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["iban"] and not kinds("IBAN DE89 3704 0044 0532 0130 01")
+    assert kinds("ssn 123-45-6789") == ["ssn"] and not kinds("part 123-45-6789")
+    assert kinds("call (599) 555-3756 now") == ["tel"] and not kinds("code 599 555 3756")
+
+
+def test_masking(odd_docs):
+    assert op10_pii.masked("a bob@example.com b") == "a <EMAIL> b"
+    masked = op10_pii.mask_personal_data(odd_docs)
+    assert masked.columns == odd_docs.columns and masked.count() == odd_docs.count()
+    row = masked.where("doc_id = 7").first()
+    assert "bob" not in row["text"] and "4111" not in row["text"] and row["n_chars"] == len(row["text"])
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_license_base(odd_docs):
+    def expected(doc_id, text):
+        words = WORDS.findall(text.translate(LOWER))
+        found = [
+            (i, label)
+            for phrase, label in op02_licenses.PHRASES.items()
+            for i in range(len(words))
+            if words[i : i + len(phrase.split())] == phrase.split()
+        ]
+        starts = [i for i, _ in found]
+        labels = ",".join(sorted({x for _, x in found}))
+        return doc_id, len(words), len(found), min(starts, default=None), max(starts, default=None), labels
+
+    compare(op02_licenses.scan_licenses(odd_docs).drop("labels", "score", "spans"), odd_docs, expected)
+
+
+def test_license_search_finds_edited_notices():
+    search = op02_licenses.NoticeSearch()
+    text = b"some words licensd under the apache licence version 2 0 more"
+    assert [(h[0], h[3]) for h in search.search(text)] == [("apache", 2)]
+    assert search.search(b"nothing of the kind under the sun") == []
+
+
+def test_license_search_misses_nothing_within_its_edits():
+    search, r = op02_licenses.NoticeSearch(), random.Random(3)
+    for notice, label, k in search.notices:
+        for _ in range(20):
+            text = bytearray(notice)
+            for _ in range(r.randint(0, k)):
+                at = r.randrange(len(text))
+                text[at : at + r.randint(0, 1)] = bytes([r.choice(b"abcxyz")]) if r.random() < 0.7 else b""
+            hits = search.search(b"before " + bytes(text) + b" after")
+            distance = min((h[3] for h in hits if h[0] == label), default=None)
+            assert distance is not None or any(h[3] <= k for h in hits), (label, bytes(text))
+
+
+def plain_statistics(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    seen = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if seen[w] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (
+        doc_id, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered),
+    )
+
+
+def test_rule_statistics(odd_docs):
+    compare(op07_rules.statistics(odd_docs), odd_docs, plain_statistics)
+
+
+def test_repeated_words_random():
+    r = random.Random(4)
+    for _ in range(3_000):
+        words = [r.choice("abc") for _ in range(r.randint(0, 12))]
+        assert op07_rules.repeated_words([w.encode() for w in words]) == plain_statistics(0, " ".join(words))[5]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(i, 0 if i % 3 == 0 else 1, 0) for i in range(300)] + [(None, 1, None), (5, None, 0), (6, 0, 0), (6, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_decision_list_learns_and_explains(spark, labels, words):
+    r = random.Random(8)
+    text = lambda i: " ".join(r.choice(words) + ("###" if i % 3 == 0 else "") for _ in range(80))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    rules = op07_rules.fit_decision_list(docs, labels)
+    assert rules.rules and "symbols_per_word" in str(rules.rules[0])
+    kept = {r["doc_id"] for r in op07_rules.apply_rules(docs, rules).where("kept").collect()}
+    assert kept == {i for i in range(300) if i % 3}
+
+
+def test_rules_without_labels(spark, odd_docs, labels, no_docs):
+    nothing = op07_rules.fit_decision_list(odd_docs, labels.limit(0))
+    out = op07_rules.apply_rules(odd_docs, nothing)
+    assert out.where("kept = base_failed").count() == 0
+    assert op07_rules.apply_rules(no_docs, op07_rules.fit_decision_list(no_docs, labels)).count() == 0
+
+
+def test_empty_tables(no_docs):
+    assert op01_sentencepiece.encode_documents(no_docs, MODEL).count() == 0
+    assert op02_licenses.scan_licenses(no_docs).count() == 0
+    assert op10_pii.find_personal_data(no_docs).count() == 0
+    assert op10_pii.mask_personal_data(no_docs).count() == 0

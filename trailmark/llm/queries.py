@@ -35,6 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL where it expresses the operator.
 ORACLES: dict[str, str] = {
     "op4_exact_topk": op04_topk.SQL,
-    "op5_near_dedup": op05_near_dedup.query,
     "op6_mixing": op06_mixing.SQL,
 }
