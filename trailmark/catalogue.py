@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trailmark.plans import (  # noqa: F401  they register their queries
+    analyze_queries,
     detection_queries,
     evaluation_queries,
     flow_queries,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import xml.etree.ElementTree as tree
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,79 +18,72 @@ MAX_DEPTH, MAX_ITEMS, MAX_FIELDS, MAX_KEY = 12, 20, 1024, 256
 ACCESS = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+)[^"]*" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_json(texts):
-    """Dotted paths to text; arrays by index; nulls left out; null for what is no JSON object."""
-    import json
-
-    import pandas as pd
-
-    def shown(v) -> str:
-        return "true" if v is True else "false" if v is False else str(v)
+def json_fields(text: str | None) -> dict[str, str] | None:
+    """Dotted paths to text; arrays by index; nulls left out; None for what is no JSON object."""
 
-    def walk(value, path: str, depth: int, out: dict) -> None:
+    def walk(value, path: str, depth: int) -> None:
         if value is None or len(out) >= MAX_FIELDS or depth > MAX_DEPTH:
             return
         if isinstance(value, dict):
             for k, v in value.items():
                 if len(k) <= MAX_KEY:
-                    walk(v, f"{path}.{k}" if path else k, depth + 1, out)
+                    walk(v, f"{path}.{k}" if path else k, depth + 1)
         elif isinstance(value, list):
             for i, v in enumerate(value[:MAX_ITEMS]):
-                walk(v, f"{path}.{i}", depth + 1, out)
+                walk(v, f"{path}.{i}", depth + 1)
         else:
-            out[path] = shown(value)
-
-    def one(text):
-        try:
-            value = json.loads(text, parse_float=str, parse_int=str)
-        except (TypeError, ValueError):
-            return None
-        if not isinstance(value, dict):
-            return None
-        out: dict[str, str] = {}
-        walk(value, "", 0, out)
-        return out
+            out[path] = "true" if value is True else "false" if value is False else str(value)
 
-    return pd.Series([one(t) for t in texts])
+    out: dict[str, str] = {}
+    try:
+        value = json.loads(text, parse_float=str, parse_int=str)
+    except (TypeError, ValueError):
+        return None
+    if not isinstance(value, dict):
+        return None
+    walk(value, "", 0)
+    return out
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def flatten_xml(texts):
+def xml_fields(text: str | None) -> dict[str, str] | None:
     """Elements as dotted paths, attributes with @, repeated siblings by index; documents with a DTD are refused."""
-    import xml.etree.ElementTree as tree
-
-    import pandas as pd
 
     def local(tag: str) -> str:
         return tag.rpartition("}")[2]
 
-    def walk(node, path: str, out: dict) -> None:
+    def walk(node, path: str) -> None:
         for k, v in node.attrib.items():
             out[f"{path}.@{local(k)}"] = v
         children = list(node)
-        text = (node.text or "").strip()
-        if text:
-            out[f"{path}.#text" if children or node.attrib else path] = text
+        own = (node.text or "").strip()
+        if own:
+            out[f"{path}.#text" if children or node.attrib else path] = own
         names = [local(c.tag) for c in children]
         seen: dict[str, int] = {}
         for name, child in zip(names, children, strict=True):
             at = seen.get(name, 0)
             seen[name] = at + 1
-            walk(child, f"{path}.{name}.{at}" if names.count(name) > 1 else f"{path}.{name}", out)
+            walk(child, f"{path}.{name}.{at}" if names.count(name) > 1 else f"{path}.{name}")
+
+    out: dict[str, str] = {}
+    if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
+        return None
+    try:
+        root = tree.fromstring(text)
+    except tree.ParseError:
+        return None
+    walk(root, local(root.tag))
+    return out
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def flatten_json(texts):
+    return pd.Series([json_fields(t) for t in texts])
 
-    def one(text):
-        if text is None or "<!DOCTYPE" in text or "<!ENTITY" in text:
-            return None
-        try:
-            root = tree.fromstring(text)
-        except tree.ParseError:
-            return None
-        out: dict[str, str] = {}
-        walk(root, local(root.tag), out)
-        return out
 
-    return pd.Series([one(t) for t in texts])
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def flatten_xml(texts):
+    return pd.Series([xml_fields(t) for t in texts])
 
 
 def logfmt(c: Column) -> Column:
@@ -115,14 +113,23 @@ def access_log(c: Column) -> Column:
     )
 
 
+def leading_stamp(c: Column) -> Column:
+    """The time that a line begins with, as text; null if there is none."""
+    stamp = F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s*", 1)
+    return F.nullif(F.replace(stamp, F.lit(","), F.lit(".")), F.lit(""))
+
+
+def access_stamp(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, ACCESS, 3), F.lit(""))
+
+
 def text_line(c: Column) -> Column:
     """Leading time, optional level, message."""
-    stamp = F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s*", 1)
     rest = F.regexp_replace(c, r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*", "")
     level = F.regexp_extract(rest, r"^\[?([A-Za-z]+)\]?[:\s]", 1)
     severity = kit.level_severity(level)
     message = F.when(severity.isNotNull(), F.regexp_replace(rest, r"^\[?[A-Za-z]+\]?[:\s]+", "")).otherwise(rest)
-    return F.struct(kit.timestamp(F.replace(stamp, F.lit(","), F.lit("."))).alias("observed_at"), severity.alias("severity"), message.alias("message"))
+    return F.struct(kit.timestamp(leading_stamp(c)).alias("observed_at"), severity.alias("severity"), message.alias("message"))
 
 
 def csv_fields(c: Column, header: list[str], delimiter: str = ",") -> Column:
@@ -135,6 +142,27 @@ def csv_fields(c: Column, header: list[str], delimiter: str = ",") -> Column:
     return F.map_filter(F.map_from_arrays(names, cells), lambda _, v: v != "")
 
 
+def with_nested_fields(records: DataFrame) -> DataFrame:
+    """records with `nested`: the fields of JSON and XML texts, and `nested_format`; one Arrow pass, row by row."""
+    at = records.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            formats, fields = [], []
+            for text in batch.column(at).to_pylist():
+                start = (text or "").lstrip()[:1]
+                found = json_fields(text) if start == "{" else xml_fields(text) if start == "<" else None
+                formats.append({"{": "json", "<": "xml"}.get(start) if found is not None else None)
+                fields.append(None if found is None else list(found.items()))
+            kind = pa.map_(pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(formats, pa.string()), pa.array(fields, kind)], names=[*batch.schema.names, "nested_format", "nested"]
+            )
+
+    added = [T.StructField("nested_format", T.StringType()), T.StructField("nested", T.MapType(T.StringType(), T.StringType()))]
+    return records.mapInArrow(run, T.StructType([*records.schema, *added]))
+
+
 def detect_format(c: Column) -> Column:
     """The first format that fits the text."""
     return (
