@@ -132,3 +132,30 @@ def test_audit_chain(spark):
     rows = [("c", 1, "0", a, "x"), ("c", 2, a, h(a, "y"), "y"), ("c", 3, "bad", h("bad", "z"), "z")]
     broken = parsing.verify_chain(spark.createDataFrame(rows, "chain string, seq int, prev_hash string, row_hash string, body string"))
     assert [r["seq"] for r in broken.collect()] == [3]
+
+
+def test_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.log", "one\n\nthree")
+    got = readers.archive_lines(spark, f"{tmp_path}/a.zip").collect()
+    assert [(r["entry"], r["line"], r["text"]) for r in got] == [("x.log", 1, "one"), ("x.log", 3, "three")]
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../x.log", "one")
+    try:
+        readers.archive_lines(spark, f"{tmp_path}/b.zip").collect()
+    except Exception as e:
+        assert "refused" in str(e)
+        return
+    raise AssertionError("an unsafe entry passed")
+
+
+def test_cursor(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "file string, line int")
+    assert [tuple(r) for r in readers.after_cursor(rows, "a", 1).collect()] == [("a", 2), ("b", 1)]
+
+
+def test_custom_fields(spark):
+    assert one(spark, lambda c: parsing.custom_fields(c, r"(\w+)=(\d+)", ["name", "n"]), "x=7") == {"name": "x", "n": "7"}
+    assert one(spark, lambda c: parsing.custom_fields(c, r"(\w+)=(\d+)", ["name", "n"]), "x=y") is None

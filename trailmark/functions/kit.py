@@ -205,6 +205,20 @@ def timestamp(c: Column) -> Column:
     return F.when(F.year(found).between(1970, 2100), F.date_trunc("MILLISECOND", found))
 
 
+def syslog_timestamp(c: Column, reference: Column) -> Column:
+    """`Jan  2 03:04:05` without a year: the reference's year, or the one before if that lies over a day ahead."""
+    stamp = F.regexp_replace(F.regexp_extract(c, r"^([A-Z][a-z]{2} [ 0-3]?\d \d{2}:\d{2}:\d{2})", 1), r" +", " ")
+    of = lambda year: F.try_to_timestamp(F.concat(year.cast("string"), F.lit(" "), stamp), F.lit("yyyy MMM d HH:mm:ss"))
+    this = of(F.year(reference))
+    return F.when(this > reference + F.expr("interval 1 day"), of(F.year(reference) - 1)).otherwise(this)
+
+
+def temporal_kind(c: Column) -> Column:
+    """Whether a value reads as a date or as a date with time, by conservative patterns."""
+    moment = c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?|^\d{2}/[A-Z][a-z]{2}/\d{4}:|^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}")
+    return F.when(moment & timestamp(c).isNotNull(), "datetime").when(date_form(c).isNotNull(), "date")
+
+
 def luhn(c: Column) -> Column:
     """Whether the digits of the text pass the Luhn check."""
     digits = F.transform(F.split(F.reverse(F.regexp_replace(c, "[^0-9]", "")), ""), lambda x: x.try_cast("int"))

@@ -205,3 +205,12 @@ def stale(daily: DataFrame, days: int = 7) -> DataFrame:
     return daily.withColumn("baseline", F.avg("rate").over(before)).withColumn(
         "stale", F.coalesce(F.col("rate") < 0.5 * F.col("baseline"), F.lit(False))
     )
+
+
+def review_queue(scored: DataFrame, rejected: DataFrame, raise_by: float = 0.2) -> DataFrame:
+    """Links by score times affected volume; one that was rejected comes back only if its score rose by over raise_by."""
+    pair = F.concat_ws("|", F.concat_ws("/", "system_a", "field_a", "form_a"), F.concat_ws("/", "system_b", "field_b", "form_b"))
+    open_links = scored.withColumn("link", pair)
+    old = rejected.select("link", F.col("score").alias("_old"))
+    left = open_links.join(F.broadcast(old), "link", "left").where("_old is null or score - _old > " + str(raise_by))
+    return left.select("link", "score", "role", (F.col("score") * F.col("n_match")).alias("weight"))

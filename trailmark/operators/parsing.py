@@ -185,6 +185,25 @@ def message_templates(messages: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
+def parameters(message: Column, template: Column) -> Column:
+    """The words that stand at the gaps of a template of as many words."""
+    words, slots = F.split(F.trim(message), r"\s+"), F.split(template, " ")
+    pairs = F.filter(F.arrays_zip(words.alias("w"), slots.alias("s")), lambda x: x["s"] == "<*>")
+    return F.when(F.size(words) == F.size(slots), F.transform(pairs, lambda x: x["w"]))
+
+
+def replay(messages: DataFrame, templates: DataFrame) -> DataFrame:
+    """system, message against the frozen templates of an earlier run: matched ones keep their id, none are added."""
+    masked = messages.withColumn("template", kit.mask_message(F.col("message")))
+    return masked.join(templates.select("system", "template", "template_id"), ["system", "template"], "left")
+
+
+def custom_fields(c: Column, pattern: str, names: list[str]) -> Column:
+    """A pattern with as many groups as names -> a map, where it matches the whole line."""
+    entries = [x for i, n in enumerate(names, 1) for x in (F.lit(n), F.regexp_extract(c, pattern, i))]
+    return F.when(c.rlike(f"^(?:{pattern})$"), F.create_map(*entries))
+
+
 def drain(messages: DataFrame, share: float = 0.5) -> DataFrame:
     """system, message -> system, masked, template: masked messages of one length that agree in most words join.
 

@@ -135,3 +135,58 @@ def token_versions(spark, sf_dir):
     a = now.groupBy("system", "field").agg(F.count_distinct("token").alias("tokens"))
     b = now.union(old).groupBy("system", "field").agg(F.count_distinct("token").alias("with_previous"))
     return a.join(b, ["system", "field"])
+
+
+@query("kit_temporal_kind", "select o_orderkey, case when o_orderkey % 3 = 0 then 'date' when o_orderkey % 3 = 1 then 'datetime' end as kind from orders")
+def temporal_kind(spark, sf_dir):
+    value = (
+        F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .otherwise(F.col("o_orderpriority"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", kit.temporal_kind(value).alias("kind"))
+
+
+@query("kit_syslog_time", "select event_id, epoch(date_trunc('second', ts))::bigint as seconds from events")
+def syslog_time(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    stamp = F.date_format(at, "MMM d HH:mm:ss")
+    return table(spark, sf_dir, "events").select("event_id", kit.syslog_timestamp(stamp, at + F.expr("interval 40 days")).cast("long").alias("seconds"))
+
+
+@query("template_parameters", "select event_id, user_id::varchar as who from events")
+def template_parameters(spark, sf_dir):
+    message = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), "event_type")
+    found = parsing.parameters(message, F.concat(F.lit("user <*> did "), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", found[0].alias("who"))
+
+
+@query("template_replay", "select count(*)::bigint as n, count(*) filter (where event_type <> 'view')::bigint as matched from events")
+def template_replay(spark, sf_dir):
+    message = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), "event_type")
+    rows = table(spark, sf_dir, "events").select(F.lit("s").alias("system"), message.alias("message"), "event_type")
+    known = parsing.message_templates(rows.where("event_type <> 'view'"))
+    return parsing.replay(rows, known).agg(F.count(F.lit(1)).alias("n"), F.count("template_id").alias("matched"))
+
+
+@query("ret_vault_round_trip", "select c_name as value, count(*)::bigint as n from customer where c_custkey % 10 = 0 group by 1")
+def vault_round_trip(spark, sf_dir):
+    key = F.lit("0123456789abcdef").cast("binary")
+    token = kit.token(F.lit("id"), F.col("c_name"), TEST_KEY)
+    people = table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"), F.col("c_name").alias("value"))
+    vault = readers.seal(people, key)
+    return readers.reveal(vault, people.where("c_custkey % 10 = 0"), key).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "classify_pins",
+    """
+    with s as (select 'sys_web' as system, unnest(['event_type', 'user_id']) as field, unnest([event_type, user_id::varchar]) as value from events)
+    select field, case when field = 'event_type' then 'drop' else 'tokenize' end as policy from s group by field""",
+)
+def classify_pins(spark, sf_dir):
+    from trailmark.operators import profile
+
+    values = profile.unpivot(table(spark, sf_dir, "events"), ["event_type", "user_id"], "sys_web")
+    pins = spark.createDataFrame([("sys_web", "user_id", "tokenize"), ("*", "event_type", "drop"), ("*", "user_id", "keep")], "system string, field string, policy string")
+    return profile.with_pins(profile.classify(values), pins).select("field", "policy")

@@ -222,3 +222,15 @@ def stale(spark, sf_dir):
         F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("rate")
     )
     return linking.stale(daily)
+
+
+@query(
+    "link_review_queue",
+    f"""with {SCORED_SQL}, q as (select system_a || '/' || field_a || '/' || form_a || '|' || system_b || '/' || field_b || '/' || form_b as link, score, role, round(score * n_match, 3) as weight from scored)
+    select * from q where link not like '%c_name%'""",
+)
+def review_queue(spark, sf_dir):
+    links = _numbered(linking.scored(linking.features(identifiers(spark, sf_dir))), "score")
+    named = F.concat_ws("|", F.concat_ws("/", "system_a", "field_a", "form_a"), F.concat_ws("/", "system_b", "field_b", "form_b"))
+    rejected = links.select(named.alias("link"), "score").where("link like '%c_name%'")
+    return linking.review_queue(links, rejected).withColumn("weight", F.round("weight", 3))

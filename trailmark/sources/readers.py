@@ -115,3 +115,51 @@ def expired(df: DataFrame, column: str, today: Column, days: int) -> DataFrame:
 def trace(identifiers: DataFrame, tokens: list[str]) -> DataFrame:
     """Events that carry one of the tokens; pushed down where the table is laid out by token."""
     return identifiers.where(F.col("token").isin(tokens)).select("event_key", "system", "field", "observed_at").distinct()
+
+
+def after_cursor(rows: DataFrame, file: str, line: int) -> DataFrame:
+    """Rows of file, line beyond a cursor: later lines of its file and all later files."""
+    return rows.where((F.col("file") > file) | ((F.col("file") == file) & (F.col("line") > line)))
+
+
+def archive_lines(spark: SparkSession, path: str, most_entries: int = 10_000, most_ratio: int = 100) -> DataFrame:
+    """file, entry, line, text of zip archives, streamed; unsafe names, too many entries and bombs are refused."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                entries = [e for e in archive.infolist() if not e.is_dir()]
+                if len(entries) > most_entries:
+                    raise ValueError(f"{file}: more than {most_entries} entries")
+                for entry in entries:
+                    name = entry.filename
+                    if name.startswith("/") or ".." in name.split("/") or entry.file_size > most_ratio * max(1, entry.compress_size):
+                        raise ValueError(f"{file}: entry {name} is refused")
+                    with archive.open(entry) as stream:
+                        text = [line.decode("utf-8", "replace").rstrip("\r\n") for line in stream]
+                    kept = [(i, t) for i, t in enumerate(text, 1) if t.strip()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file] * len(kept), pa.string()), pa.array([name] * len(kept), pa.string()), pa.array([i for i, _ in kept], pa.int64()), pa.array([t for _, t in kept], pa.string())],
+                        names=["file", "entry", "line", "text"],
+                    )
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, entry string, line long, text string")
+
+
+def seal(values: DataFrame, key: Column) -> DataFrame:
+    """token, value -> token, sealed: the reveal table, kept apart from everything else; the first value of a token stays."""
+    return values.groupBy("token").agg(F.min("value").alias("value")).select("token", F.aes_encrypt("value", key, F.lit("GCM")).alias("sealed"))
+
+
+def reveal(vault: DataFrame, tokens: DataFrame, key: Column) -> DataFrame:
+    """The values of these tokens; null where the key does not fit."""
+    return vault.join(tokens.select("token").distinct(), "token", "left_semi").select(
+        "token", F.try_aes_decrypt("sealed", key, F.lit("GCM")).cast("string").alias("value")
+    )
