@@ -5,15 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that end a word in the `[^\x20\x09-\x0D]+` sense.
-SPACES = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Rows that a text pass holds as Python objects at a time.
 SLICE = 512
 
@@ -31,13 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -60,7 +58,6 @@ def text_pass(
     """Runs a Python function over slices of rows, as Arrow batches, where they lie (no shuffle).
 
     make() is called once a task and returns a function of one list a column of df, giving output rows.
-    If that function has an attribute `rest`, its rows follow at the end of the task.
     """
     schema = arrow_schema(ddl)
 
@@ -76,9 +73,6 @@ def text_pass(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 yield packed(list(work(*(c.to_pylist() for c in part.columns))))
-        if hasattr(work, "rest"):
-            for rows in work.rest():
-                yield packed(rows)
 
     return df.mapInArrow(run, ddl)
 

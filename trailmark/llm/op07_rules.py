@@ -14,7 +14,6 @@ rows give repeated results; an empty table gives no rows; columns other than doc
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
