@@ -70,7 +70,17 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert op05_near_dedup.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [0, 256])
+def test_one_of_each_group_stays(odd_docs, no_docs):
+    kept = op05_near_dedup.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    expected = plain_components(odd_docs.collect(), 5, 80)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(i for i, c in expected.items() if i == c)
+    assert ids.count(None) == odd_docs.where("doc_id is null").count()
+    assert op05_near_dedup.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("crowded", [0, 1_024])
 def test_near_duplicates_of_a_large_group(spark, words, crowded):
     """Copies of one text with few to many edits: links are dense within, and rare between, the edited ones."""
     r = random.Random(9)

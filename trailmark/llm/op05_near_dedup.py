@@ -39,15 +39,13 @@ from .components import components
 TREES, DEPTH = 24, 3
 #: Neighbours of a class whose links are confirmed first.
 NEIGHBOURS = 3
-#: Members out of a region's largest component beyond which the region counts as crowded.
-CROWDED = 256
 #: Bits of the map of documents whose sets are needed; a wrong bit costs time, not results.
 MAP_BITS = 1 << 25
 #: Signatures that agree in less than this share are not compared on full sets: for a similarity of 0.8 the chance
 #: is below 1e-9 with 72 values.
 LEAST_AGREEMENT = 0.5
-#: Rows on either side of a tile.
-BLOCK = 1_024
+#: Rows on either side of a tile; a region with more members out of its largest component than that is crowded.
+BLOCK = CROWDED = 1_024
 SKETCH = "doc_id long,n_shingles long,d1 long,d2 long,signature binary"
 
 _random = np.random.default_rng(20_240_501)
@@ -335,15 +333,15 @@ def _across(
     full = F.lit(False) if crowded is None else F.col("others") > crowded
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
     place = lambda c: F.pmod(F.xxhash64("id"), blocks(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
-    sparse = mixed.where(~full).join(classes.select("id", "signature"), "id")
+    all_of = lambda c: F.sequence(F.lit(0).cast("long"), blocks(c) - 1)
+    # a member stands in a column of every block of rows and, out of the largest component, in a row of every block of columns
+    tile = lambda row, column, is_row: F.struct(row.alias("row_block"), column.alias("column_block"), F.lit(is_row).alias("is_row"))
+    as_column = F.transform(all_of("others"), lambda r: tile(r, place("all"), False))
+    as_row = F.transform(all_of("all"), lambda c: tile(place("others"), c, True))
+    places = F.concat(as_column, F.when(F.col("component") != F.col("largest"), as_row).otherwise(F.slice(as_row, 1, 0)))
     rest = ["is_row", "id", "n", "component", "signature"]
-    as_rows = sparse.where("component <> largest").withColumn("row_block", place("others")).withColumn("column_block", every("all"))
-    as_columns = sparse.withColumn("column_block", place("all")).withColumn("row_block", every("others"))
-    tiled = (
-        as_rows.withColumn("is_row", F.lit(True)).select(*TILE, *rest)
-        .union(as_columns.withColumn("is_row", F.lit(False)).select(*TILE, *rest))
-    )
+    sparse = mixed.where(~full).join(classes.select("id", "signature"), "id")
+    tiled = sparse.withColumn("at", F.explode(places)).select("tree", "k", "at.row_block", "at.column_block", "at.is_row", *rest[1:])
 
     def likely(batches):
         for tile in _tiles(batches):
@@ -458,5 +456,33 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with one of each group left: that of the smallest id. Rows without id stay.
+
+    Rows of one id are one document, of which the first in the order of its columns stays. Documents whose bit in a
+    map of the ids in question is not set stay where they are; only the others are shuffled and decided exactly.
+    """
+    groups = written(near_duplicates(docs, width, percent))
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    marks = docs.sparkSession.sparkContext.broadcast(_id_map(gone.union(repeated).select(F.col("_id").alias("id"))))
+    at = docs.columns.index("doc_id")
+
+    def having(wanted: bool):
+        def run(batches):
+            bits = np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little")
+            for batch in batches:
+                ids = batch.column(at).to_pylist()
+                yield batch.filter(pa.array([(i is not None and bool(bits[i % MAP_BITS])) == wanted for i in ids], pa.bool_()))
+
+        return run
+
+    sure = docs.mapInArrow(having(False), docs.schema)
+    asked = docs.mapInArrow(having(True), docs.schema)
+    left = asked.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    first = left.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return sure.union(first)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
