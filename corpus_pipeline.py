@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trailmark.llm import op01_sentencepiece, op05_near_dedup, op06_mixing, op08_kneser_ney, op10_pii
 from trailmark.llm.common import shared_dir, table
@@ -22,22 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest id.
-
-    Rows of one id are one document, of which the first row in the order of its columns stays; rows without id stay.
-    """
-    groups = op05_near_dedup.near_duplicates(docs, width=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    alone = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_anti")
-    firsts = (
-        kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct(*docs.columns)).alias("_row"))
-        .select("_row.*")
-    )
-    return alone.unionByName(firsts)
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one of the smallest id."""
+    return op05_near_dedup.keep_one(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
