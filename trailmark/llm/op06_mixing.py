@@ -13,7 +13,7 @@ A token is a run of characters other than space and \\x09-\\x0D. A document belo
 tokens before it are less than the budget.
 
 Defined results: null texts have no tokens; null domains, languages and sources are branches of their own; weights
-that are not given are 1; repeated rows share a place in the shuffle and are taken or left together; a document with
+that are not given are 1, branches of weight 0 are left out; repeated rows share a place in the shuffle and are taken or left together; a document with
 null id is ordered as an empty id; an empty table gives no rows; columns other than doc_id, text, lang and source
 only pass through.
 """
@@ -84,7 +84,7 @@ def budgets(
     for name, weights in given:
         level = [*family, name]
         children = leaves.groupBy(*level).agg((F.sum("tokens") * epochs).alias("capacity"), F.sum("tokens").alias("tokens"))
-        children = children.withColumn("weight", _weight(F.col(name), weights))
+        children = children.withColumn("weight", _weight(F.col(name), weights)).where("weight > 0")
         if family:
             parents = above.select(*[F.col(c).alias(f"_{c}") for c in family], F.col("budget").alias("parent_budget"))
             on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in family]
