@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,33 @@ def test_near_duplicates_of_a_large_group(spark, words, crowded):
     check_components(docs, op05_near_dedup.near_duplicates(docs, 4, 80, crowded=crowded, neighbours=1), 4, 80)
 
 
+def test_crowded_pairs_without_a_run_of_equal_values(spark):
+    """Pairs of similarity 0.8 whose signatures have no six equal values in a row are found where all is crowded."""
+    r, rows = random.Random(11), []
+    while len(rows) < 6:
+        new = [f"w{r.getrandbits(40)}" for _ in range(50)]
+        pair = [" ".join(new[:40] + new[40 + 5 * i : 45 + 5 * i]) for i in (0, 1)]
+        x, y = (op05_near_dedup.signature(op05_near_dedup.shingle_set(t, 1)) for t in pair)
+        same = "".join("01"[int(v)] for v in x == y)
+        if "111111" not in same + same[:5]:
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check_components(docs, op05_near_dedup.near_duplicates(docs, 1, 80, crowded=0, neighbours=0), 1, 80)
+
+
+def test_only_compared_regions_rule_pairs_out():
+    """A pair that shares regions of two orders is left to the second where the first was skipped as crowded."""
+    sig = np.arange(72, dtype=np.uint32)
+    other = sig.copy()
+    other[6:30] = 1000 + np.arange(24)
+    for skipped, left in ((0, False), (1, True), (2, False)):
+        columns = {
+            "tree": [1, 1], "is_row": [True, False], "id": [1, 2], "n": [10, 10], "component": [1, 2],
+            "signature": [sig.tobytes(), other.tobytes()], "keys": pa.nulls(2, pa.binary()), "skipped": [skipped] * 2,
+        }
+        assert bool(op05_near_dedup._candidates(pa.table(columns), 80)[2].any()) == left
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 9), (3, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

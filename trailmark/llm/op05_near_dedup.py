@@ -10,12 +10,14 @@ t * DEPTH on, round and round; a region is a run of classes that agree in the fi
 2. What is left are pairs of different components in one region. Each region's members out of its largest component
    meet all its members, in tiles of BLOCK by BLOCK rows: signatures first tell which rows need their full sets, then
    the sets decide, and a tile gives one link for each pair of components at most. Where the members out of the
-   largest component are many (a crowded region of unlike texts) depth adapts: they are ordered anew from every value
-   of the signature and twice as deep.
+   largest component are many (a crowded region of unlike texts) depth adapts: its members are ordered anew, twice as
+   deep, by DEEP_TREES keys of fresh values, no two of which share a value.
 3. These links join the components.
 
 No table of pairs grows with the square of a group, and no region, bucket or partner is capped. A pair of similarity 0.8
-shares no region of 24 trees with probability 3e-8 (crowded regions, 72 orders twice as deep: 3e-10).
+shares no region of 24 trees with probability (1 - 0.8^3)^24 = 3e-8; one that shares crowded regions only is in no deep
+region with probability (1 - 0.8^6)^60 = 1e-8. Both hold for independent keys, which these are: each value stands in one
+key only. A tile leaves out pairs of an earlier region only where that region was compared itself.
 
 Defined results: documents without words or text have an empty set, are linked with nothing and kept; with fewer
 than W words the whole sequence is one shingle; a row without id is linked with nothing, has a null component and is
@@ -37,6 +39,8 @@ from .common import table, text_pass, written
 from .components import components
 
 TREES, DEPTH = 24, 3
+#: Orders of crowded regions: by values of their own.
+DEEP_TREES, DEEP = 60, 6
 #: Neighbours of a class whose links are confirmed first.
 NEIGHBOURS = 3
 #: Bits of the map of documents whose sets are needed; a wrong bit costs time, not results.
@@ -51,6 +55,8 @@ SKETCH = "doc_id long,n_shingles long,d1 long,d2 long,signature binary"
 _random = np.random.default_rng(20_240_501)
 _A = _random.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+_DEEP_A = _random.integers(1, 2**63, DEEP_TREES * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DEEP_B = _random.integers(0, 2**63, DEEP_TREES * DEEP, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -74,14 +80,29 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2048):
         part = shingles[at : at + 2048]
-        np.minimum(least, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=least)
+        np.minimum(least, (part[None, :] * a[:, None] + b[:, None]).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _digest(shingles: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    halves = np.array([digest >> 64, digest & (2**64 - 1)], np.uint64).view(np.int64)
+    return int(halves[0]), int(halves[1])
+
+
+def region_keys(sig: np.ndarray, depth: int) -> np.ndarray:
+    """For each row and order the hash of the order's first `depth` values, as in _orders."""
+    values = sig.astype(np.uint64).reshape(len(sig), -1, depth)
+    h = np.zeros(values.shape[:2], np.uint64)
+    for i in range(depth):
+        h = _mixed(h * _STEP + values[:, :, i])
+    return h.view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """One row a document: size of its set, digest of its set, signature."""
 
@@ -92,16 +113,14 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 if not len(s):
                     yield doc_id, 0, None, None, None
                     continue
-                digest = xxhash.xxh3_128_intdigest(s.tobytes())
-                halves = np.array([digest >> 64, digest & (2**64 - 1)], np.uint64).view(np.int64)
-                yield doc_id, len(s), int(halves[0]), int(halves[1]), signature(s).tobytes()
+                yield doc_id, len(s), *_digest(s), signature(s).tobytes()
 
         return work
 
     return text_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, SKETCH)
 
 
-def _orders(classes: DataFrame, starts: range, depth: int) -> DataFrame:
+def _orders(classes: DataFrame, depth: int) -> DataFrame:
     """id, n, signature -> a row for each order: its keys at one, two and four times the depth."""
     out = pa.schema(
         [("tree", pa.int32()), ("k", pa.int64()), ("k2", pa.int32()), ("k4", pa.int32()), ("id", pa.int64()), ("n", pa.int64())]
@@ -121,16 +140,50 @@ def _orders(classes: DataFrame, starts: range, depth: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
-            for start in starts:
-                k, k2, k4 = keys(sig, start)
+            for tree in range(sig.shape[1] // depth):
+                k, k2, k4 = keys(sig, tree * depth)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), start, np.int32)), pa.array(k), pa.array(k2), pa.array(k4), batch.column(0), batch.column(1)],
+                    [pa.array(np.full(len(k), tree, np.int32)), pa.array(k), pa.array(k2), pa.array(k4), batch.column(0), batch.column(1)],
                     schema=out,
                 )
 
     return classes.select("id", "n", "signature").mapInArrow(run, "tree int,k long,k2 int,k4 int,id long,n long")
 
 
+def _deep_keys(classes: DataFrame, crowded: DataFrame, sets: _Sets) -> DataFrame:
+    """The classes of crowded regions with the keys of DEEP_TREES orders, from values not used elsewhere."""
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                found = [np.frombuffer(s, np.uint64) for s in part.column(1).to_pylist()]
+                d1, d2 = zip(*map(_digest, found), strict=True)
+                keys = region_keys(np.stack([signature(s, _DEEP_A, _DEEP_B) for s in found]), DEEP)
+                columns = [part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([k.tobytes() for k in keys])]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "d1", "d2", "keys"])
+
+    # rows that repeat an id can have other sets, and the map of ids lets others in
+    keys = sets.of(crowded).mapInArrow(run, "id long,d1 long,d2 long,keys binary").dropDuplicates(["id", "d1", "d2"])
+    return classes.join(crowded, "id", "left_semi").join(keys, ["id", "d1", "d2"]).select("id", "n", "signature", "keys")
+
+
+def _deep_orders(classes: DataFrame) -> DataFrame:
+    """id, n, keys -> a row for each order."""
+    out = pa.schema([("tree", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(batch.num_rows, -1)
+            for tree in range(keys.shape[1]):
+                columns = [pa.array(np.full(len(keys), tree, np.int32)), pa.array(keys[:, tree].copy()), batch.column(0), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    return classes.select("id", "n", "keys").mapInArrow(run, "tree int,k long,id long,n long")
+
+
 def _neighbours(orders: DataFrame) -> DataFrame:
     """Members of regions of two or more, each with the neighbour before it and the prefix they share (in depths).
 
@@ -263,7 +316,7 @@ class _Sets:
 
 
 TILE = ["tree", "k", "row_block", "column_block"]
-_TILED = "tree int,k long,row_block long,column_block long,is_row boolean,id long,n long,component long,signature binary"
+_TILED = "tree int,k long,row_block long,column_block long,is_row boolean,id long,n long,component long,signature binary,keys binary,skipped long"
 
 
 def _tiles(batches):
@@ -286,17 +339,21 @@ def _tiles(batches):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(tile: pa.Table, depth: int, step: int, percent: int):
+def _candidates(tile: pa.Table, percent: int):
     """Rows and columns of a tile (as places in it), and for each row its agreement with each column, 0 if ruled out.
 
     Ruled out: the same component, too unlike sizes or signatures, and pairs that share a region of an earlier order,
-    where they have been seen.
+    where they have been seen unless that region was skipped (a bit for each order).
     """
     is_row = tile["is_row"].to_numpy(zero_copy_only=False)
     rows, columns = np.flatnonzero(is_row), np.flatnonzero(~is_row)
     component, n = tile["component"].to_numpy(), tile["n"].to_numpy()
     sig = np.frombuffer(b"".join(tile["signature"].to_pylist()), np.uint32).reshape(tile.num_rows, -1)
-    order = int(tile["tree"][0].as_py())
+    if tile["keys"].null_count:
+        keys = region_keys(sig, DEPTH)
+    else:
+        keys = np.frombuffer(b"".join(tile["keys"].to_pylist()), np.int64).reshape(tile.num_rows, -1)
+    order, skipped = int(tile["tree"][0].as_py()), tile["skipped"].to_numpy()
     found = np.zeros((len(rows), len(columns)), np.float32)
     for begin in range(0, len(rows), 32):
         r = rows[begin : begin + 32]
@@ -304,20 +361,22 @@ def _candidates(tile: pa.Table, depth: int, step: int, percent: int):
         share = same.mean(axis=2, dtype=np.float32)
         small, large = (f(n[r][:, None], n[columns][None, :]) for f in (np.minimum, np.maximum))
         fits = (share >= LEAST_AGREEMENT) & (component[r][:, None] != component[columns][None, :]) & (100 * small >= percent * large)
-        for start in range(0, order, step):
+        for tree in range(order):
             if not fits.any():
                 break
-            fits &= ~same[:, :, [(start + i) % sig.shape[1] for i in range(depth)]].all(axis=2)
+            compared = (skipped[r] >> min(tree, 62)) & 1 == 0
+            fits &= ~((keys[r, tree][:, None] == keys[columns, tree][None, :]) & compared[:, None])
         found[begin : begin + 32] = np.where(fits, share, 0)
     return rows, columns, found
 
 
 def _across(
-    members: DataFrame, labels: DataFrame, classes: DataFrame, sets: _Sets, depth: int, step: int, crowded: int | None
+    members: DataFrame, labels: DataFrame, classes: DataFrame, sets: _Sets, crowded: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different components in one region, and the members of crowded regions (left out of them).
 
-    members: tree, k, id, n. Each region's members out of its largest component meet all its members.
+    members: tree, k, id, n; classes: id, signature, keys (null where they follow from the signature). Each region's
+    members out of its largest component meet all its members.
     """
     percent = sets.percent
     named = members.select("tree", "k", "id", "n").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -339,13 +398,15 @@ def _across(
     as_column = F.transform(all_of("others"), lambda r: tile(r, place("all"), False))
     as_row = F.transform(all_of("all"), lambda c: tile(place("others"), c, True))
     places = F.concat(as_column, F.when(F.col("component") != F.col("largest"), as_row).otherwise(F.slice(as_row, 1, 0)))
-    rest = ["is_row", "id", "n", "component", "signature"]
-    sparse = mixed.where(~full).join(classes.select("id", "signature"), "id")
+    rest = ["is_row", "id", "n", "component", "signature", "keys", "skipped"]
+    packed = written(mixed.where(full).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("skipped")))
+    sparse = mixed.where(~full).join(classes.select("id", "signature", "keys"), "id").join(packed, "id", "left")
+    sparse = sparse.withColumn("skipped", F.coalesce("skipped", F.lit(0).cast("long")))
     tiled = sparse.withColumn("at", F.explode(places)).select("tree", "k", "at.row_block", "at.column_block", "at.is_row", *rest[1:])
 
     def likely(batches):
         for tile in _tiles(batches):
-            rows, columns, found = _candidates(tile, depth, step, percent)
+            rows, columns, found = _candidates(tile, percent)
             keep = np.concatenate([rows[found.any(axis=1)], columns[found.any(axis=0)]])
             if len(keep):
                 yield from tile.take(pa.array(np.sort(keep))).to_batches()
@@ -355,7 +416,7 @@ def _across(
 
     def similar(batches):
         for tile in _tiles(batches):
-            rows, columns, found = _candidates(tile, depth, step, percent)
+            rows, columns, found = _candidates(tile, percent)
             values, ids, component = tile["s"].to_pylist(), tile["id"].to_pylist(), tile["component"].to_pylist()
             unpacked: dict[int, set] = {}
             linked: set[tuple[int, int]] = set()
@@ -387,7 +448,7 @@ def _across(
         .sortWithinPartitions(*TILE)
         .mapInArrow(similar, "a long,b long")
     )
-    return written(links), mixed.where(full).select("id").distinct()
+    return written(links), packed.select("id")
 
 
 def near_duplicates(
@@ -403,7 +464,7 @@ def near_duplicates(
     )
     sets = _Sets(docs, width, percent)
 
-    members = written(_neighbours(_orders(classes, range(0, TREES * DEPTH, DEPTH), DEPTH)))
+    members = written(_neighbours(_orders(classes, DEPTH)))
     closest = Window.partitionBy("id").orderBy(F.desc("shared"), "near")
     sizes = classes.select(F.col("id").alias("near"), F.col("n").alias("near_n"))
     pairs = (
@@ -420,11 +481,11 @@ def near_duplicates(
     links = sets.linked(pairs, classes)
     labels = written(components(links))
 
-    further, packed = _across(members, labels, classes, sets, DEPTH, DEPTH, crowded)
-    packed = written(packed)
+    keyless = classes.withColumn("keys", F.lit(None).cast("binary"))
+    further, packed = _across(members, labels, keyless, sets, crowded)
     if packed.head(1):
-        deeper = _orders(classes.join(packed, "id", "left_semi"), range(TREES * DEPTH), 2 * DEPTH)
-        more, _ = _across(deeper, labels, classes, sets, 2 * DEPTH, 1, None)
+        deep = written(_deep_keys(classes, packed, sets))
+        more, _ = _across(_deep_orders(deep), labels, deep, sets, None)
         further = further.union(more)
     if further.head(1):
         label = labels.select("node", "component")
