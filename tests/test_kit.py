@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import kit
@@ -90,6 +91,19 @@ def test_components_of_a_long_chain(spark):
     assert {r["component"] for r in connected(edges).collect()} == {0}
 
 
+def test_components_of_a_chain_with_its_least_node_last(spark):
+    path = [*range(1, 101), 0]
+    edges = spark.createDataFrame([*zip(path, path[1:], strict=False), (500, 500)], "a long, b long")
+    got = connected(edges).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == [*((i, 0) for i in range(101)), (500, 500)]
+
+
+def test_components_not_settled_are_an_error(spark):
+    path = [*range(1, 101), 0]
+    with pytest.raises(RuntimeError):
+        connected(spark.createDataFrame([*zip(path, path[1:], strict=False)], "a long, b long"), 1)
+
+
 def test_agreement_estimate(spark):
     rows = [(True, True)] * 90 + [(True, False)] * 10 + [(False, False)] * 880 + [(False, True)] * 20
     m_u = linking.estimate_agreement(spark.createDataFrame(rows, "a boolean, b boolean"), ["a", "b"])
