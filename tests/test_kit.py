@@ -1,9 +1,11 @@
 import hashlib
 import hmac
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.catalogue import QUERIES
 from trailmark.functions import kit
 from trailmark.operators import linking, parsing
 from trailmark.operators.graph import connected
@@ -116,6 +118,21 @@ def test_drain_joins_variants(spark):
     assert got == {"user <*> logged in", "disk full"}
 
 
+def test_drain_joins_the_parts_of_a_large_group(spark):
+    names = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [("s", f"user {name} logged in") for name in names] + [("s", "user access denied now")]
+    found = parsing.drain(spark.createDataFrame(rows, "system string, message string"), most=10).collect()
+    assert len(found) == 65
+    assert {r["template"] for r in found if "logged" in r["masked"]} == {"user <*> logged in"}
+
+
+def test_drain_query_mines_every_line(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").collect()]
+    lines = spark.createDataFrame([(x,) for t in texts for x in re.split("\r?\n", t) if x.strip(" ")], "m string")
+    expected = {r["m"] for r in lines.select(kit.mask_message(F.col("m")).alias("m")).collect()}
+    assert {r["masked"] for r in QUERIES["template_drain"](spark, "/root/testdata/sf0.001").collect()} == expected
+
+
 def test_bundle_round_trip(spark, tmp_path):
     events = spark.createDataFrame([("t", "0" * 26, "s", "y")], "tenant_id string, event_id string, source_id string, system_id string")
     full = spark.createDataFrame([], readers.EVENT_SCHEMA).unionByName(events, allowMissingColumns=True)

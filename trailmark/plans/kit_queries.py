@@ -188,9 +188,10 @@ def template_mining(spark, sf_dir):
 
 @query("template_drain")
 def template_drain(spark, sf_dir):
-    first = F.split("text", "\n")[0]
-    turns = table(spark, sf_dir, "conversations").select(F.col("role").alias("system"), first.alias("message"))
-    return parsing.drain(turns)
+    """Every line of every text is a message; blank lines are none."""
+    lines = F.explode(F.split("text", "\r?\n"))
+    messages = table(spark, sf_dir, "conversations").select(F.col("role").alias("system"), lines.alias("message"))
+    return parsing.drain(messages.where("trim(message) <> ''"))
 
 
 @query(
