@@ -9,6 +9,7 @@ from trailmark.catalogue import QUERIES
 from trailmark.functions import kit
 from trailmark.operators import linking, parsing
 from trailmark.operators.graph import connected
+from trailmark.plans import analyze_queries
 from trailmark.sources import readers
 
 
@@ -133,6 +134,14 @@ def test_drain_query_mines_every_line(spark):
     assert {r["masked"] for r in QUERIES["template_drain"](spark, "/root/testdata/sf0.001").collect()} == expected
 
 
+def test_audit_query_has_chains_of_many_rows(spark):
+    rows = analyze_queries._audit_rows(spark.range(10_000).select(F.col("id").alias("event_id"), F.lit("x").alias("event_type")))
+    found = rows.groupBy("chain").count().collect()
+    assert sorted(r["count"] for r in found) == [5_000, 5_000]
+    broken = parsing.verify_chain(rows).collect()
+    assert len(broken) == 10 and sum(r["prev_hash"] == "bad" for r in broken) == 5
+
+
 def test_bundle_round_trip(spark, tmp_path):
     events = spark.createDataFrame([("t", "0" * 26, "s", "y")], "tenant_id string, event_id string, source_id string, system_id string")
     full = spark.createDataFrame([], readers.EVENT_SCHEMA).unionByName(events, allowMissingColumns=True)
