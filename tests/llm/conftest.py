@@ -47,3 +47,13 @@ def odd_docs(spark, words):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def odd_names(odd_docs):
+    """The odd rows with columns that carry the operators' own names, one with a dot, and a map."""
+    from pyspark.sql import functions as F
+
+    own = ["_id", "_row", "row", "_key", "_log10_perplexity", "log10_perplexity", "component_id", "d1", "s", "_domain", "_n", "spans"]
+    out = odd_docs.withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    return out.withColumn("a.b", F.lit("dot")).withColumn("tags", F.create_map(F.lit("k"), F.col("source")))

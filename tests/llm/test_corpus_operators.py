@@ -1,5 +1,6 @@
 """Operators over whole tables, against brute force."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import op03_ctw, op04_topk, op05_near_dedup, op06_mixing, op08_kneser_ney, op09_sharding
+from trailmark.llm import op03_ctw, op04_topk, op05_near_dedup, op06_mixing, op08_kneser_ney, op09_sharding, op10_pii
 from trailmark.llm.components import components
 from trailmark.llm.queries import ORACLES, QUERIES
 
@@ -71,6 +72,75 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert op05_near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_columns_pass_whatever_their_names(spark, odd_docs, odd_names):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20, 80)], "doc_id long, quality int, toxic int")
+    stages = {
+        "near_dedup": op05_near_dedup.keep_one,
+        "quality": lambda d: op08_kneser_ney.keep_good(d, labels),
+        "personal_data": op10_pii.mask_personal_data,
+        "mixing": lambda d: op06_mixing.mixed_documents(d, epochs=1),
+    }
+    for name, stage in stages.items():
+        got = stage(odd_names)
+        assert got.schema.simpleString() == odd_names.schema.simpleString(), name
+        plain = stage(odd_docs).collect()
+        assert sorted(map(repr, got.select(*odd_docs.columns).collect())) == sorted(map(repr, plain)), name
+        assert all(r["a.b"] == "dot" and r["_id"] == 0 for r in got.collect()), name
+
+
+def test_rows_that_share_an_id_but_not_their_text_all_stay(spark, words):
+    r = random.Random(15)
+    text = lambda: " ".join(r.choice(words) for _ in range(50))
+    one, two, three = text(), text(), text()
+    edited = one.split(" ")
+    edited[-1] = "changed"
+    rows = [(1, one), (5, " ".join(edited)), (5, two), (7, two), (7, three), (7, three), (8, three + " x"), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, op05_near_dedup.keep_one(docs, width=4).collect()), key=repr)
+    assert kept == sorted([(1, one), (5, two), (7, three), (9, ""), (9, None)], key=repr)
+    ids = {(x["doc_id"], x["component_id"]) for x in op05_near_dedup.near_duplicates(docs, 4).collect()}
+    assert ids == {(1, 1), (5, 1), (5, 5), (7, 5), (7, 7), (8, 7), (9, 9)}
+
+
+def test_ids_beyond_the_map_are_joined(odd_docs, monkeypatch):
+    monkeypatch.setattr(op05_near_dedup, "MOST_BITS", 1)
+    check_components(odd_docs, op05_near_dedup.near_duplicates(odd_docs, 4, 80), 4, 80)
+
+
+def test_links_of_thousands_of_texts_on_one_template(spark):
+    """Over 5,000 texts that share a template: unlike ones crowd the regions, similar ones must all be found.
+
+    Components are those of all links that brute force finds (sets as bits of a matrix).
+    """
+    r = np.random.default_rng(80)
+    n, size = 5_200, 60
+    # each text keeps a run of the template's words; how much differs from text to text
+    keep = np.clip(r.normal(0.72, 0.32, (n, 1)), 0.2, 0.98)
+    own = r.random((n, size)) > keep
+    fresh = r.integers(0, 40, (n, size))
+    values = np.where(own, 1000 + fresh * size + np.arange(size), np.arange(size))
+    docs = spark.createDataFrame([(int(i), " ".join(f"w{x}" for x in row)) for i, row in enumerate(values)], "doc_id long, text string")
+    columns, at = np.unique(values, return_inverse=True)
+    bits = np.zeros((n, len(columns)), np.float32)
+    bits[np.repeat(np.arange(n), size), at.ravel()] = 1
+    parent = np.arange(n)
+    both = bits @ bits.T
+    i, j = np.nonzero(np.triu(100 * both >= 80 * (2 * size - both), 1))
+    assert len(i) > 1_000
+    found = {x["doc_id"]: x["component_id"] for x in op05_near_dedup.near_duplicates(docs, 1, 80, crowded=256).collect()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert {k: root(k) for k in range(n)} == found
+
+
 def test_one_of_each_group_stays(odd_docs, no_docs):
     kept = op05_near_dedup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
@@ -130,24 +200,47 @@ def test_components_of_chains(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and got[9] == 7 and got[300] == 3 and 3 in got
 
 
-def test_top_k_of_odd_vectors(spark):
+def plain_top_k(rows, k=5, every=50):
+    """query_id, norm, rank, vec_id, score by comparing each query with each other row."""
+    live = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, v in sorted({x for x in live if x[0] % every == 0}):
+        product = lambda w: sum(a * b for a, b in zip(v, w, strict=True))  # noqa: E731,B023
+        best = sorted((-product(w), i) for i, w in live if i != q and len(w) == len(v))[:k]
+        out += [(q, product(v), n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("tiles", [{"candidates": 16, "queries": 2, "fan_in": 2}, {}])
+def test_top_k_of_odd_vectors(spark, tiles):
+    """Nulls, other lengths, repeated rows (each a candidate), and ids that stand for several vectors."""
     r = random.Random(10)
     vec = lambda n=4: [r.choice([-1.0, -0.5, 0.25, 0.5, 1.0]) for _ in range(n)]
     rows = [(i, vec(), i) for i in range(120)] + [(200, vec(3), 0), (150, vec(3), 0), (201, None, 0), (202, [], 0), (203, [1.0, None, 0.0, 0.0], 0)]
     rows += [(250, [float("nan"), 0.0, 0.0, 0.0], 0), (300, [float("inf"), 0.0, 0.0, 0.0], 0), (None, vec(), 0), (7, rows[7][1], 9)]
+    rows += [(8, [1.0, 1.0, 1.0, 1.0], 0)] * 3 + [(50, [0.5, 1.0, 0.25, -1.0], 0), (100, rows[100][1], 0), (9, vec(), 0)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    live = {i: v for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    expected = []
-    for q, v in live.items():
-        if q % 50 == 0:
-            score = lambda w: sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w, strict=True))  # noqa: E731,B023
-            best = sorted((-score(w), i) for i, w in live.items() if i != q and len(w) == len(v))[:5]
-            expected += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    got = op04_topk.top_k(vectors, candidates=16, queries=2, fan_in=2)
-    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    got = op04_topk.top_k(vectors, **tiles).select("query_id", "query_norm", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == plain_top_k([x[:2] for x in rows])
     assert op04_topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_over_many_products(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(900, 6)))]
+    monkeypatch.setattr(op04_topk, "CANDIDATES", 64)
+    got = list(op04_topk.tile_best(*_as_tile(rows), 5))
+    expected = plain_top_k(rows)
+    assert [(int(s), int(i)) for scores, ids in got for s, i in zip(scores, ids, strict=True)] == [(x[4], x[3]) for x in expected]
+
+
+def _as_tile(rows):
+    ids = np.array([i for i, _ in rows])
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    q = ids % 50 == 0
+    return ids[q], whole[q], ids, whole, np.ones(len(ids), np.int64)
+
+
 def test_top_k_beyond_float(spark):
     rows = [(0, [3e13, 1.0]), (1, [3e13, 2.0]), (2, [3e13, 1.0]), (3, [1.0, 1.0])]
     got = op04_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)
@@ -174,6 +267,62 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got["s1"] == 10 and abs(got["s2"] - (402 - 10)) < 1e-6 and abs(got["s3"] - 402) < 1e-6
 
 
+def test_what_weight_0_leaves_goes_to_the_others(spark):
+    """A domain whose languages partly weigh nothing has the capacity of the others only."""
+    rows = [("a", "x", "s1", 200), ("a", "y", "s2", 1000), ("b", "x", "s3", 900)]
+    leaves = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    got = {r["source"]: r["budget"] for r in op06_mixing.budgets(leaves, 0.4, 1, {}, {"y": 0.0}).collect()}
+    assert got.keys() == {"s1", "s3"} and abs(got["s1"] - 200) < 1e-6 and abs(got["s3"] - 640) < 1e-6
+
+
+def test_mixture_of_many_leaves_meets_by_id(odd_docs):
+    plain = op06_mixing.mixture(odd_docs).collect()
+    joined = op06_mixing.mixture(odd_docs, most_leaves=0).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, joined))
+
+
+def test_mixture_takes_given_domains(odd_docs):
+    got = op06_mixing.mixture(odd_docs, domain=F.coalesce("lang", F.lit("none"))).collect()
+    assert {r["domain"] for r in got} >= {"en", "de", "es"} and all(r["domain"] == (r["lang"] or "none") for r in got)
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    rows = [(7, "same", "a")] * 50 + [(i, f"t{i}", "a") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(repr, op09_sharding.interleave(docs, 8, range_rows=4, copies=n).collect())) for n in (3, 1_000)]
+    assert got[0] == got[1] and len(got[0]) == 80
+
+
+def plain_shards(rows, shards, seed):
+    """doc_id, crc, shard, slot by the same law, row by row: ranks by digest, fractional ranks, equal cuts."""
+    narrow = [(i, source, len(text.encode()) + 8, zlib.crc32(text.encode())) for i, text, source in rows]
+    numbered, seen = [], Counter()
+    for row in narrow:
+        numbered.append((row, seen[row]))
+        seen[row] += 1
+    text = lambda x: "" if x is None else str(x)
+    keyed = [
+        (hashlib.md5(":".join([str(seed), text(i), str(crc), str(size), str(n)]).encode()).hexdigest(), i, crc, size, n, source)
+        for (i, source, size, crc), n in numbered
+    ]
+    placed = []
+    for source in {x[-1] for x in keyed}:
+        own = sorted((x for x in keyed if x[-1] == source), key=lambda x: x[0])
+        placed += [((rank + 0.5) / len(own), x) for rank, x in enumerate(own)]
+    placed.sort(key=lambda x: (x[0], x[1][0]))
+    out = []
+    for place, (_, x) in enumerate(placed):
+        shard = place * shards // len(placed)
+        out.append((x[1], x[2], shard, place - -(-shard * len(placed) // shards)))
+    return sorted(out, key=repr)
+
+
+def test_shards_by_plain_ranks(spark, odd_docs):
+    rows = [(r["doc_id"], r["text"] or "", r["source"]) for r in odd_docs.collect()]
+    got = op09_sharding.interleave(odd_docs, 5, range_rows=6).select("doc_id", "text_crc32", "shard", "slot").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_shards(rows, 5, op09_sharding.SEED)
+
+
 def test_shards_match_the_mixture(spark, odd_docs, no_docs):
     got = op09_sharding.interleave(odd_docs, 8, range_rows=4).collect()
     assert len(got) == odd_docs.count()
@@ -349,5 +498,17 @@ def test_classifier_parts_good_from_bad(spark, words):
     assert op08_kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_takes_odd_rows(spark, odd_docs):
+    """Very long texts, repeated rows, nulls: judged alike, one row each; a model too large is trained on less."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)] + [(3, 1, 0)], "doc_id long, quality int, toxic int")
+    out = op08_kneser_ney.classify(odd_docs, labels).collect()
+    assert len(out) == odd_docs.count()
+    assert all(not r["kept"] for r in out if not r["n_bytes"])
+    assert len({(r["perplexity"], r["kept"]) for r in out if r["doc_id"] == 3}) == 1
+    whole, half = op08_kneser_ney.fit(odd_docs, labels), op08_kneser_ney.fit(odd_docs, labels, most=3_000)
+    entries = lambda tables: sum(len(t[0]) + len(t[2]) for t in tables)
+    assert entries(half) <= 3_000 < entries(whole)
+
+
 def test_oracle_names():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10

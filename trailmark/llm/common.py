@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a text pass holds as Python objects at a time.
@@ -34,8 +35,20 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: the one the session names.
+
+    Where it names none, the warehouse is shared too; a temporary folder serves only where all tasks run in the driver.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        named = _own_dir() if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return named.rstrip("/")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ key only. A tile leaves out pairs of an earlier region only where that region wa
 
 Defined results: documents without words or text have an empty set, are linked with nothing and kept; with fewer
 than W words the whole sequence is one shingle; a row without id is linked with nothing, has a null component and is
-kept; rows with the same id are one document; an empty table gives no rows; columns other than doc_id and text are
-not looked at.
+kept; rows that share an id are judged by their own texts; an empty table gives no rows; columns other than doc_id and
+text are not looked at.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, text_pass, written
+from .common import columns_of, table, text_pass, written
 from .components import components
 
 TREES, DEPTH = 24, 3
@@ -43,8 +45,9 @@ TREES, DEPTH = 24, 3
 DEEP_TREES, DEEP = 60, 6
 #: Neighbours of a class whose links are confirmed first.
 NEIGHBOURS = 3
-#: Bits of the map of documents whose sets are needed; a wrong bit costs time, not results.
-MAP_BITS = 1 << 25
+#: Map of the documents whose sets are needed: bits an id, and the least and most bits. Wrong bits cost time, not
+#: results; with more ids than MOST_BITS / BITS_AN_ID documents are joined with the ids instead.
+BITS_AN_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Signatures that agree in less than this share are not compared on full sets: for a similarity of 0.8 the chance
 #: is below 1e-9 with 72 values.
 LEAST_AGREEMENT = 0.5
@@ -150,7 +153,7 @@ def _orders(classes: DataFrame, depth: int) -> DataFrame:
     return classes.select("id", "n", "signature").mapInArrow(run, "tree int,k long,k2 int,k4 int,id long,n long")
 
 
-def _deep_keys(classes: DataFrame, crowded: DataFrame, sets: _Sets) -> DataFrame:
+def _deep_keys(crowded: DataFrame, sets: _Sets) -> DataFrame:
     """The classes of crowded regions with the keys of DEEP_TREES orders, from values not used elsewhere."""
 
     def run(batches):
@@ -158,14 +161,11 @@ def _deep_keys(classes: DataFrame, crowded: DataFrame, sets: _Sets) -> DataFrame
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 found = [np.frombuffer(s, np.uint64) for s in part.column(1).to_pylist()]
-                d1, d2 = zip(*map(_digest, found), strict=True)
                 keys = region_keys(np.stack([signature(s, _DEEP_A, _DEEP_B) for s in found]), DEEP)
-                columns = [part.column(0), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([k.tobytes() for k in keys])]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "d1", "d2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k.tobytes() for k in keys])], names=["id", "keys"])
 
-    # rows that repeat an id can have other sets, and the map of ids lets others in
-    keys = sets.of(crowded).mapInArrow(run, "id long,d1 long,d2 long,keys binary").dropDuplicates(["id", "d1", "d2"])
-    return classes.join(crowded, "id", "left_semi").join(keys, ["id", "d1", "d2"]).select("id", "n", "signature", "keys")
+    keys = sets.of(crowded).mapInArrow(run, "id long,keys binary")
+    return sets.classes.join(keys, "id").select("id", "n", "signature", "keys")
 
 
 def _deep_orders(classes: DataFrame) -> DataFrame:
@@ -234,52 +234,75 @@ def _similar_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _id_map(ids: DataFrame) -> bytes:
-    """A bit for every id modulo MAP_BITS, of bounded size: put together from the bitmaps of its buckets."""
-    at = F.pmod("id", F.lit(MAP_BITS)) + 1  # buckets of 32768 values count from 1
+def _id_map(ids: DataFrame, bits: int) -> bytes:
+    """A bit for every id modulo `bits`, put together from the bitmaps of its buckets."""
+    at = F.pmod("id", F.lit(bits)) + 1  # buckets of 32768 values count from 1
     buckets = (
         ids.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
         .groupBy("b")
         .agg(F.bitmap_construct_agg("p").alias("m"))
-        .collect()
     )
-    out = bytearray(MAP_BITS // 8)
-    for row in buckets:
+    out = bytearray(bits // 8)
+    for row in buckets.toLocalIterator():
         begin = (row["b"] - 1) * 4096
         out[begin : begin + 4096] = row["m"]
     return bytes(out)
 
 
+def _of_ids(rows: DataFrame, ids: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose `id` is among the ids (or is not), first by a map of them that all tasks have.
+
+    Its wrong bits let rows of other ids pass for ids that are asked for, in both directions alike. Rows are left where
+    they lie; only ids too many for a map are joined. Null ids are never among them.
+    """
+    wanted = ids.select("id").where("id is not null").distinct()
+    bits = LEAST_BITS
+    count = wanted.count()
+    while bits < BITS_AN_ID * count:
+        bits *= 2
+    if bits > MOST_BITS:
+        return rows.join(wanted, "id", "left_semi" if among else "left_anti")
+    marks = rows.sparkSession.sparkContext.broadcast(_id_map(wanted, bits))
+    at = rows.columns.index("id")
+
+    def run(batches):
+        own = np.frombuffer(marks.value, np.uint8)
+        for batch in batches:
+            found = batch.column(at).fill_null(0).to_numpy(zero_copy_only=False) % bits
+            hit = pc.and_(pa.array((own[found >> 3] >> (found & 7).astype(np.uint8)) & 1 == 1), batch.column(at).is_valid())
+            yield batch.filter(hit if among else pc.invert(hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class _Sets:
-    """Full sets of the documents that candidates name."""
+    """Full sets of the classes that candidates name. classes: id, doc (one that has the set), d1, d2, n, signature."""
 
-    def __init__(self, docs: DataFrame, width: int, percent: int):
-        self.docs, self.width, self.percent = docs, width, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+        self.classes, self.width, self.percent = classes, width, percent
 
     def of(self, ids: DataFrame) -> DataFrame:
-        """id -> id, s for those and, by wrong bits of the map, some more."""
-        spark, width = self.docs.sparkSession, self.width
-        marks = spark.sparkContext.broadcast(_id_map(ids))
+        """id -> id, s: texts of the classes' documents are read again; the digest tells which row has the set."""
+        width = self.width
+        wanted = self.classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2")
 
         def make() -> Callable:
-            bits = np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little")
-
-            def work(doc_ids, texts):
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    if doc_id is not None and bits[doc_id % MAP_BITS]:
-                        s = shingle_set(text, width)
-                        if len(s):
-                            yield doc_id, s.tobytes()
+            def work(_, texts):
+                for text in texts:
+                    s = shingle_set(text, width)
+                    if len(s):
+                        yield *_digest(s), s.tobytes()
 
             return work
 
-        return text_pass(
-            self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "id long,s binary"
-        )
+        found = text_pass(_of_ids(self.docs, wanted.select(F.col("doc").alias("id"))), make, "d1 long,d2 long,s binary")
+        # rows that repeat an id have the same set again, or others
+        return wanted.join(found, ["d1", "d2"]).select("id", "s").dropDuplicates(["id"])
 
-    def linked(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b whose sets are similar: signatures thin them out, full sets decide."""
-        near = self._joined(pairs, signatures.select("id", F.col("signature").alias("s")))
+        near = self._joined(pairs, self.classes.select("id", F.col("signature").alias("s")))
         least = LEAST_AGREEMENT
 
         def agreeing(batches):
@@ -451,18 +474,17 @@ def _across(
     return written(links), packed.select("id")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, crowded: int = CROWDED, neighbours: int = NEIGHBOURS
-) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
+def _grouped(docs: DataFrame, width: int, percent: int, crowded: int, neighbours: int) -> DataFrame:
+    """A row a document: doc_id, n_shingles, digest of its set (d1, d2), component_id."""
     found = written(sketches(docs, width))
-    classes = written(
+    classes = (
         found.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("d1", "d2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))
-        .withColumnRenamed("n_shingles", "n")
+        .groupBy("d1", "d2", F.col("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
     )
-    sets = _Sets(docs, width, percent)
+    # written, so that the numbers stand still
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
+    sets = _Sets(docs, classes, width, percent)
 
     members = written(_neighbours(_orders(classes, DEPTH)))
     closest = Window.partitionBy("id").orderBy(F.desc("shared"), "near")
@@ -478,13 +500,12 @@ def near_duplicates(
         .select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b"))
         .distinct()
     )
-    links = sets.linked(pairs, classes)
-    labels = written(components(links))
+    labels = written(components(sets.linked(pairs)))
 
     keyless = classes.withColumn("keys", F.lit(None).cast("binary"))
     further, packed = _across(members, labels, keyless, sets, crowded)
     if packed.head(1):
-        deep = written(_deep_keys(classes, packed, sets))
+        deep = written(_deep_keys(packed, sets))
         more, _ = _across(_deep_orders(deep), labels, deep, sets, None)
         further = further.union(more)
     if further.head(1):
@@ -502,47 +523,55 @@ def near_duplicates(
             .union(roots.join(labels, roots["root"] == labels["node"], "left_anti").select("root", "top"))
         )
 
-    ids = classes.select("d1", "d2", "id")
-    ids = ids.join(labels.toDF("id", "component"), "id", "left").select(
-        "d1", "d2", F.coalesce("component", "id").alias("component")
-    )
-    out = found.select("doc_id", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-    )
+    # a component is called by the smallest doc_id of its classes
+    linked = labels.toDF("id", "component").join(classes.select("id", "doc"), "id")
+    least = linked.groupBy("component").agg(F.min("doc").alias("least"))
+    named = linked.join(least, "component").select("id", "least")
+    names = classes.join(named, "id", "left").select("d1", "d2", F.coalesce("least", "doc").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return found.drop("signature").join(names, ["d1", "d2"], "left").select("doc_id", "n_shingles", "d1", "d2", component.alias("component_id"))
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, crowded: int = CROWDED, neighbours: int = NEIGHBOURS
+) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _grouped(docs, width, percent, crowded, neighbours).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group left: that of the smallest id. Rows without id stay.
 
-    Rows of one id are one document, of which the first in the order of its columns stays. Documents whose bit in a
-    map of the ids in question is not set stay where they are; only the others are shuffled and decided exactly.
+    Of rows that share an id and are equal or linked, the first in the order of their JSON stays; rows that share an id
+    but not their text are documents of their own. Documents whose id neither goes nor is repeated stay where they lie;
+    only the others are shuffled.
     """
-    groups = written(near_duplicates(docs, width, percent))
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    marks = docs.sparkSession.sparkContext.broadcast(_id_map(gone.union(repeated).select(F.col("_id").alias("id"))))
-    at = docs.columns.index("doc_id")
-
-    def having(wanted: bool):
-        def run(batches):
-            bits = np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little")
-            for batch in batches:
-                ids = batch.column(at).to_pylist()
-                yield batch.filter(pa.array([(i is not None and bool(bits[i % MAP_BITS])) == wanted for i in ids], pa.bool_()))
-
-        return run
-
-    sure = docs.mapInArrow(having(False), docs.schema)
-    asked = docs.mapInArrow(having(True), docs.schema)
-    left = asked.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    first = left.groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return sure.union(first)
+    groups = written(_grouped(docs, width, percent, CROWDED, NEIGHBOURS).where("doc_id is not null"))
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("id"))
+    repeated = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    asked = written(gone.union(repeated).distinct())
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*columns_of(docs)).alias("row"))
+    sure, rows = _of_ids(packed, asked, among=False), _of_ids(packed, asked)
+    at = docs.columns.index("text")
+
+    def digests(batches):
+        for batch in batches:
+            texts = batch.column(1).field(at).to_pylist()
+            found = [_digest(s) if len(s := shingle_set(text, width)) else (None, None) for text in texts]
+            d1, d2 = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, d1, d2], names=["id", "row", "d1", "d2"])
+
+    schema = T.StructType([packed.schema["id"], packed.schema["row"], T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])
+    rows = rows.mapInArrow(digests, schema)
+    # rows that a wrong bit has let in are decided like all others
+    decided = _of_ids(groups.select(F.col("doc_id").alias("id"), "d1", "d2", "component_id"), asked).distinct().toDF("i", "x1", "x2", "component")
+    same = [F.col("id") == F.col("i"), F.col("d1").eqNullSafe(F.col("x1")), F.col("d2").eqNullSafe(F.col("x2"))]
+    left = rows.join(decided, same).where("component = id").withColumn("as_json", F.to_json("row"))
+    # rows without words are linked with nothing: only equal ones fall together
+    group = ["id", F.when(F.col("d1").isNull(), F.col("as_json")).alias("own")]
+    first = left.groupBy(*group).agg(F.min_by("row", "as_json").alias("row"))
+    return sure.select("row.*").union(first.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,23 +7,26 @@ capacity over weight, the children that are full form a prefix, so running sums
 
 Each leaf then reads seeded epochs: every epoch is a shuffle by digest, full epochs are taken whole and of the last
 one the prefix that fills the leaf's budget. Where that prefix ends is found by summing tokens by digest range and
-numbering only the one range that holds the end, so a source with a third of all rows is spread like any other.
+numbering only the one range that holds the end; a leaf has as many ranges as its rows need, so that a source with a
+third of all rows is spread like any other. No text is shuffled unless there are more than MOST_LEAVES leaves.
 
 A token is a run of characters other than space and \\x09-\\x0D. A document belongs to the prefix as long as the
 tokens before it are less than the budget.
 
 Defined results: null texts have no tokens; null domains, languages and sources are branches of their own; weights
-that are not given are 1, branches of weight 0 are left out; repeated rows share a place in the shuffle and are taken or left together; a document with
-null id is ordered as an empty id; an empty table gives no rows; columns other than doc_id, text, lang and source
+that are not given are 1, branches of weight 0 are left out and what they would have got goes to the others; repeated
+rows share a place in the shuffle and are taken or left together; a document with null id is ordered as an empty id; an empty table gives no rows; columns other than doc_id, text, lang and source
 only pass through.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, whole_text, written
+from .common import columns_of, table, whole_text, written
 
 SEED = 7
 #: Target weights by domain and by language; sources weigh the same within their language.
@@ -31,13 +34,15 @@ DOMAIN_WEIGHTS = {"web": 4.0, "books": 3.0, "reference": 3.0}
 LANG_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 #: Share of all tokens that the mixture holds, and the most epochs of a leaf.
 SHARE, EPOCHS = 0.7, 3
-#: Ranges of the digest (hex digits of it) in which tokens are summed.
-RANGE_DIGITS = 3
+#: Rows that a range of the digest should hold, and the most ranges of a leaf, whose tokens one task adds up.
+RANGE_ROWS, MOST_RANGES = 4_096, 65_536
+#: Leaves whose cuts are sent to all tasks (some 200 bytes each); with more, cuts and documents meet by id.
+MOST_LEAVES = 100_000
 PATH = ["domain", "lang", "source"]
 
 
 def domain_of(source: Column) -> Column:
-    """Domain by digest of the source name: the tables carry none of their own."""
+    """A stand-in by digest of the source name, as the tables carry no domain; real ones are given to mix()."""
     digit = F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 1)
     return F.when(digit < "6", "web").when(digit < "b", "books").otherwise("reference")
 
@@ -81,10 +86,12 @@ def budgets(
     family: list[str] = []
     total = float((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     above = None
+    # what has no weight at any level takes nothing, so it is no capacity of its parents either
+    weighed = leaves.where(reduce(Column.__and__, [_weight(F.col(name), weights) > 0 for name, weights in given]))
     for name, weights in given:
         level = [*family, name]
-        children = leaves.groupBy(*level).agg((F.sum("tokens") * epochs).alias("capacity"), F.sum("tokens").alias("tokens"))
-        children = children.withColumn("weight", _weight(F.col(name), weights)).where("weight > 0")
+        children = weighed.groupBy(*level).agg((F.sum("tokens") * epochs).alias("capacity"), F.sum("tokens").alias("tokens"))
+        children = children.withColumn("weight", _weight(F.col(name), weights))
         if family:
             parents = above.select(*[F.col(c).alias(f"_{c}") for c in family], F.col("budget").alias("parent_budget"))
             on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in family]
@@ -109,9 +116,13 @@ def mix(
     epochs: int = EPOCHS,
     seed: int = SEED,
     domain: Column | None = None,
+    most_leaves: int = MOST_LEAVES,
     **weights,
 ) -> DataFrame:
-    """docs with the columns _domain, _tokens, _epoch and _budget, a row for each time a document is read."""
+    """The documents as _row with _domain, _tokens, _epoch and _budget, a row for each time a document is read.
+
+    domain: the domain of a document as an expression over its columns.
+    """
     text = whole_text()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("_id"),
@@ -119,11 +130,13 @@ def mix(
         F.col("lang").alias("_lang"),
         F.col("source").alias("_source"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_tokens"),
-        F.struct(*docs.columns).alias("_row"),
+        F.struct(*columns_of(docs)).alias("_row"),
     )
     narrow = written(rows.drop("_row"))
     leaf = ["_domain", "_lang", "_source"]
-    leaves = narrow.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).toDF(*PATH, "tokens")
+    counted = narrow.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).toDF(*PATH, "tokens", "rows")
+    counted = written(counted)
+    leaves = counted.drop("rows")
     # whole epochs, and what is left for the prefix of the next one
     plan = written(
         budgets(leaves, share, epochs, **weights)
@@ -131,9 +144,14 @@ def mix(
         .withColumn("whole", F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(epochs)).cast("int"))
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
     ).toDF("_d", "_l", "_s", "_leaf_tokens", "_budget", "_whole", "_rest")
+    ranges = counted.select(*[F.col(a).alias(b) for a, b in zip(PATH, ("_d2", "_l2", "_s2"), strict=True)], F.least(F.ceil(F.col("rows") / RANGE_ROWS), F.lit(MOST_RANGES)).alias("_ranges"))
+    alike = [F.col(a).eqNullSafe(F.col(f"{a}2")) for a in ("_d", "_l", "_s")]
+    plan = plan.join(ranges, alike).drop("_d2", "_l2", "_s2")
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(leaf, ("_d", "_l", "_s"), strict=True)]
     keyed = narrow.join(plan, same).drop("_d", "_l", "_s").withColumn("_key", _key(F.col("_whole"), seed))
-    keyed = keyed.withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
+    # 32 bits of the digest, cut evenly into as many ranges as the leaf needs: ranges follow the order of the digest
+    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    keyed = keyed.withColumn("_range", F.floor(place * F.col("_ranges") / (1 << 32)).cast("long"))
     sums = keyed.groupBy(*leaf, "_range").agg(F.sum("_tokens").alias("_in"), F.first("_rest").alias("_rest"))
     ahead = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_ahead", F.coalesce(F.sum("_in").over(ahead), F.lit(0)))
@@ -160,13 +178,14 @@ def mix(
     ).select("_d", "_l", "_s", "_budget", "_whole", "_rest", "_end")
     cuts = written(cuts)
     own = F.struct(F.col("_key"), F.coalesce("_id", F.lit(-(2**63))).alias("_id"))
-    picked = (
-        rows.join(cuts, same)
-        .withColumn("_key", _key(F.col("_whole"), seed))
-        .withColumn("_reads", F.col("_whole") + F.when((F.col("_rest") > 0) & (own <= F.col("_end")), 1).otherwise(0))
-        .where("_reads > 0")
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_reads") - 1).cast("int"))))
-    )
+    reads = F.col("_whole") + F.when((F.col("_rest") > 0) & (own <= F.col("_end")), 1).otherwise(0)
+    decided = lambda df, cuts: df.join(cuts, same).withColumn("_key", _key(F.col("_whole"), seed)).withColumn("_reads", reads).where("_reads > 0")
+    if cuts.count() <= most_leaves:
+        picked = decided(rows, F.broadcast(cuts))
+    else:
+        ids = decided(narrow, cuts).select(F.col("_id").alias("_id3"), *[F.col(c).alias(f"{c}3") for c in leaf], "_reads", "_budget").distinct()
+        picked = rows.join(ids, [F.col(c).eqNullSafe(F.col(f"{c}3")) for c in ("_id", *leaf)])
+    picked = picked.withColumn("_epoch", F.explode(F.sequence(F.lit(0), (F.col("_reads") - 1).cast("int"))))
     return picked.select("_row", "_domain", "_tokens", "_epoch", "_budget")
 
 

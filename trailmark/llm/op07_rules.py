@@ -5,7 +5,7 @@ conjunction of thresholds by information gain on two thirds of the rows, prunes
 is precise, removes what it covers and goes on. The list becomes one chain of Spark `when` expressions.
 
 The list is fitted on at most SAMPLE labelled documents, those whose id has the smallest digest; everything else
-covers all rows. A document is kept if it passes the base rules and no rule rejects it.
+covers all rows. A document is kept if it passes the base rules and no rule rejects it; `rule` names the one that does.
 
 Defined results: a null text counts as empty (all counts 0, so base_failed); a null doc_id stays null; documents
 whose labels contradict one another are not learned from; without labels of both kinds the list is empty; repeated
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,17 +175,22 @@ class DecisionList:
                 best, worth = rule[:n], value
         return best
 
+    def _hit(self, rule: Rule) -> Column:
+        return reduce(Column.__and__, [c.column() for c in rule.conditions])
+
+    def _chain(self, values: list, otherwise) -> Column:
+        """The list as ordered conditional expressions over the statistics: the value of the first rule that hits."""
+        chain = F
+        for rule, value in zip(self.rules, values, strict=True):
+            chain = chain.when(self._hit(rule), F.lit(value))
+        return chain.otherwise(otherwise) if self.rules else F.lit(otherwise)
+
     def keeps(self) -> Column:
-        """The list as ordered conditional expressions over the statistics."""
-        if not self.rules:
-            return F.lit(True)
-        chain = None
-        for rule in self.rules:
-            hit = rule.conditions[0].column()
-            for c in rule.conditions[1:]:
-                hit = hit & c.column()
-            chain = F.when(hit, False) if chain is None else chain.when(hit, False)
-        return chain.otherwise(True)
+        return self._chain([False] * len(self.rules), True)
+
+    def fired(self) -> Column:
+        """The rule that rejects, in words; null where none does."""
+        return self._chain([str(rule) for rule in self.rules], None).cast("string")
 
 
 def fit_decision_list(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionList:
@@ -218,7 +224,7 @@ def base_failed() -> Column:
 
 def apply_rules(docs: DataFrame, rules: DecisionList) -> DataFrame:
     out = statistics(docs).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & rules.keeps())
+    return out.withColumn("kept", ~F.col("base_failed") & rules.keeps()).withColumn("rule", rules.fired())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ source evenly over (0, 1); rows sorted by fractional rank are cut into shards of
 has the mixture of the whole. The law that holds is `rows`: counts differ by one at most.
 
 Ranks over large groups are found in two steps: counts by digest range give each range its offset, and only within a
-range are rows numbered. No source, however large, meets in one task, and no text is shuffled.
+range are rows numbered. Equal rows are counted first and numbered, so that the digest tells them apart, too. No source
+and no id, however often it occurs, meets in one task, and no text is shuffled.
 
 Defined results: a null text has 0 bytes; null sources make a stratum of their own; rows with the same id are told
-apart by checksum and size, and equal rows are interchangeable; an empty table gives no rows; columns other than
+apart by checksum and size, and equal rows by their number; an empty table gives no rows; columns other than
 doc_id, text and source are not looked at.
 """
 
@@ -22,6 +23,8 @@ from .common import table, whole_text, written
 SHARDS, SEED = 24, 20_240_601
 #: Rows that a range should hold (a task numbers a few ranges), and the most ranges, which one task adds up.
 RANGE_ROWS, MOST_RANGES = 4_096, 65_536
+#: Copies of a row that one task numbers.
+COPIES = 65_536
 
 
 def _ranked(rows: DataFrame, groups: list[str], bucket: Column, order: list, out: str) -> DataFrame:
@@ -37,23 +40,36 @@ def _ranked(rows: DataFrame, groups: list[str], bucket: Column, order: list, out
     return joined.select(*kept, (F.col("_before") + F.col("_at") - 1).alias(out))
 
 
-def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _numbered(rows: DataFrame, most: int) -> DataFrame:
+    """Adds `_copy`, the number of each row among its equals, from 0; many equals are numbered in parts."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= most).withColumn("_part", F.lit(0).cast("long"))
+    many = counted.where(F.col("_n") > most).withColumn("_part", F.explode(parts))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(tasks, *counted.columns, "_part")
+    first, last = F.col("_part") * most, F.least((F.col("_part") + 1) * most, F.col("_n")) - 1
+    return few.union(many).withColumn("_copy", F.explode(F.sequence(first, last))).drop("_n", "_part")
+
+
+def interleave(
+    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, range_rows: int = RANGE_ROWS, copies: int = COPIES
+) -> DataFrame:
     """doc_id, text, source -> doc_id, size, text_crc32, law, shard, slot, grown_shard, source."""
     text = whole_text()
-    rows = written(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-        )
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
     )
+    rows = written(_numbered(narrow, copies))
     totals = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     total = rows.count()
     ranges = min(MOST_RANGES, max(1, -(-total // range_rows)))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_key", key)
-    order = ["_key", "doc_id", "text_crc32", "size"]
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text_crc32", "size", "_copy")]
+    rows = rows.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), *known)))
+    order = ["_key", "doc_id", "text_crc32", "size", "_copy"]
     # 32 bits of the digest, cut evenly into ranges: buckets follow the order of the digest
     bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long")
     ranked = _ranked(rows, ["source"], bucket, order, "_rank")

@@ -1,8 +1,11 @@
 """Personal data: expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Four base kinds (email, ip, card, phone) are found by leftmost non-overlapping matching and kept whatever their
-score. Further kinds (iban, ssn, tel, secret) are proposed by expressions of bounded length, confirmed where a
-checksum exists (mod 97), and kept when the score, raised by a telling word nearby, reaches KEEP.
+Every span has a score from 0 to 1: what its kind starts with, raised where a telling word stands nearby and lowered
+where a word speaks against it. The four base kinds (email, ip, card, phone) are found by leftmost non-overlapping
+matching and kept whatever their score. Further kinds (iban, ssn, tel, secret) are proposed by expressions, confirmed
+where a check exists (mod 97 for iban, number ranges for ssn, the decoded header of signed tokens) and kept when the
+score reaches KEEP. Secrets are found behind a keyword and by the public formats of keys; a secret is taken whole,
+however long. Added spans inside a base span are left out, overlapping secrets are one.
 
 Defined results: a null text counts as empty (no spans, the digest of an empty string); repeated rows give repeated
 results; an empty table gives no rows; only doc_id and text are looked at. Time is linear in the text: runs of
@@ -11,22 +14,23 @@ letters, digits or signs are walked once.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_pass
+from .common import columns_of, table, text_pass
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "tel", "secret")
-#: Least score of an added span, what a telling word adds, and how far away it may stand.
-KEEP, NEARBY, REACH = 0.6, 0.4, 48
-COLUMNS = (
-    "doc_id long,n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string"
-)
+#: Least score of an added span; what a telling word adds, a contrary one takes, and how far away they may stand.
+KEEP, NEARBY, AGAINST, REACH = 0.6, 0.4, 0.3, 48
+COLUMNS = "doc_id long,n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string,scores string"
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,26 +39,40 @@ _ip = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_ssn = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_ssn = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _tel = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_secret = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{20,200})")
-#: Score without a telling word, and the words that tell.
+_keyed = re.compile(
+    r"(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|(?:api|access|private)[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:bearer\s)?"
+    r"([a-z0-9+/_=.~-]{20,})"
+)
+#: Public formats of keys (cloud key ids, code hosts, chat, maps, payments).
+_formats = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|[rs]k_live_[A-Za-z0-9]{16,})"
+)
+_signed = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_block = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,40}-----)?")
+#: What a text without digits must hold to have an added span.
+_WITHOUT_DIGITS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "eyJ")
+#: Score without a word nearby, the words that tell, and those that speak against it.
 SCORES = {
-    "iban": (0.8, re.compile(r"(?i)\b(?:iban|konto|compte|account|bank|cuenta)\b")),
-    "ssn": (0.4, re.compile(r"(?i)\b(?:ssn|social security|tax id)\b")),
-    "tel": (0.3, re.compile(r"(?i)\b(?:tel|phone|call|mobile|fax|telefon|téléphone|teléfono)\b")),
-    "secret": (0.7, re.compile(r"(?i)\b(?:key|secret|token)\b")),
+    "email": (0.9, r"e-?mail|mail|contact|courriel|correo", r"example|noreply"),
+    "ip": (0.6, r"ip|host|server|address|adresse", r"version|release|section"),
+    "card": (0.7, r"card|visa|mastercard|amex|credit|karte|carte|tarjeta", r"isbn|order|serial|tracking"),
+    "phone": (0.7, r"tel|phone|call|mobile|fax|telefon|téléphone|teléfono", r"version|serial"),
+    "iban": (0.8, r"iban|konto|compte|account|bank|cuenta", r"serial|part|model"),
+    "ssn": (0.4, r"ssn|social security|tax id", r"part|serial|order|model"),
+    "tel": (0.3, r"tel|phone|call|mobile|fax|telefon|téléphone|teléfono", r"serial|part|order"),
+    "secret": (0.7, r"key|secret|token|password", r"placeholder|dummy"),
 }
+_telling = {k: re.compile(rf"(?i)\b(?:{words})\b") for k, (_, words, _) in SCORES.items()}
+_contrary = {k: re.compile(rf"(?i)\b(?:{words})\b") for k, (_, _, words) in SCORES.items()}
+#: The sum of the digits of twice a digit.
+_TWICE = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        if i % 2:
-            d = d * 2 - 9 if d > 4 else d * 2
-        total += d
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(_TWICE[int(c)] for c in digits[-2::-2])) % 10 == 0
 
 
 def mod97(iban: str) -> bool:
@@ -64,6 +82,19 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def _issued(area: str, group: str, serial: str) -> bool:
+    """Whether a social security number lies in the ranges that are given out."""
+    return 0 < int(area) < 900 and int(area) != 666 and int(group) > 0 and int(serial) > 0
+
+
+def _is_header(part: str) -> bool:
+    """Whether the first part of a signed token is the header that such tokens have."""
+    try:
+        return b'"alg"' in base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))
+    except (binascii.Error, ValueError):
+        return False
+
+
 def _in_range(ip: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and (not p or int(p) <= 255) for part in ip.split("."))
 
@@ -99,54 +130,80 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return emails + ips + cards + phones
 
 
-def added_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """Spans of the further kinds with their scores, by kind as in ADDED, then by start."""
-    found = []
-
-    def propose(kind: str, start: int, end: int) -> None:
-        score, telling = SCORES[kind]
-        if telling.search(text, max(0, start - REACH), min(len(text), end + REACH)):
-            score += NEARBY
-        if score >= KEEP:
-            found.append((kind, start, end, min(score, 1.0)))
-
-    for m in _iban.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            propose("iban", *m.span())
-    for m in _ssn.finditer(text):
-        propose("ssn", *m.span())
-    for m in _tel.finditer(text):
-        propose("tel", *m.span())
-    for m in _secret.finditer(text):
-        if any(c.isdigit() for c in m[1]):
-            propose("secret", *m.span(1))
-    return found
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """What the kind starts with, moved by the words around the span."""
+    before, after = max(0, start - REACH), min(len(text), end + REACH)
+    moved = SCORES[kind][0]
+    near = lambda words: words.search(text, before, start) or words.search(text, end, after)
+    if near(_telling[kind]):
+        moved += NEARBY
+    if near(_contrary[kind]):
+        moved -= AGAINST
+    return round(min(max(moved, 0.0), 1.0), 2)
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    for m in _keyed.finditer(text):
+        end = m.start(1) + len(m[1].rstrip("."))
+        if end - m.start(1) >= 20 and _digits.search(text, m.start(1), end):
+            yield m.start(1), end
+    for m in _formats.finditer(text):
+        yield m.span()
+    for m in _signed.finditer(text):
+        if _is_header(m[1]):
+            yield m.span()
+    for m in _block.finditer(text):
+        yield m.start(), m.start() + len(m[0].rstrip())
+
+
+def added_spans(text: str, base: list[tuple[str, int, int]] = ()) -> list[tuple[str, int, int, float]]:
+    """Spans of the further kinds with their scores, by kind as in ADDED, then by start; none inside a base span."""
+    secrets: list[tuple[int, int]] = []
+    for a, b in sorted(_secrets(text)):
+        if secrets and a < secrets[-1][1]:
+            secrets[-1] = secrets[-1][0], max(secrets[-1][1], b)
+        else:
+            secrets.append((a, b))
+    proposed = [("iban", *m.span()) for m in _iban.finditer(text) if mod97(m[0].replace(" ", ""))]
+    proposed += [("ssn", *m.span()) for m in _ssn.finditer(text) if _issued(*m.groups())]
+    proposed += [("tel", *m.span()) for m in _tel.finditer(text)]
+    proposed += [("secret", *s) for s in secrets]
+    covers = sorted((a, b) for _, a, b in base)
+    found, at = [], 0
+    for kind, a, b in sorted(proposed, key=lambda x: x[1]):
+        while at < len(covers) and covers[at][1] <= a:
+            at += 1
+        inside = any(x <= a and b <= y for x, y in covers[at : at + len(BASE)])
+        if not inside and (own := score(text, kind, a, b)) >= KEEP:
+            found.append((kind, a, b, own))
+    return sorted(found, key=lambda x: (ADDED.index(x[0]), x[1]))
 
 
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
     base = base_spans(text)
-    has_digit = _digits.search(text) is not None
-    return base, added_spans(text) if has_digit else []
+    asked = _digits.search(text) is not None or any(x in text for x in _WITHOUT_DIGITS)
+    return base, added_spans(text, base) if asked else []
 
 
 def _joined(found) -> str:
-    return ",".join(f"{x[0]}:{x[1]}:{x[2]}" for x in found)
+    return ",".join(":".join(map(str, x)) for x in found)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> counts of the base kinds, digest of the base spans, all spans; no shuffle."""
+    """doc_id, text -> counts of the base kinds, digest of the base spans, all spans, and all with scores; no shuffle."""
 
     def make() -> Callable:
         def work(doc_ids, texts):
             for doc_id, text in zip(doc_ids, texts, strict=True):
                 base, added = spans(text or "")
                 counts = [sum(x[0] == kind for x in base) for kind in BASE]
-                own = _joined(base)
+                scored = [(*x, score(text, *x)) for x in base] + added
                 yield (
                     doc_id,
                     *counts,
-                    hashlib.sha256(own.encode()).hexdigest(),
-                    ",".join(x for x in (own, _joined(added)) if x),
+                    hashlib.sha256(_joined(base).encode()).hexdigest(),
+                    _joined(x[:3] for x in scored),
+                    _joined(scored),
                 )
 
         return work
@@ -161,8 +218,7 @@ def masked(text: str) -> str:
     out, at = [], 0
     for start, end, kind in ordered:
         if start < at:
-            if end > at:
-                at = end
+            at = max(at, end)
             continue
         out += [text[at:start], f"<{kind.upper()}>"]
         at = end
@@ -170,27 +226,24 @@ def masked(text: str) -> str:
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
-    """Documents with personal data masked; n_chars follows the text, other columns pass through."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = docs.schema
+    """Documents with personal data masked; n_chars, if there is one, follows the text, other columns pass through."""
 
-    def run(batches):
-        import pyarrow as pa
+    packed = docs.select(F.struct(*columns_of(docs)).alias("row"))
 
+    def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            clean = [None if t is None else masked(t) for t in texts]
-            columns = []
-            for f in batch.schema:
-                column = batch.column(batch.schema.get_field_index(f.name))
+            rows = batch.column(0)
+            fields, columns = list(rows.type), rows.flatten()
+            names = [f.name for f in fields]
+            clean = [None if t is None else masked(t) for t in columns[names.index("text")].to_pylist()]
+            for i, f in enumerate(fields):
                 if f.name == "text":
-                    column = pa.array(clean, pa.string())
+                    columns[i] = pa.array(clean, f.type)
                 elif f.name == "n_chars":
-                    column = pa.array([n if t is None else len(t) for t, n in zip(clean, column.to_pylist(), strict=True)], f.type)
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    columns[i] = pa.array([n if t is None else len(t) for t, n in zip(clean, columns[i].to_pylist(), strict=True)], f.type)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
 
-    return docs.select(*rest, "text").select(*docs.columns).mapInArrow(run, schema)
+    return packed.mapInArrow(run, packed.schema).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
