@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -343,74 +344,80 @@ def test_shards_match_the_mixture(spark, odd_docs, no_docs):
     assert op09_sharding.interleave(no_docs).count() == 0
 
 
-def naive_tree(counts, depth, nodes):
-    """The same mixture, node by node and bit by bit."""
-    total = sum(counts.values())
+def naive_tree(counts, depth):
+    """log10 probability of a byte after a context by the same mixture, node by node and bit by bit."""
     by = defaultdict(Counter)
     for gram, n in counts.items():
         for d in range(depth + 1):
             by[d, (gram >> 8) & ((1 << 8 * d) - 1)][gram & 255] += n
-    kept = {k for k, c in by.items() if sum(c.values()) * nodes >= total}
 
-    def at(c, prefix, level):
-        zero = sum(n for b, n in c.items() if b >> (7 - level) == prefix << 1)
-        return zero, sum(n for b, n in c.items() if b >> (7 - level) == prefix << 1 | 1)
+    def at(key, prefix, level):
+        c = by.get(key, {})
+        return tuple(sum(n for b, n in c.items() if b >> (7 - level) == prefix << 1 | bit) for bit in (0, 1))
 
     def log_kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
-    def children(key):
-        return [k for k in kept if k[0] == key[0] + 1 and k[1] & ((1 << 8 * key[0]) - 1) == key[1]]
-
+    @cache
     def weighted(key, prefix, level):
-        z, o = at(by[key], prefix, level)
+        own = log_kt(*at(key, prefix, level))
         if key[0] == depth:
-            return log_kt(z, o)
-        inside = 0.0
-        for k in children(key):
-            inside += weighted(k, prefix, level)
-            a, b = at(by[k], prefix, level)
-            z, o = z - a, o - b
-        inside += log_kt(z, o)
-        own = log_kt(*at(by[key], prefix, level))
-        return np.logaddexp(own, inside) - math.log(2)
-
-    def p_one(key, context, prefix, level):
-        z, o = at(by[key], prefix, level)
+            return own
+        below = [k for k in by if k[0] == key[0] + 1 and k[1] & ((1 << 8 * key[0]) - 1) == key[1]]
+        return np.logaddexp(own, sum(weighted(k, prefix, level) for k in below)) - math.log(2)
+
+    def p_one(d, context, prefix, level):
+        key = (d, context & ((1 << 8 * d) - 1))
+        z, o = at(key, prefix, level)
         own = (o + 0.5) / (z + o + 1)
-        if key[0] == depth:
+        if d == depth or sum(at((d + 1, context & ((1 << 8 * (d + 1)) - 1)), prefix, level)) == 0:
             return own
         w = math.exp(log_kt(z, o) - math.log(2) - weighted(key, prefix, level))
-        below = (key[0] + 1, context & ((1 << 8 * (key[0] + 1)) - 1))
-        if below in kept:
-            return w * own + (1 - w) * p_one(below, context, prefix, level)
-        for k in children(key):
-            a, b = at(by[k], prefix, level)
-            z, o = z - a, o - b
-        return w * own + (1 - w) * (o + 0.5) / (z + o + 1)
+        return w * own + (1 - w) * p_one(d + 1, context, prefix, level)
 
     def byte(context, x):
         out = 0.0
         for level in range(8):
-            p = p_one((0, 0), context, x >> (8 - level), level)
+            p = p_one(0, context, x >> (8 - level), level)
             out += math.log10(p if x >> (7 - level) & 1 else 1 - p)
         return out
 
     return byte
 
 
-def test_context_tree_against_node_by_node(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abab abba", "abba", "aab é", "bab", ""])], "doc_id long, text string")
-    counts = op03_ctw.training_counts(docs, 2)
-    grams = {r["gram"]: r["n"] for r in counts.where("gram is not null").collect()}
-    for nodes in (4, 64):
-        tree = op03_ctw.fit_tree(counts, 2, nodes)
-        byte = naive_tree(grams, 2, nodes)
-        for text in (b"abba", b"zz", b"", b"\xc3\xa9 a"):
-            found, _ = op03_ctw.grams([text], 2)
-            expected = sum(byte(int(g) >> 8, int(g) & 255) for g in found)
-            got = op03_ctw.log10_of_texts([text], tree.child, tree.log10, 2)[0]
-            assert abs(got - expected) < 1e-4, (nodes, text)
+@pytest.mark.parametrize(("depth", "head"), [(3, 1), (4, 30), (4, 1 << 20)])
+def test_context_tree_against_node_by_node(spark, depth, head):
+    """Scores of all texts, trained on or not, with few, some and all n-grams in the head."""
+    texts = ["abab abba", "abba", "aab é", "bab", "", None, "abba zz", "ABBA aab", "qq", "abba", "ab", "zé", "x"]
+    rows = list(enumerate(texts)) + [(3, "bab"), (None, "aab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [(i, (t or "").encode().lower()) for i, t in rows]
+    assert any(op03_ctw.held_out(i) for i, _ in clean)
+    counts = Counter(int(g) for i, t in clean if not op03_ctw.held_out(i) for g in op03_ctw.grams([t], depth)[0])
+    byte = naive_tree(counts, depth)
+    expected = sorted((str(i), round(sum(byte(int(g) >> 8, int(g) & 255) for g in op03_ctw.grams([t], depth)[0]), 6)) for i, t in clean)
+    got = op03_ctw.score(docs, depth=depth, head_grams=head, head_words=4).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == expected
+
+
+def test_probabilities_of_all_bytes_sum_to_one(spark):
+    """Over all bytes after seen and unseen contexts."""
+    grams = [(0x6162 << 16 | 0x63 << 8 | x, 3 if x in (97, 98) else 0) for x in range(256)]
+    grams += [(0x7A7A << 16 | 0x7A << 8 | x, 0) for x in range(256)]
+    counts = spark.createDataFrame([(None, g, n) for g, n in grams], "word string, gram long, n long")
+    sums = Counter()
+    for r in op03_ctw.prices(counts, 3).collect():
+        sums[r["gram"] >> 8] += 10 ** r["p"]
+    assert len(sums) == 2 and all(abs(x - 1) < 1e-9 for x in sums.values())
+
+
+def test_the_tree_grows_with_the_corpus(spark, words):
+    """All contexts stay, however rare: twice the texts have the more nodes."""
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choice(words) + str(r.randrange(999)) for _ in range(80))) for i in range(60)]
+    sizes = [op03_ctw.prices(op03_ctw.corpus_counts(spark.createDataFrame(rows[:n], "doc_id long, text string"))).count() for n in (30, 60)]
+    distinct = len(set(op03_ctw.grams([t.encode().lower() for _, t in rows], op03_ctw.DEPTH)[0].tolist()))
+    assert sizes[1] == distinct > 1.5 * sizes[0]
 
 
 @pytest.mark.parametrize("common", [3, 1 << 20])
@@ -428,13 +435,13 @@ def test_word_base_of_odd_rows(odd_docs, common):
         expected.append((str(r["doc_id"]), op03_ctw.held_out(r["doc_id"]), len(tokens), sum(seen[t] > 0 for t in tokens), total, f"{base:.6g}"))
     got = [
         (str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6g}")
-        for r in op03_ctw.score(odd_docs, depth=2, nodes=64, words=common).collect()
+        for r in op03_ctw.score(odd_docs, depth=3, head_grams=64, head_words=common).collect()
     ]
     assert sorted(got) == sorted(expected)
 
 
 def test_scores_of_empty_tables(no_docs):
-    assert op03_ctw.score(no_docs, depth=2, nodes=16).count() == 0
+    assert op03_ctw.score(no_docs, depth=3).count() == 0
 
 
 def plain_kneser_ney(texts, order):

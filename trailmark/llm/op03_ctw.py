@@ -2,18 +2,21 @@
 
 Every byte of a text is coded as eight binary decisions, each in a context tree over the DEPTH bytes before it. A node
 keeps a Krichevsky-Trofimov estimate; a node's weighted probability mixes its own estimate with that of the trees
-below it, so that all depths are weighed at once. The tree is that of the training texts, with the nodes that hold at
-least 1/NODES of all training bytes; bytes of smaller contexts stay, pooled, under their longest kept suffix. By
-that bound a depth has at most NODES nodes at any size of the corpus, and the tables are of bounded size. After
-training the estimates stand still: a byte's probability is its mixture over the path of its context.
+below it, so that all depths are weighed at once. The tree holds every context of the training texts, however rare:
+it grows with the corpus. After training the estimates stand still: a byte's probability is its mixture over the path
+of its context; where a decision was never seen in the next deeper context, the node before takes all that is left.
+
+1. One pass counts words and n-grams (a byte with its context); n-grams of held-out texts come along with count 0.
+2. Counts are dealt out by the three latest bytes of their context: below such a context the tree is a task's own.
+   Bottom up each task weighs its subtrees and hands on sums by context of two bytes and decision (65,536 * 255 at
+   most at any size of the corpus), from which the driver weighs the top of the tree.
+3. Top down each task prices its n-grams: log10 of the byte's probability in its context.
+4. Texts are scored where they lie by the most frequent n-grams and words, which hold at least 1/HEAD_GRAMS and
+   1/HEAD_WORDS of the training data (so there are no more of them than that); all others are joined.
 
 A text ends with an end symbol (byte 0xFF, which no UTF-8 text holds), so that the probabilities of all texts sum to
-one. Contexts before the start are zero bytes. Texts are lower-cased (A-Z) throughout.
-
-The word statistics beside it (counts, their base score) are exact: words that hold at least 1/WORDS of all training
-tokens, at most WORDS of them by that bound, are looked up where the text is read; all others are joined by word.
-
-Training documents are those whose crc32(doc_id as text) modulo PARTS is not HELD_OUT.
+one. Contexts before the start are zero bytes. Texts are lower-cased (A-Z) throughout. Training documents are those
+whose crc32(doc_id as text) modulo PARTS is not HELD_OUT.
 
 Defined results: a null text counts as empty (one token, the end); a null doc_id counts as an empty id text and is
 trained on unless its remainder says otherwise; repeated rows count as often as they occur and get a row each; with
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from math import log10
 
 import numpy as np
@@ -35,16 +39,16 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH, NODES, WORDS = 5, 1 << 16, 1 << 20
+DEPTH = 5
+#: Bytes of a context that decide which task has it; above, the tree is the driver's.
+DEALT, TOP = 3, 2
+HEAD_GRAMS, HEAD_WORDS = 1 << 20, 1 << 20
 PARTS, HELD_OUT = 7, 2
 #: The end: as a word it is empty, as a byte it is 0xFF.
 END_WORD, END = b"", 255
-#: Different words, and n-gram positions, that a task holds before it hands on their counts.
-HOLD_WORDS, HOLD_GRAMS = 200_000, 1_000_000
-SCORED = (
-    "doc_id long,digest long,held_out boolean,n_tokens long,known long,sum_log double,score double,"
-    "n_bytes long"
-)
+#: Different words, and n-gram positions, that a task holds before it hands on their counts; n-grams of a task's trees.
+HOLD_WORDS, HOLD_GRAMS, TASK_GRAMS = 200_000, 1_000_000, 1_000_000
+LN2 = float(np.log(2))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -64,48 +68,47 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def training_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """word, n and gram, n over all training documents, in one pass and one shuffle."""
+def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """word, n of training documents, and gram, n of all, those of held-out ones with 0; in one pass and one shuffle."""
 
     schema = pa.schema([("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
-    def run(batches):
-        words: Counter[bytes] = Counter()
-        held: list[bytes] = []
-        size = 0
+    def word_counts(words: Counter) -> pa.RecordBatch:
+        found = pa.array(list(words), pa.binary()).cast(pa.string())
+        out = [found, pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())]
+        words.clear()
+        return pa.RecordBatch.from_arrays(out, schema=schema)
 
-        def word_counts() -> pa.RecordBatch:
-            found = pa.array(list(words), pa.binary()).cast(pa.string())
-            out = [found, pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())]
-            words.clear()
-            return pa.RecordBatch.from_arrays(out, schema=schema)
-
-        def gram_counts() -> pa.RecordBatch:
-            found, n = np.unique(grams(held, depth)[0], return_counts=True)
-            held.clear()
-            out = [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))]
-            return pa.RecordBatch.from_arrays(out, schema=schema)
+    def gram_counts(texts: list[bytes], trained: bool) -> pa.RecordBatch:
+        found, n = np.unique(grams(texts, depth)[0], return_counts=True)
+        texts.clear()
+        out = [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64) * trained)]
+        return pa.RecordBatch.from_arrays(out, schema=schema)
 
+    def run(batches):
+        words: Counter[bytes] = Counter()
+        held: dict[bool, list[bytes]] = {True: [], False: []}
+        size = {True: 0, False: 0}
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held_out(doc_id):
-                        continue
-                    text = (text or "").encode().lower()
-                    words.update(text.split())
-                    words[END_WORD] += 1
-                    held.append(text)
-                    size += len(text)
-                    if size > HOLD_GRAMS:
-                        yield gram_counts()
-                        size = 0
+                    text, trained = (text or "").encode().lower(), not held_out(doc_id)
+                    if trained:
+                        words.update(text.split())
+                        words[END_WORD] += 1
+                    held[trained].append(text)
+                    size[trained] += len(text)
+                    if size[trained] > HOLD_GRAMS:
+                        yield gram_counts(held[trained], trained)
+                        size[trained] = 0
                 if len(words) > HOLD_WORDS:
-                    yield word_counts()
+                    yield word_counts(words)
         if words:
-            yield word_counts()
-        if held:
-            yield gram_counts()
+            yield word_counts(words)
+        for trained, texts in held.items():
+            if texts:
+                yield gram_counts(texts, trained)
 
     passed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "word string,gram long,n long"
@@ -133,159 +136,183 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by byte -> zeros and ones at each of the 255 decisions, by level and then by prefix."""
-    zeros, ones = [], []
-    for level in range(8):
-        halves = counts.reshape(len(counts), 2 << level, 128 >> level).sum(axis=2)
-        zeros.append(halves[:, 0::2])
-        ones.append(halves[:, 1::2])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
-def _log10_bytes(p_one: np.ndarray) -> np.ndarray:
-    """Probability of a one at each decision -> log10 probability of each byte."""
-    out = np.zeros((len(p_one), 1))
-    at = 0
-    for level in range(8):
-        p = p_one[:, at : at + (1 << level)]
-        at += 1 << level
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(out), 2 << level)
+class Decisions:
+    """One of the eight decisions of n-grams in a tree of contexts, from depth `top` down to `depth`.
+
+    N-grams are sorted by decision and then by context, the latest byte first: the nodes of each depth are runs of rows.
+    start[d]: where the runs of depth d begin; zeros, ones, log_kt and log_weighted belong to these runs.
+    """
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, level: int, depth: int, top: int):
+        self.depth, self.top = depth, top
+        byte = gram & np.uint64(255)
+        keys = self.keys_of(gram, level, depth)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.bit = ((byte[self.order] >> np.uint64(7 - level)) & np.uint64(1)).astype(np.int64)
+        weights = n[self.order].astype(np.float64)
+        self.start, self.zeros, self.ones, self.log_kt, self.log_weighted = {}, {}, {}, {}, {}
+        for d in range(depth, top - 1, -1):
+            own = self.keys >> np.uint64(8 * (depth - d))
+            self.start[d] = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            self.ones[d] = np.add.reduceat(weights * self.bit, self.start[d])
+            self.zeros[d] = np.add.reduceat(weights * (1 - self.bit), self.start[d])
+            self.log_kt[d] = _log_kt(self.zeros[d], self.ones[d])
+            if d == depth:
+                self.log_weighted[d] = self.log_kt[d]
+            else:
+                inside = np.add.reduceat(self.log_weighted[d + 1], np.searchsorted(self.start[d + 1], self.start[d]))
+                self.log_weighted[d] = np.logaddexp(self.log_kt[d], inside) - LN2
+
+    @staticmethod
+    def keys_of(gram: np.ndarray, level: int, depth: int) -> np.ndarray:
+        """The decision (of 255: those of a byte's first bits) and below it the context, its latest byte first."""
+        turned = np.zeros((len(gram), 8), np.uint8)
+        turned[:, 8 - depth :] = gram.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1 : depth + 1]
+        context = turned.view(">u8").ravel().astype(np.uint64)
+        decision = np.uint64((1 << level) - 1) + ((gram & np.uint64(255)) >> np.uint64(8 - level))
+        return (decision << np.uint64(8 * depth)) | context
+
+    def each(self, values: np.ndarray, d: int, among: int | None = None) -> np.ndarray:
+        """Values of the runs of depth d for each row, or for each run of depth `among`."""
+        size = len(self.keys) if among is None else len(self.start[among])
+        start = self.start[d] if among is None else np.searchsorted(self.start[among], self.start[d])
+        return np.repeat(values, np.diff(np.append(start, size)))
+
+
+def mixing_weights(log_kt: np.ndarray, log_weighted: np.ndarray) -> np.ndarray:
+    """What a node's own estimate weighs against the trees below it."""
+    return np.exp(log_kt - LN2 - log_weighted)
+
+
+class TreeTop:
+    """The tree above depth TOP + 1, from sums by context of TOP bytes and decision.
+
+    For each of those: `so_far` and `left`, the mixture down to depth TOP - 1 and what is left for deeper nodes; and the
+    weight and estimate of the node itself.
+    """
+
+    def __init__(self, keys: np.ndarray, inside: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        at = np.argsort(keys)
+        self.keys, inside, zeros, ones = keys[at], inside[at], zeros[at], ones[at]
+        nodes = []
+        for d in range(TOP, -1, -1):
+            kt = _log_kt(zeros, ones)
+            weighted = np.logaddexp(kt, inside) - LN2
+            nodes.append((mixing_weights(kt, weighted), (ones + 0.5) / (zeros + ones + 1), zeros + ones))
+            if d:
+                above = self.keys >> np.uint64(8 * (TOP - d + 1))
+                now = self.keys >> np.uint64(8 * (TOP - d))
+                runs = np.flatnonzero(np.append(True, now[1:] != now[:-1])) if len(now) else np.empty(0, np.int64)
+                own = above[runs]
+                start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+                inside, zeros, ones = (np.add.reduceat(x, start) if len(x) else x for x in (weighted, zeros, ones))
+        places = lambda d: np.unique(self.keys >> np.uint64(8 * (TOP - d)), return_inverse=True)[1]
+        self.so_far, self.left = np.zeros(len(self.keys)), np.ones(len(self.keys))
+        for d in range(TOP):
+            (weight, estimate, _), (_, _, below) = nodes[TOP - d], nodes[TOP - d - 1]
+            own = np.where(below[places(d + 1)] > 0, weight[places(d)], 1.0)
+            self.so_far += self.left * own * estimate[places(d)]
+            self.left *= 1 - own
+        self.weight, self.estimate = nodes[0][:2]
+
+
+def _dealt(counts: DataFrame, depth: int) -> DataFrame:
+    """gram, n with all n-grams of a context of DEALT bytes in one partition, and about TASK_GRAMS in each."""
+    own = counts.where("gram is not null").select("gram", "n")
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // TASK_GRAMS)
+    return own.repartition(parts, F.expr(f"shiftright(gram, 8) & {(1 << 8 * min(DEALT, depth)) - 1}L"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    rows = [b for b in batches if b.num_rows]
+    gram, n = (np.concatenate([b.column(i).to_numpy() for b in rows]) if rows else np.empty(0, np.int64) for i in (0, 1))
+    return gram.view(np.uint64), n
+
+
+def tree_top(counts: DataFrame, depth: int = DEPTH) -> TreeTop:
+    def run(batches):
+        gram, n = _whole(batches)
+        for level in range(8) if len(gram) else ():
+            tree = Decisions(gram, n, level, depth, DEALT)
+            keys = tree.keys[tree.start[DEALT]] >> np.uint64(8 * (depth - TOP))
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sums = [np.add.reduceat(x[DEALT], start) for x in (tree.log_weighted, tree.zeros, tree.ones)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[start].view(np.int64)), *map(pa.array, sums)], names=["k", "inside", "zeros", "ones"])
+
+    found = _dealt(counts, depth).mapInArrow(run, "k long,inside double,zeros double,ones double")
+    rows = found.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("inside", "zeros", "ones")]).toPandas()
+    return TreeTop(rows["k"].to_numpy(np.int64).view(np.uint64), *(rows[c].to_numpy(float) for c in ("inside", "zeros", "ones")))
+
+
+def price(gram: np.ndarray, n: np.ndarray, top: TreeTop, depth: int) -> np.ndarray:
+    """log10 probability of each n-gram's byte after its context; all n-grams of a context of DEALT bytes together."""
+    out = np.zeros(len(gram))
+    for level in range(8) if len(gram) else ():
+        tree = Decisions(gram, n, level, depth, DEALT)
+        seen = {d: tree.zeros[d] + tree.ones[d] for d in tree.start}
+        at = np.searchsorted(top.keys, tree.keys[tree.start[DEALT]] >> np.uint64(8 * (depth - TOP)))
+        own = np.where(seen[DEALT] > 0, top.weight[at], 1.0)
+        so_far = top.so_far[at] + top.left[at] * own * top.estimate[at]
+        left = top.left[at] * (1 - own)
+        for d in range(DEALT, depth + 1):
+            estimate = (tree.ones[d] + 0.5) / (seen[d] + 1)
+            weight = mixing_weights(tree.log_kt[d], tree.log_weighted[d])
+            if d == depth:
+                so_far += left * estimate
+                break
+            so_far, left, estimate, weight = (tree.each(x, d, d + 1) for x in (so_far, left, estimate, weight))
+            own = np.where(seen[d + 1] > 0, weight, 1.0)
+            so_far += left * own * estimate
+            left *= 1 - own
+        one = tree.each(so_far, depth)
+        out[tree.order] += np.log10(np.where(tree.bit == 1, one, 1 - one))
     return out
 
 
-class ContextTree:
-    """levels[d]: contexts of d bytes (latest byte lowest), sorted, and their counts by next byte."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(levels) - 1
-        offsets = np.cumsum([0] + [len(c) for c, _ in levels])
-        inner = int(offsets[-2]) if self.depth else 0
-        self.child = np.full((max(inner, 1), 256), -1, np.int32)
-        parents = [np.zeros(1, np.int64)]
-        for d in range(1, self.depth + 1):
-            contexts, above = levels[d][0], levels[d - 1][0]
-            suffix = contexts & np.uint64((1 << 8 * (d - 1)) - 1)
-            parent = np.searchsorted(above, suffix)
-            parents.append(parent)
-            oldest = (contexts >> np.uint64(8 * (d - 1))).astype(np.int64)
-            self.child[offsets[d - 1] + parent, oldest] = offsets[d] + np.arange(len(contexts))
-        pooled, weights, own = self._weigh(levels, parents)
-        self.log10 = np.empty((offsets[-1], 256), np.float32)
-        so_far, left = np.zeros((1, 255)), np.ones((1, 255))
-        for d in range(self.depth + 1):
-            so_far, left = so_far[parents[d]], left[parents[d]]
-            so_far += left * weights[d] * own[d]
-            left *= 1 - weights[d]
-            for begin in range(0, len(left), 1024):
-                part = slice(begin, begin + 1024)
-                self.log10[offsets[d] : offsets[d + 1]][part] = _log10_bytes(so_far[part] + left[part] * pooled[d][part])
-            pooled[d] = weights[d] = own[d] = None
-
-    def _weigh(self, levels, parents):
-        """Bottom up: the estimate of what is pooled at each node, the node's weight, and its own estimate."""
-        pooled, weights, own, below = [], [], [], None
-        small = lambda x: x.astype(np.float32)  # noqa: E731  what is kept for all depths
-        for d in range(self.depth, -1, -1):
-            zeros, ones = _bits(levels[d][1])
-            estimate = (ones + 0.5) / (zeros + ones + 1)
-            log_own = _log_kt(zeros, ones)
-            if below is None:
-                pooled.append(small(estimate))
-                weights.append(np.ones_like(pooled[0]))
-                log_weighted = log_own
-            else:
-                child_log, child_zeros, child_ones = below
-                inside, z, o = np.zeros_like(zeros), zeros.copy(), ones.copy()
-                np.add.at(inside, parents[d + 1], child_log)
-                np.subtract.at(z, parents[d + 1], child_zeros)
-                np.subtract.at(o, parents[d + 1], child_ones)
-                inside += _log_kt(z, o)
-                log_weighted = np.logaddexp(log_own, inside) - np.log(2)
-                pooled.append(small((o + 0.5) / (z + o + 1)))
-                weights.append(small(np.exp(log_own - np.log(2) - log_weighted)))
-            own.append(small(estimate))
-            below = log_weighted, zeros, ones
-            levels[d] = levels[d][0], None
-        return pooled[::-1], weights[::-1], own[::-1]
-
-
-def fit_tree(counts: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> ContextTree:
-    """counts: gram, n -> the tree of the contexts that hold at least 1/nodes of all bytes."""
-    every = counts.where("gram is not null")
-    total = every.agg(F.sum("n")).first()[0] or 0
-    level = F.explode(F.array(*[F.lit(d) for d in range(depth + 1)]))
-    context = F.expr(f"shiftright(gram, 8) & element_at(array({','.join(f'{(1 << 8 * d) - 1}L' for d in range(depth + 1))}), d + 1)")
-    followers = (
-        every.withColumn("d", level)
-        .groupBy("d", context.alias("context"), F.expr("gram & 255").alias("x"))
-        .agg(F.sum("n").alias("n"))
-    )
-    heavy = followers.groupBy("d", "context").agg(F.sum("n").alias("all")).where(F.col("all") * nodes >= max(1, total))
-    rows = followers.join(heavy.select("d", "context"), ["d", "context"]).toPandas()
-    levels = []
-    for d in range(depth + 1):
-        own = rows[rows["d"] == d]
-        contexts, at = np.unique(own["context"].to_numpy().astype(np.uint64), return_inverse=True)
-        if d == 0 and not len(contexts):
-            contexts = np.zeros(1, np.uint64)
-        by_byte = np.zeros((len(contexts), 256))
-        by_byte[at, own["x"].to_numpy().astype(np.int64)] = own["n"].to_numpy()
-        levels.append((contexts, by_byte))
-    return ContextTree(levels)
-
-
-def log10_of_texts(texts: list[bytes], child: np.ndarray, log10_table: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each text with its end."""
-    if not texts:
-        return np.empty(0)
-    found, starts = grams(texts, depth)
-    state = np.zeros(len(found), np.int64)
-    alive = np.ones(len(found), bool)
-    for d in range(1, depth + 1):
-        byte = ((found >> np.uint64(8 * d)) & np.uint64(255)).astype(np.int64)
-        # states of the last depth have no row of their own in `child`, but are reached only at the last step
-        after = child[state, byte]
-        alive &= after >= 0
-        np.copyto(state, after, where=alive)
-    return np.add.reduceat(log10_table[state, (found & np.uint64(255)).astype(np.int64)].astype(np.float64), starts)
+def prices(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """gram, n, log10 probability of its byte after its context, for every n-gram of the corpus."""
+    top = counts.sparkSession.sparkContext.broadcast(tree_top(counts, depth))
+
+    def run(batches):
+        gram, n = _whole(batches)
+        out = [pa.array(gram.view(np.int64)), pa.array(n), pa.array(price(gram, n, top.value, depth))]
+        yield pa.RecordBatch.from_arrays(out, names=["gram", "n", "p"])
 
+    return written(_dealt(counts, depth).mapInArrow(run, "gram long,n long,p double"))
 
-def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, words: int = WORDS) -> DataFrame:
+
+def score(docs: DataFrame, depth: int = DEPTH, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, text -> held_out, token counts, base score, the model's log10 probability, bits a byte."""
+    if depth < DEALT or depth > 6:
+        raise ValueError(f"a depth from {DEALT} to 6")
     spark = docs.sparkSession
-    counts = training_counts(docs, depth)
+    counts = corpus_counts(docs, depth)
     tokens = counts.where("word is not null").select("word", "n")
     totals = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = tokens.where(F.col("n") * words >= max(1, totals["n"]))
-    known = {w.encode(): log10(n + 1) for w, n in common.toLocalIterator()}
-    tree = fit_tree(counts, depth, nodes)
-    model = spark.sparkContext.broadcast((known, tree.child, tree.log10))
-    del tree
-
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64()),
-            ("digest", pa.int64()),
-            ("held_out", pa.bool_()),
-            ("n_tokens", pa.int64()),
-            ("known", pa.int64()),
-            ("sum_log", pa.float64()),
-            ("score", pa.float64()),
-            ("n_bytes", pa.int64()),
-            ("words", pa.list_(pa.string())),
-            ("times", pa.list_(pa.int32())),
-        ]
-    )
+    frequent = F.col("n") * head_words >= max(1, totals["n"])
+    known = {w.encode(): log10(n + 1) for w, n in tokens.where(frequent).toLocalIterator()}
+    priced = prices(counts, depth)
+    trained = priced.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * head_grams >= max(1, trained)
+    head = priced.where(common).select("gram", "p").toPandas().sort_values("gram")
+    model = spark.sparkContext.broadcast((known, head["gram"].to_numpy(np.int64), head["p"].to_numpy(np.float64)))
+    del head, known
+
+    kinds = {
+        "doc_id": pa.int64(), "digest": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "sum_log": pa.float64(),
+        "score": pa.float64(), "n_bytes": pa.int64(), "words": pa.list_(pa.string()), "times": pa.list_(pa.int32()), "grams": pa.list_(pa.int64()),
+    }
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches):
-        common, child, log10_table = model.value
+        common, head, log10_of = model.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 texts = [(t or "").encode().lower() for t in part.column(1).to_pylist()]
-                own: list[list] = [[] for _ in schema]
-                scores = log10_of_texts(texts, child, log10_table, depth)
+                own: list[list] = [[] for _ in range(len(schema) - 1)]
+                scores, rest = scored_by_head(texts, depth, head, log10_of)
                 for doc_id, text, s in zip(part.column(0).to_pylist(), texts, scores.tolist(), strict=True):
                     seen = Counter(text.split())
                     seen[END_WORD] = 1
@@ -304,33 +331,29 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, words: int =
                     )
                     for column, value in zip(own, row, strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(own, schema, strict=True)], schema=schema
-                )
-
-    scored = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            run, f"{SCORED},words array<string>,times array<int>"
-        )
-    )
-    rare = scored.select("doc_id", "digest", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
-        "doc_id", "digest", F.col("x.words").alias("word"), F.col("x.times").alias("times")
+                columns = [pa.array(c, f.type) for c, f in zip(own, schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, rest], schema=schema)
+
+    ddl = "doc_id long,digest long,held_out boolean,n_tokens long,known long,sum_log double,score double,n_bytes long,words array<string>,times array<int>,grams array<long>"
+    scored = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl))
+    row = ["doc_id", "digest"]
+    rare = scored.select(*row, F.explode(F.arrays_zip("words", "times")).alias("x")).select(*row, F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = rare.join(tokens.where(~frequent), "word").select(
+        *row, F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"), F.lit(0.0).alias("more_score")
     )
+    tail = scored.select(*row, F.explode("grams").alias("gram")).join(priced.where(~common).select("gram", "p"), "gram")
+    tail = tail.select(*row, F.lit(0).alias("more"), F.lit(0.0).alias("more_log"), F.col("p").alias("more_score"))
     # rows of the same id and text fall together here, so their sums are shared out again
-    found = (
-        rare.join(tokens.where(F.col("n") * words < max(1, totals["n"])), "word")
-        .groupBy("doc_id", "digest")
-        .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
+    found = rare.union(tail).groupBy(*row).agg(*[F.sum(c).alias(c) for c in ("more", "more_log", "more_score")])
+    copies = scored.groupBy(*row).agg(F.count(F.lit(1)).alias("copies")).toDF("d", "g", "copies")
+    found = found.join(copies, found["doc_id"].eqNullSafe(F.col("d")) & (found["digest"] == F.col("g"))).select(
+        "d", "g", (F.col("more") / F.col("copies")).cast("long").alias("more"), *[(F.col(c) / F.col("copies")).alias(c) for c in ("more_log", "more_score")]
     )
-    copies = scored.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    found = found.join(
-        copies.toDF("d", "g", "copies"),
-        found["doc_id"].eqNullSafe(F.col("d")) & (found["digest"] == F.col("g")),
-    ).select("d", "g", (F.col("more") / F.col("copies")).cast("long").alias("more"), (F.col("more_log") / F.col("copies")).alias("more_log"))
-    rows = scored.drop("words", "times").join(
+    rows = scored.drop("words", "times", "grams").join(
         found, scored["doc_id"].eqNullSafe(F.col("d")) & (scored["digest"] == F.col("g")), "left"
     )
     each = log10(totals["n"] + totals["v"] + 1)
+    total = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return rows.select(
         "doc_id",
         "held_out",
@@ -338,10 +361,25 @@ def score(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES, words: int =
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(totals["n"]).cast("long").alias("train_tokens"),
         (F.col("sum_log") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
-        (-F.col("score") * F.lit(1 / log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        total.alias("score"),
+        (-total * F.lit(1 / log10(2)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
+def scored_by_head(texts: list[bytes], depth: int, head: np.ndarray, log10_of: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """log10 probability of the positions whose n-gram is in the head, by text, and the other n-grams of each text."""
+    if not texts:
+        return np.empty(0), pa.array([], pa.list_(pa.int64()))
+    found, starts = grams(texts, depth)
+    distinct, places = np.unique(found.view(np.int64), return_inverse=True)
+    at = np.minimum(np.searchsorted(head, distinct), max(0, len(head) - 1))
+    hit = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
+    values = np.where(hit, log10_of[at], 0.0) if len(head) else np.zeros(len(distinct))
+    rest = ~hit[places]
+    offsets = np.append(0, np.cumsum(np.add.reduceat(rest.astype(np.int32), starts)))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.view(np.int64)[rest]))
+    return np.add.reduceat(values[places], starts), lists
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
