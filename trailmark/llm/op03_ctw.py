@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH = 5
+DEPTH = 6
 #: Bytes of a context that decide which task has it; above, the tree is the driver's.
 DEALT, TOP = 3, 2
 HEAD_GRAMS, HEAD_WORDS = 1 << 20, 1 << 20
