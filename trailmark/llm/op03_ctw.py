@@ -39,15 +39,16 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH = 6
+DEPTH = 5
 #: Bytes of a context that decide which task has it; above, the tree is the driver's.
 DEALT, TOP = 3, 2
-HEAD_GRAMS, HEAD_WORDS = 1 << 20, 1 << 20
+HEAD_GRAMS, HEAD_WORDS = 1 << 23, 1 << 20
 PARTS, HELD_OUT = 7, 2
 #: The end: as a word it is empty, as a byte it is 0xFF.
 END_WORD, END = b"", 255
-#: Different words, and n-gram positions, that a task holds before it hands on their counts; n-grams of a task's trees.
-HOLD_WORDS, HOLD_GRAMS, TASK_GRAMS = 200_000, 1_000_000, 1_000_000
+#: Different words, bytes of text, and n-grams with counts that a task holds before it hands them on; n-grams of a
+#: task's trees.
+HOLD_WORDS, HOLD_BYTES, HOLD_GRAMS, TASK_GRAMS = 200_000, 1_000_000, 2_000_000, 1_000_000
 LN2 = float(np.log(2))
 
 
@@ -68,6 +69,45 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+class Tally:
+    """Counts of n-grams, merged now and then; what has grown too many is handed on."""
+
+    def __init__(self, depth: int, trained: bool):
+        self.depth, self.trained = depth, trained
+        self.texts: list[bytes] = []
+        self.bytes = 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.texts.append(text)
+        self.bytes += len(text)
+        if self.bytes > HOLD_BYTES:
+            self._count()
+            if sum(len(g) for g, _ in self.parts) > HOLD_GRAMS:
+                self._merge()
+                if len(self.parts[0][0]) > HOLD_GRAMS // 2:
+                    yield self.parts.pop()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.texts:
+            self._count()
+        if self.parts:
+            self._merge()
+            yield self.parts.pop()
+
+    def _count(self) -> None:
+        found, n = np.unique(grams(self.texts, self.depth)[0], return_counts=True)
+        self.parts.append((found, n.astype(np.int64) * self.trained))
+        self.texts, self.bytes = [], 0
+
+    def _merge(self) -> None:
+        found, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        at = np.argsort(found, kind="stable")
+        found = found[at]
+        start = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        self.parts = [(found[start], np.add.reduceat(n[at], start))]
+
+
 def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """word, n of training documents, and gram, n of all, those of held-out ones with 0; in one pass and one shuffle."""
 
@@ -79,16 +119,12 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         words.clear()
         return pa.RecordBatch.from_arrays(out, schema=schema)
 
-    def gram_counts(texts: list[bytes], trained: bool) -> pa.RecordBatch:
-        found, n = np.unique(grams(texts, depth)[0], return_counts=True)
-        texts.clear()
-        out = [pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64) * trained)]
-        return pa.RecordBatch.from_arrays(out, schema=schema)
+    def gram_counts(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n)], schema=schema)
 
     def run(batches):
         words: Counter[bytes] = Counter()
-        held: dict[bool, list[bytes]] = {True: [], False: []}
-        size = {True: 0, False: 0}
+        tallies = {trained: Tally(depth, trained) for trained in (True, False)}
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
@@ -97,18 +133,15 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     if trained:
                         words.update(text.split())
                         words[END_WORD] += 1
-                    held[trained].append(text)
-                    size[trained] += len(text)
-                    if size[trained] > HOLD_GRAMS:
-                        yield gram_counts(held[trained], trained)
-                        size[trained] = 0
+                    for found in tallies[trained].add(text):
+                        yield gram_counts(*found)
                 if len(words) > HOLD_WORDS:
                     yield word_counts(words)
         if words:
             yield word_counts(words)
-        for trained, texts in held.items():
-            if texts:
-                yield gram_counts(texts, trained)
+        for tally in tallies.values():
+            for found in tally.rest():
+                yield gram_counts(*found)
 
     passed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "word string,gram long,n long"
@@ -296,7 +329,7 @@ def score(docs: DataFrame, depth: int = DEPTH, head_grams: int = HEAD_GRAMS, hea
     trained = priced.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     common = F.col("n") * head_grams >= max(1, trained)
     head = priced.where(common).select("gram", "p").toPandas().sort_values("gram")
-    model = spark.sparkContext.broadcast((known, head["gram"].to_numpy(np.int64), head["p"].to_numpy(np.float64)))
+    model = spark.sparkContext.broadcast((known, head["gram"].to_numpy(np.int64), head["p"].to_numpy(np.float32)))
     del head, known
 
     kinds = {
