@@ -45,10 +45,20 @@ def without_gaps(stalled: DataFrame, source_lag: DataFrame, next_system: DataFra
 
 
 def freshness(events: DataFrame, now: Column) -> DataFrame:
-    """source, observed_at -> longest gap so far, silence now, and whether that is a visibility gap."""
-    order = Window.partitionBy("source").orderBy("observed_at")
+    """source, observed_at -> longest gap so far, silence now, and whether that is a visibility gap.
+
+    Gaps are found within each hour, and between the hours that have events from their first and last ones, so that no
+    source is one task's rows.
+    """
+    hour = F.date_trunc("HOUR", "observed_at")
+    order = Window.partitionBy("source", "_hour").orderBy("observed_at")
     gap = F.col("observed_at").cast("double") - F.lag("observed_at").over(order).cast("double")
-    found = events.withColumn("_gap", gap).groupBy("source").agg(F.max("_gap").alias("max_gap_s"), F.max("observed_at").alias("last_seen"))
+    hours = events.withColumn("_hour", hour).withColumn("_gap", gap).groupBy("source", "_hour").agg(
+        F.max("_gap").alias("_inside"), F.min("observed_at").alias("_first"), F.max("observed_at").alias("_last")
+    )
+    before = F.lag("_last").over(Window.partitionBy("source").orderBy("_hour")).cast("double")
+    hours = hours.withColumn("_between", F.col("_first").cast("double") - before)
+    found = hours.groupBy("source").agg(F.max(F.greatest("_inside", "_between")).alias("max_gap_s"), F.max("_last").alias("last_seen"))
     silent = now.cast("double") - F.col("last_seen").cast("double")
     return found.select("source", "max_gap_s", "last_seen", silent.alias("silent_s"), (silent > F.col("max_gap_s")).alias("visibility_gap"))
 
@@ -137,10 +147,10 @@ def lift(rows: DataFrame, attribute: str, stalled: str) -> DataFrame:
     by_value = rows.groupBy(F.col(attribute).alias("value")).agg(
         F.count_if(F.col(stalled)).alias("stalled"), F.count_if(~F.col(stalled)).alias("others")
     )
-    whole = Window.partitionBy(F.lit(0))
-    share = F.col("stalled") / F.sum("stalled").over(whole)
-    usual = F.col("others") / F.sum("others").over(whole)
-    return by_value.select("value", "stalled", "others", F.try_divide(share, usual).alias("lift"))
+    totals = by_value.agg(F.sum("stalled").alias("_stalled"), F.sum("others").alias("_others")).withColumn("_one", F.lit(1))
+    joined = by_value.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")  # a single row
+    share, usual = F.col("stalled") / F.col("_stalled"), F.col("others") / F.col("_others")
+    return joined.select("value", "stalled", "others", F.try_divide(share, usual).alias("lift"))
 
 
 def throttle(notifications: DataFrame, most: int = 20) -> DataFrame:

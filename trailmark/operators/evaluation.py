@@ -89,10 +89,24 @@ def false_alerts(faults: DataFrame, alerts: DataFrame, matches: DataFrame, first
     )
 
 
-def gap_attribution(matches: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Of detected faults: the share whose alert is flagged as a visibility gap."""
-    flags = alerts.select("alert_id", "is_gap")
-    return matches.where("detected").join(flags, "alert_id").agg(F.avg(F.col("is_gap").cast("double")).alias("attribution"))
+def gap_attribution(faults: DataFrame, matches: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Share of the visibility-gap faults that are attributed; null if there is none.
+
+    A gap is attributed if its matched alert says it is a gap, and no alert that does not say so is open during the gap
+    and shares one of its transactions. faults: fault_id, is_gap, start_at, end_at, affected; alerts: alert_id, is_gap,
+    opened_at, resolved_at (null: still open), alert_txns.
+    """
+    gaps = faults.where("is_gap")
+    said = matches.where("detected").join(alerts.where("is_gap").select("alert_id"), "alert_id").select("fault_id")
+    # they meet by transaction, so that only alerts on the gap's own are compared
+    touched = gaps.select("fault_id", "start_at", "end_at", F.explode("affected").alias("_txn"))
+    blame = alerts.where("not is_gap").select("opened_at", "resolved_at", F.explode("alert_txns").alias("_txn"))
+    during = (F.col("end_at").isNull() | (F.col("opened_at") <= F.col("end_at"))) & (
+        F.col("resolved_at").isNull() | (F.col("resolved_at") >= F.col("start_at"))
+    )
+    blamed = touched.join(blame, "_txn").where(during).select("fault_id").distinct()
+    right = gaps.join(said, "fault_id", "left_semi").join(blamed, "fault_id", "left_anti").select("fault_id", F.lit(True).alias("right"))
+    return gaps.join(right, "fault_id", "left").agg(F.avg(F.coalesce("right", F.lit(False)).cast("double")).alias("attribution"))
 
 
 def manual_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:

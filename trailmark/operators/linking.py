@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import kit
+from trailmark.session import settled
 
 #: Defaults of the link rules.
 LEAST_CONTAINMENT, LEAST_MATCHES, MOST_CONCENTRATION, MOST_CHANCE = 0.2, 20, 0.5, 0.3
@@ -20,10 +21,6 @@ def token_table(identifiers: DataFrame) -> DataFrame:
     )
 
 
-def without_hubs(tokens: DataFrame, most: int = 50) -> DataFrame:
-    return tokens.where(F.col("events") <= most)
-
-
 def pairs(tokens: DataFrame) -> DataFrame:
     """Tokens that two fields share, each pair of fields once. Joined on the token, spread by hash."""
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("system", "field", "form", "events", "first_seen", "shape")]
@@ -38,26 +35,32 @@ FIELDS = ["system_a", "field_a", "form_a", "system_b", "field_b", "form_b"]
 
 
 def features(identifiers: DataFrame) -> DataFrame:
-    """Evidence for each pair of fields that share tokens."""
-    tokens = token_table(identifiers)
-    shared = pairs(tokens)
+    """Evidence for each pair of fields that share tokens.
+
+    Fan-out and concentration come from counts by number of events, so that no pair of fields, however many tokens it
+    shares, is one task's rows; exact percentiles of the lag are aggregates with merged counts.
+    """
+    tokens = settled(token_table(identifiers))
+    shared = settled(pairs(tokens))
     sizes = tokens.groupBy("system", "field", "form").agg(
         F.count(F.lit(1)).alias("n"), F.max(kit.shape_domain(F.col("shape"))).alias("domain")
     )
     lag = F.col("first_seen_b").cast("double") - F.col("first_seen_a").cast("double")
-    top = Window.partitionBy(*FIELDS).orderBy(F.desc("_weight"), "token")
-    ranked = shared.withColumn("_weight", F.col("events_a") + F.col("events_b")).withColumn("_rank", F.row_number().over(top))
-    evidence = ranked.groupBy(*FIELDS).agg(
-        F.count(F.lit(1)).alias("n_match"),
-        F.percentile(lag, F.lit(0.5)).alias("lag_median"),
-        (F.percentile(lag, F.lit(0.75)) - F.percentile(lag, F.lit(0.25))).alias("lag_iqr"),
+    lags = shared.groupBy(*FIELDS).agg(
+        F.percentile(lag, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_lag"),
         F.avg(F.when(lag > 0, 1.0).when(lag.isNotNull(), 0.0)).alias("lag_positive_share"),
-        F.percentile("events_b", F.lit(0.5)).alias("fanout_ab"),
-        F.percentile("events_b", F.lit(0.99)).alias("fanout_ab_p99"),
-        F.percentile("events_a", F.lit(0.5)).alias("fanout_ba"),
-        F.percentile("events_a", F.lit(0.99)).alias("fanout_ba_p99"),
-        (F.sum(F.when(F.col("_rank") <= 10, F.col("_weight")).otherwise(0)) / F.sum("_weight")).alias("concentration"),
     )
+    counts = settled(shared.groupBy(*FIELDS, "events_a", "events_b").agg(F.count(F.lit(1)).alias("c")))
+    two = F.array(F.lit(0.5), F.lit(0.99))
+    fanout = counts.groupBy(*FIELDS).agg(
+        F.sum("c").alias("n_match"), F.percentile("events_b", two, F.col("c")).alias("_ab"), F.percentile("events_a", two, F.col("c")).alias("_ba")
+    )
+    # the weight of the ten heaviest tokens, from how many tokens have each weight
+    weights = counts.groupBy(*FIELDS, (F.col("events_a") + F.col("events_b")).alias("w")).agg(F.sum("c").alias("c"))
+    heavier = Window.partitionBy(*FIELDS).orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(0), 10 - F.coalesce(F.sum("c").over(heavier), F.lit(0)))
+    top = weights.withColumn("_top", F.least("c", left)).groupBy(*FIELDS).agg((F.sum(F.col("w") * F.col("_top")) / F.sum(F.col("w") * F.col("c"))).alias("concentration"))
+    evidence = lags.join(fanout, FIELDS).join(top, FIELDS)
     for s in ("a", "b"):
         evidence = evidence.join(
             F.broadcast(sizes.toDF(f"system_{s}", f"field_{s}", f"form_{s}", f"n_{s}", f"domain_{s}")),
@@ -71,13 +74,13 @@ def features(identifiers: DataFrame) -> DataFrame:
         "n_match",
         (F.col("n_match") / F.col("n_a")).alias("c_ab"),
         (F.col("n_match") / F.col("n_b")).alias("c_ba"),
-        "lag_median",
-        "lag_iqr",
+        F.col("_lag")[1].alias("lag_median"),
+        (F.col("_lag")[2] - F.col("_lag")[0]).alias("lag_iqr"),
         "lag_positive_share",
-        "fanout_ab",
-        "fanout_ab_p99",
-        "fanout_ba",
-        "fanout_ba_p99",
+        F.col("_ab")[0].alias("fanout_ab"),
+        F.col("_ab")[1].alias("fanout_ab_p99"),
+        F.col("_ba")[0].alias("fanout_ba"),
+        F.col("_ba")[1].alias("fanout_ba_p99"),
         "concentration",
         (F.col("n_a") * F.col("n_b") / domain / F.col("n_match")).alias("chance_ratio"),
     )
@@ -88,17 +91,27 @@ def candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT) -> Data
     return features(identifiers).where(F.greatest("c_ab", "c_ba") >= least).select(*FIELDS, "n_a", "n_b", "n_match", "c_ab", "c_ba")
 
 
-def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
-    """The same from theta sketches: one sketch a field, so that pairing fields never touches tokens again."""
-    sketches = identifiers.groupBy("system", "field", "form").agg(F.theta_sketch_agg("token").alias("sketch"))
-    side = lambda s: sketches.toDF(f"system_{s}", f"field_{s}", f"form_{s}", f"sketch_{s}")
+def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT, size: int = 65_536) -> DataFrame:
+    """The same from samples of the tokens: a field keeps those whose hash is below 2**-level, about `size` at most.
+
+    Samples of different levels are comparable at the higher level, where they hold the same share of what two fields
+    share; they meet by token. The error of a count c estimated at level l is about sqrt(c * 2**l); fields of no more
+    than `size` tokens are exact among themselves.
+    """
+    tokens = settled(token_table(identifiers).select("system", "field", "form", "token").withColumn("h", F.xxhash64("token")))
+    sizes = tokens.groupBy("system", "field", "form").agg(F.count(F.lit(1)).alias("n"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / size))).cast("int")
+    names = ["system", "field", "form"]
+    within = lambda at: F.col("h").bitwiseAND(F.expr(f"shiftleft(1L, {at}) - 1")) == 0
+    sampled = tokens.join(F.broadcast(sizes.withColumn("level", level)), names).where(within("level"))
+    side = lambda s: sampled.select("token", "h", *[F.col(c).alias(f"{c}_{s}") for c in (*names, "n", "level")])
     name = lambda s: F.concat_ws("/", f"system_{s}", f"field_{s}", f"form_{s}")
-    both = side("a").join(side("b"), name("a") < name("b"))
-    n = F.theta_sketch_estimate
-    both = both.select(
-        *FIELDS, n("sketch_a").alias("n_a"), n("sketch_b").alias("n_b"), n(F.theta_intersection("sketch_a", "sketch_b")).alias("n_match")
+    both = side("a").join(side("b").drop("h"), "token").where((name("a") < name("b")) & (F.col("field_a") != F.col("field_b")))
+    both = both.withColumn("level", F.greatest("level_a", "level_b")).where(within("level"))
+    found = both.groupBy(*FIELDS, "n_a", "n_b").agg((F.count(F.lit(1)) * F.pow(F.lit(2.0), F.max("level"))).alias("n_match"))
+    return found.select(*FIELDS, F.col("n_a").cast("double").alias("n_a"), F.col("n_b").cast("double").alias("n_b"), "n_match").where(
+        F.col("n_match") >= least * F.least("n_a", "n_b")
     )
-    return both.where(F.col("n_match") >= least * F.least("n_a", "n_b"))
 
 
 def scored(features: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -154,6 +167,8 @@ def families(links: DataFrame) -> DataFrame:
 def composite_pairs(a: DataFrame, b: DataFrame, components: dict[str, tuple[float, float]], days: int, least: float) -> DataFrame:
     """Pairs without a shared id: blocked on an equal amount within some days, weighed by agreement.
 
+    Both sides meet by amount and by spans of days + 1 days, of which a pair lies in the same or in neighbouring ones.
+
     a, b: id, amount, day and the component columns. components: name -> (m, u), the chance that a component agrees
     in true and in random pairs.
     """
@@ -161,12 +176,15 @@ def composite_pairs(a: DataFrame, b: DataFrame, components: dict[str, tuple[floa
     left = a.select(F.col("id").alias("a_id"), "amount", F.col("day").alias("a_day"), *[F.col(c).alias(f"a_{c}") for c in names])
     right = b.select(F.col("id").alias("b_id"), "amount", F.col("day").alias("b_day"), *[F.col(c).alias(f"b_{c}") for c in names])
     gap = F.datediff("b_day", "a_day")
+    span = lambda day: F.floor(F.unix_date(day) / (days + 1))
+    left = left.withColumn("_span", F.explode(F.array(span("a_day"), span("a_day") + 1)))
+    right = right.withColumn("_span", span("b_day"))
     weight = sum(
         F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), F.log2(F.lit(m / u))).otherwise(F.log2(F.lit((1 - m) / (1 - u))))
         for c, (m, u) in components.items()
     )
     return (
-        left.join(right, "amount")
+        left.join(right, ["amount", "_span"])
         .where(gap.between(0, days))
         .select("a_id", "b_id", "amount", gap.alias("gap_days"), weight.alias("weight"))
         .where(F.col("weight") >= least)

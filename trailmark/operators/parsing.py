@@ -87,19 +87,26 @@ def flatten_xml(texts):
     return pd.Series([xml_fields(t) for t in texts])
 
 
+_VALUE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\s"]*+'
+#: A key with a value, or whatever else stands between white space.
+_WORD = rf'[^\s"=]+=(?:{_VALUE})(?=\s|$)|\S+'
+
+
 def logfmt(c: Column) -> Column:
-    """key=value pairs as a map, the last of equal keys; null if a bare word stands among them."""
-    pair = r'([A-Za-z_][\w.\-]*)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
-    keys = F.regexp_extract_all(c, F.lit(pair), F.lit(1))
-    values = F.transform(
-        F.regexp_extract_all(c, F.lit(pair), F.lit(2)), lambda v: F.replace(F.regexp_replace(v, r'^"|"$', ""), F.lit('\\"'), F.lit('"'))
+    """key=value pairs as a map, the last of equal keys; null if a bare word stands among them. Time is linear."""
+    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    key = r"^([A-Za-z_][\w.\-]*+)="
+    unquoted = lambda v: F.when(v.startswith('"'), F.replace(F.regexp_replace(v, r'^"|"$', ""), F.lit('\\"'), F.lit('"'))).otherwise(v)
+    pairs = F.transform(
+        words, lambda w, i: F.struct(F.regexp_extract(w, key, 1).alias("key"), i.alias("at"), unquoted(F.substr(w, F.instr(w, "=") + 1)).alias("value"))
     )
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: x["k"].isNotNull())
-    # the last of equal keys wins: keep an entry only if its key does not come again
-    indexed = F.transform(pairs, lambda x, i: F.struct(i.alias("i"), x["k"].alias("k"), x["v"].alias("v")))
-    last = F.filter(indexed, lambda x: ~F.exists(indexed, lambda y: (y["i"] > x["i"]) & (y["k"] == x["k"])))
-    entries = F.transform(last, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))
-    return F.when(c.rlike(rf"^\s*(?:{pair}\s*)+$"), F.map_from_entries(entries))
+    # by key and place: an entry stays if the next one has another key (both lists side by side, each made once)
+    ordered = F.array_sort(pairs)
+    after = F.concat(F.slice(ordered, F.lit(2), F.size(words)), F.array(F.struct(F.lit("").alias("key"), F.lit(-1).alias("at"), F.lit("").alias("value"))))
+    kept = F.zip_with(ordered, after, lambda x, y: F.when(x["key"] != y["key"], F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+    entries = F.filter(kept, lambda x: x.isNotNull())
+    fits = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(rf"{key}(?:{_VALUE})$"))
+    return F.when(fits, F.map_from_entries(entries))
 
 
 def access_log(c: Column) -> Column:

@@ -46,21 +46,21 @@ def top_shapes(values: DataFrame, k: int = 3) -> DataFrame:
         .groupBy("system", "field", kit.shape(F.col("value")).alias("shape"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_field = Window.partitionBy("system", "field")
-    ranked = counts.withColumn("share", F.col("n") / F.sum("n").over(per_field)).withColumn(
-        "rank", F.row_number().over(per_field.orderBy(F.desc("n"), "shape"))
-    )
-    return ranked.where(F.col("rank") <= k)
+    # the rank alone, so that all but k rows are left out before they meet
+    best = Window.partitionBy("system", "field").orderBy(F.desc("n"), "shape")
+    ranked = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    totals = counts.groupBy("system", "field").agg(F.sum("n").alias("_all"))
+    return ranked.join(totals, ["system", "field"]).select("system", "field", "shape", "n", (F.col("n") / F.col("_all")).alias("share"), "rank")
 
 
 def concentration(values: DataFrame, k: int = 10) -> DataFrame:
-    """Share of a field's rows that its k most frequent values hold."""
+    """Share of a field's rows that its k most frequent values hold, from how many values have each frequency."""
     counts = values.where("value is not null and value <> ''").groupBy("system", "field", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_field = Window.partitionBy("system", "field")
-    ranked = counts.withColumn("rank", F.row_number().over(per_field.orderBy(F.desc("n"), "value")))
-    return ranked.groupBy("system", "field").agg(
-        (F.sum(F.when(F.col("rank") <= k, F.col("n")).otherwise(0)) / F.sum("n")).alias("concentration")
-    )
+    sizes = counts.groupBy("system", "field", "n").agg(F.count(F.lit(1)).alias("c"))
+    heavier = Window.partitionBy("system", "field").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.greatest(F.lit(0), k - F.coalesce(F.sum("c").over(heavier), F.lit(0)))
+    ranked = sizes.withColumn("_top", F.least("c", left))
+    return ranked.groupBy("system", "field").agg((F.sum(F.col("n") * F.col("_top")) / F.sum(F.col("n") * F.col("c"))).alias("concentration"))
 
 
 def quality(values: DataFrame) -> DataFrame:

@@ -68,28 +68,32 @@ def batch_pr(spark, sf_dir):
 
 
 def _faults(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_id % 500 = 0")
-    at = F.col("ts").cast("timestamp")
+    """Errors of high value are faults: their kind, length and transactions follow from the value."""
+    events = table(spark, sf_dir, "events").where("event_type = 'error' and value >= 150")
+    at, whole = F.col("ts").cast("timestamp"), F.floor("value")
     return events.select(
-        F.col("event_id").alias("fault_id"), F.when(F.col("event_id") % 1000 == 0, "error").alias("kind"), at.alias("start_at"),
-        F.when(F.col("event_id") % 1500 != 0, at + F.expr("interval 1 hour")).alias("end_at"),
-        F.when(F.col("event_id") % 2000 == 0, F.array(F.col("user_id"))).otherwise(F.array().cast("array<bigint>")).alias("affected"),
+        F.col("event_id").alias("fault_id"), F.when(whole % 2 == 0, "error").alias("kind"), (whole % 3 == 0).alias("is_gap"), at.alias("start_at"),
+        F.when(whole % 5 != 0, at + F.expr("interval 1 hour")).alias("end_at"),
+        F.when(whole % 4 == 0, F.array(F.col("user_id"))).otherwise(F.array().cast("array<bigint>")).alias("affected"),
         F.lit("auth").alias("cause"),
     )
 
 
 def _alerts(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_id % 7 = 0")
-    return events.select(
-        F.col("event_id").alias("alert_id"), F.col("event_type").alias("alert_kind"), F.col("ts").cast("timestamp").alias("opened_at"), F.array("user_id").alias("alert_txns"),
-        (F.col("event_id") % 3 == 0).alias("is_gap"), F.array(F.when(F.col("event_id") % 2 == 0, "auth").otherwise("drift"), F.lit("gap")).alias("causes"),
+    """Every event is an alert on its user's transaction."""
+    at, whole = F.col("ts").cast("timestamp"), F.floor("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("alert_id"), F.col("event_type").alias("alert_kind"), at.alias("opened_at"),
+        F.when(whole % 7 != 0, at + F.expr("interval 10 minutes")).alias("resolved_at"), F.array("user_id").alias("alert_txns"),
+        (whole % 3 == 0).alias("is_gap"), F.array(F.when(whole % 2 == 0, "auth").otherwise("drift"), F.lit("gap")).alias("causes"),
     )
 
 
 _FAULTS = """
-faults as (select event_id as fault_id, case when event_id % 1000 = 0 then 'error' end as kind, ts as start_at, case when event_id % 1500 <> 0 then ts + interval 1 hour end as end_at,
-  case when event_id % 2000 = 0 then user_id end as affected from events where event_id % 500 = 0),
-alerts as (select event_id as alert_id, event_type as alert_kind, ts as opened_at, user_id as txn, event_id % 3 = 0 as is_gap, case when event_id % 2 = 0 then 'auth' else 'drift' end as cause from events where event_id % 7 = 0),
+faults as (select event_id as fault_id, case when floor(value) % 2 = 0 then 'error' end as kind, floor(value) % 3 = 0 as is_gap, ts as start_at, case when floor(value) % 5 <> 0 then ts + interval 1 hour end as end_at,
+  case when floor(value) % 4 = 0 then user_id end as affected from events where event_type = 'error' and value >= 150),
+alerts as (select event_id as alert_id, event_type as alert_kind, ts as opened_at, case when floor(value) % 7 <> 0 then ts + interval 10 minutes end as resolved_at, user_id as txn, floor(value) % 3 = 0 as is_gap,
+  case when floor(value) % 2 = 0 then 'auth' else 'drift' end as cause from events),
 matches as (
   select fault_id, alert_id, alert_id is not null as detected, case when alert_id is not null then greatest(0.0, epoch(opened_at) - epoch(start_at)) end as wait_s
   from faults f left join alerts a on (kind is null or kind = alert_kind) and opened_at between start_at - interval 2 minutes and coalesce(end_at, start_at + interval 1 day) + interval 2 minutes and (affected is null or affected = txn)
@@ -128,9 +132,14 @@ def false_alerts(spark, sf_dir):
     return evaluation.false_alerts(_faults(spark, sf_dir), _alerts(spark, sf_dir), _matches(spark, sf_dir), "2024-01-01", 40, 2)
 
 
-@query("eval_visibility_gap", f"with {_FAULTS} select avg(case when a.is_gap then 1.0 else 0.0 end) as attribution from matches join alerts a using (alert_id) where detected")
+@query(
+    "eval_visibility_gap",
+    f"""with {_FAULTS} select avg(case when exists (select 1 from matches m join alerts a using (alert_id) where m.fault_id = f.fault_id and a.is_gap)
+      and not exists (select 1 from alerts b where not b.is_gap and b.txn = f.affected and (f.end_at is null or b.opened_at <= f.end_at) and (b.resolved_at is null or b.resolved_at >= f.start_at))
+      then 1.0 else 0.0 end) as attribution from faults f where f.is_gap""",
+)
 def visibility_gap(spark, sf_dir):
-    return evaluation.gap_attribution(_matches(spark, sf_dir), _alerts(spark, sf_dir))
+    return evaluation.gap_attribution(_faults(spark, sf_dir), _matches(spark, sf_dir), _alerts(spark, sf_dir))
 
 
 @query("eval_cause_top1", f"with {_FAULTS} select count(*)::bigint as n, avg(case when a.cause = 'auth' then 1.0 else 0.0 end) as top1 from matches join alerts a using (alert_id) where detected")

@@ -100,12 +100,21 @@ def severity_lexicon(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(severity).alias("errors"))
 
 
+ACTORS = ("ann.{}", "svc_{}", "{}-bot", "api/{}", "batch-{}", "cron_{}", "my{}daemon", "{} service", " ", "IntegrationUser{}", "rob{}ot")
+
+
 @query(
     "kit_actor_kind",
-    "select role, case when lower(role) = 'system' then 'service' else 'human' end as actor_kind, count(*)::bigint as n from conversations group by all",
+    """
+    with a as (select replace(list_extract(['ann.{}', 'svc_{}', '{}-bot', 'api/{}', 'batch-{}', 'cron_{}', 'my{}daemon', '{} service', ' ', 'IntegrationUser{}', 'rob{}ot'], (turn % 11)::int + 1), '{}', role) as actor from conversations),
+    l as (select actor, lower(trim(actor)) as name, string_split_regex(lower(trim(actor)), '[_.:@/ -]') as parts from a)
+    select actor, case when name = '' then 'unknown' when list_has_any(parts, ['svc', 'api', 'integration', 'system', 'bot', 'daemon', 'service'])
+      or contains(name, 'integration') or contains(name, 'daemon') or contains(name, 'system') then 'service' else 'human' end as actor_kind, count(*)::bigint as n from l group by all""",
 )
 def actor_kind(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role", kit.actor_kind(F.col("role")).alias("actor_kind")).agg(F.count(F.lit(1)).alias("n"))
+    form = F.element_at(F.array(*map(F.lit, ACTORS)), (F.col("turn") % len(ACTORS) + 1).cast("int"))
+    actors = table(spark, sf_dir, "conversations").select(F.replace(form, F.lit("{}"), F.col("role")).alias("actor"))
+    return actors.groupBy("actor", kit.actor_kind(F.col("actor")).alias("actor_kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("kit_json_flatten", "select event_id, json_extract_string(props, '$.k') as k from events")
@@ -208,13 +217,30 @@ def pii_hide(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(kit.hide(F.col("text"))).alias("digest"))
 
 
-@query("pii_luhn")
+@query(
+    "pii_luhn",
+    """
+    with n as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) as number from documents),
+    d as (select doc_id, number, list_transform(string_split(reverse(number), ''), lambda x: x::int) as digits from n where length(number) between 13 and 19)
+    select doc_id, regexp_replace(repeat('9', length(number)), '(9{12})9+', '\\1+') as shape,
+           list_sum(list_transform(digits, lambda x, i: case when i % 2 = 1 then x when x > 4 then 2 * x - 9 else 2 * x end)) % 10 = 0 as valid from d""",
+)
 def pii_luhn(spark, sf_dir):
-    cards = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[0-9]{16}\b"), F.lit(0))).alias("number"))
+    """Every run of 13 to 19 digits."""
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("number"))
+    cards = runs.where(F.length("number").between(13, 19))
     return cards.select("doc_id", kit.shape(F.col("number")).alias("shape"), kit.luhn(F.col("number")).alias("valid"))
 
 
-@query("secret_shapes")
+@query(
+    "secret_shapes",
+    """
+    with runs as (select *, regexp_extract_all(text, '[A-Za-z0-9+/=_-]{32,}') as runs from documents)
+    select source, count(*) filter (where length(text) >= 20 and (
+        regexp_matches(text, 'eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]+-----|(^|[^A-Z0-9])(AKIA|ASIA)[A-Z0-9]{16}([^A-Z0-9]|$)')
+        or len(list_filter(runs, lambda r: regexp_matches(r, '[a-z]') and regexp_matches(r, '[A-Z]') and regexp_matches(r, '[0-9]') and list_entropy(string_split(r, '')) >= 3.5)) > 0))::bigint as secrets
+    from runs group by source""",
+)
 def secret_shapes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(kit.looks_like_secret(F.col("text"))).alias("secrets"))
 

@@ -8,7 +8,6 @@ from trailmark.operators import linking, profile
 from trailmark.plans.registry import query
 from trailmark.sources.tables import IDENTIFIERS_SQL, identifiers, table
 
-CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 VALUES_SQL = """
 v as (select 'sys_crm' as system, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) as field,
              unnest([c_custkey::varchar, c_name, c_nationkey::varchar, c_mktsegment]) as value from customer)
@@ -161,7 +160,11 @@ def scored(spark, sf_dir):
     return _numbered(linking.scored(linking.features(identifiers(spark, sf_dir))), "score")
 
 
-@query("link_theta_candidates")
+@query(
+    "link_theta_candidates",
+    f"""with {FEATURES_SQL} select system_a, field_a, form_a, system_b, field_b, form_b, n_a::double as n_a, n_b::double as n_b, n_match::double as n_match
+    from features where n_match >= 0.2 * least(n_a, n_b)""",
+)
 def theta_candidates(spark, sf_dir):
     return linking.sketch_candidates(identifiers(spark, sf_dir))
 
@@ -200,14 +203,14 @@ def families(spark, sf_dir):
     b as (select event_id as id, round(value * 100)::bigint as amount, ts::date as day, user_id from events where event_type = 'error')
     select a.id as a_id, b.id as b_id, a.amount, (b.day - a.day)::int as gap_days,
            round(case when a.user_id = b.user_id then log2(0.9 / 0.01) else log2((1 - 0.9) / (1 - 0.01)) end, 6) as weight
-    from a join b on a.amount = b.amount and b.day - a.day between 0 and 3""",
+    from a join b on a.amount = b.amount and b.day - a.day between 0 and 3 where a.user_id = b.user_id""",
 )
 def composite_pairs(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     side = lambda kind: events.where(F.col("event_type") == kind).select(
         F.col("event_id").alias("id"), F.round(F.col("value") * 100).cast("long").alias("amount"), F.to_date("ts").alias("day"), "user_id"
     )
-    return _numbered(linking.composite_pairs(side("purchase"), side("error"), {"user_id": (0.9, 0.01)}, 3, -99.0), "weight")
+    return _numbered(linking.composite_pairs(side("purchase"), side("error"), {"user_id": (0.9, 0.01)}, 3, 0.0), "weight")
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.plans.registry import query
+from trailmark.session import shared_dir
 from trailmark.sources.tables import table
 from trailmark.streaming import flows
 
@@ -63,20 +66,19 @@ def dedupe(spark, sf_dir):
 
 @query(
     "str_state_open_txns",
-    "select user_id as entity, count(*)::bigint as events, arg_max(event_type, (ts, event_id)) as last_node, max(ts) as last_seen from events group by 1",
+    """
+    with m as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 3 days then 0 else 1 end as fresh from events),
+    n as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as txn from m)
+    select user_id as entity, count(*)::bigint as events, arg_max(event_type, (ts, event_id)) as last_node, max(ts) as last_seen from n group by user_id, txn""",
 )
 def open_transactions(spark, sf_dir):
-    return _plain(flows.run_to_table(flows.open_transactions(_stream(spark, sf_dir)), "complete"), "last_seen")
+    return _plain(flows.run_to_table(flows.open_transactions(_stream(spark, sf_dir), "3 days"), "complete"), "last_seen")
 
 
 @query("str_idempotent_ingest", "select event_id, user_id as entity from events")
 def idempotent_ingest(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-    at = f"{folder}/ingest/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/ingest/{uuid.uuid4().hex}"
     events = _stream(spark, sf_dir).select("event_id", "entity")
-    for _ in range(2):  # the second run finds nothing new
-        flows.ingest(events, f"{at}/table", f"{at}/ledger", f"{at}/state").awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{at}/table")
+    for state in ("state", "state", "lost"):  # the second run finds nothing new, the third repeats the batches
+        flows.ingest(events, f"{at}/table", f"{at}/{state}").awaitTermination()
+    return flows.ingested(spark, f"{at}/table", events.schema)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -20,11 +25,25 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that the session shares; a temporary one only where it names none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names, or else the warehouse.
+
+    A temporary folder serves only where all tasks run in the driver.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        named = _own_dir() if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return named.rstrip("/")
+
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="shared-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
+    at = f"{shared_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
