@@ -35,12 +35,17 @@ FIELDS = ["system_a", "field_a", "form_a", "system_b", "field_b", "form_b"]
 
 
 def features(identifiers: DataFrame) -> DataFrame:
-    """Evidence for each pair of fields that share tokens.
+    """Evidence for each pair of fields that share tokens, from identifiers."""
+    return features_of(token_table(identifiers))
+
+
+def features_of(token_rows: DataFrame) -> DataFrame:
+    """The same from a token table.
 
     Fan-out and concentration come from counts by number of events, so that no pair of fields, however many tokens it
     shares, is one task's rows; exact percentiles of the lag are aggregates with merged counts.
     """
-    tokens = settled(token_table(identifiers))
+    tokens = settled(token_rows)
     shared = settled(pairs(tokens))
     sizes = tokens.groupBy("system", "field", "form").agg(
         F.count(F.lit(1)).alias("n"), F.max(kit.shape_domain(F.col("shape"))).alias("domain")
@@ -86,9 +91,9 @@ def features(identifiers: DataFrame) -> DataFrame:
     )
 
 
-def candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
+def candidates(features: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
     """Pairs of fields of which one holds at least `least` of the other's tokens."""
-    return features(identifiers).where(F.greatest("c_ab", "c_ba") >= least).select(*FIELDS, "n_a", "n_b", "n_match", "c_ab", "c_ba")
+    return features.where(F.greatest("c_ab", "c_ba") >= least).select(*FIELDS, "n_a", "n_b", "n_match", "c_ab", "c_ba")
 
 
 def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT, size: int = 65_536) -> DataFrame:

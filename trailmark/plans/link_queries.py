@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import linking, profile
 from trailmark.plans.registry import query
-from trailmark.sources.tables import IDENTIFIERS_SQL, identifiers, table
+from trailmark.sources.tables import IDENTIFIERS_SQL, identifiers, table, tokens
 
 VALUES_SQL = """
 v as (select 'sys_crm' as system, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) as field,
@@ -132,7 +132,7 @@ def _numbered(df, *numbers):
 
 @query("link_candidates_containment", f"with {FEATURES_SQL} select system_a, field_a, form_a, system_b, field_b, form_b, n_a, n_b, n_match, c_ab, c_ba from features where greatest(c_ab, c_ba) >= 0.2")
 def candidates(spark, sf_dir):
-    return linking.candidates(identifiers(spark, sf_dir))
+    return linking.candidates(linking.features_of(tokens(spark, sf_dir)))
 
 
 # concentration depends on which of equally frequent tokens come first only through equal weights, so it agrees
@@ -142,7 +142,7 @@ def candidates(spark, sf_dir):
     fanout_ab, fanout_ab_p99, fanout_ba, fanout_ba_p99, concentration, chance_ratio from features""",
 )
 def link_features(spark, sf_dir):
-    return linking.features(identifiers(spark, sf_dir))
+    return linking.features_of(tokens(spark, sf_dir))
 
 
 SCORED_SQL = f"""{FEATURES_SQL}, scored as (
@@ -157,7 +157,7 @@ SCORED_SQL = f"""{FEATURES_SQL}, scored as (
 
 @query("link_scored_directed_roles", f"with {SCORED_SQL} select * from scored")
 def scored(spark, sf_dir):
-    return _numbered(linking.scored(linking.features(identifiers(spark, sf_dir))), "score")
+    return _numbered(linking.scored(linking.features_of(tokens(spark, sf_dir))), "score")
 
 
 @query(
@@ -192,7 +192,7 @@ def bridge_fd(spark, sf_dir):
     select field, min(other) as family from reach group by field""",
 )
 def families(spark, sf_dir):
-    links = linking.scored(linking.features(identifiers(spark, sf_dir)))
+    links = linking.scored(linking.features_of(tokens(spark, sf_dir)))
     return linking.families(links.select(F.concat_ws("/", "system_a", "field_a").alias("a"), F.concat_ws("/", "system_b", "field_b").alias("b")))
 
 
@@ -233,7 +233,7 @@ def stale(spark, sf_dir):
     select * from q where link not like '%c_name%'""",
 )
 def review_queue(spark, sf_dir):
-    links = _numbered(linking.scored(linking.features(identifiers(spark, sf_dir))), "score")
+    links = _numbered(linking.scored(linking.features_of(tokens(spark, sf_dir))), "score")
     named = F.concat_ws("|", F.concat_ws("/", "system_a", "field_a", "form_a"), F.concat_ws("/", "system_b", "field_b", "form_b"))
     rejected = links.select(named.alias("link"), "score").where("link like '%c_name%'")
     return linking.review_queue(links, rejected).withColumn("weight", F.round("weight", 3))

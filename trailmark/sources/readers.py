@@ -96,7 +96,7 @@ def read_bundle(spark: SparkSession, folder: str) -> DataFrame:
     try:
         found = _digests(spark, folder)
     except Py4JJavaError as e:  # file systems with checksums of their own refuse a changed file first
-        if "ChecksumException" not in str(e.java_exception):
+        if "ChecksumException" not in str(e):
             raise
         raise ValueError(f"a file of {folder} is not what the manifest says") from e
     for name in sorted(found.keys() | manifest["files"].keys()):

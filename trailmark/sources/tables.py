@@ -15,11 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def identifiers(spark: SparkSession, sf_dir: str, key: bytes = TEST_KEY) -> DataFrame:
-    """system, field, form, token, shape, event_key, observed_at: one row an identifier of an event.
-
-    Raw values stay behind: only keyed tokens and shapes leave this function.
-    """
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """system, field, form, value, event_key, observed_at: raw values, for the functions below only."""
 
     def of(name: str, system: str, event_key: Column, observed_at: Column, fields: dict[str, tuple[Column, str]]) -> DataFrame:
         entries = F.array(
@@ -49,15 +46,29 @@ def identifiers(spark: SparkSession, sf_dir: str, key: bytes = TEST_KEY) -> Data
         of("customer", "sys_crm", F.concat(F.lit("c"), "c_custkey"), none, {"c_custkey": (F.col("c_custkey"), "raw"), "c_name": (F.col("c_name"), "digits.0")}),
     ]
     rows = frames[0].unionByName(frames[1]).unionByName(frames[2])
-    return rows.where(F.length("value") >= 3).select(
-        "system",
-        "field",
-        "form",
-        kit.token(kit.token_domain(F.col("form")), F.col("value"), key).alias("token"),
-        kit.shape(F.col("value")).alias("shape"),
-        "event_key",
-        "observed_at",
+    return rows.where(F.length("value") >= 3)
+
+
+def _tokenised(rows: DataFrame, key: bytes) -> list[Column]:
+    token = kit.token(kit.token_domain(F.col("form")), F.col("value"), key).alias("token")
+    return [F.col(c) for c in ("system", "field", "form")] + [token, kit.shape(F.col("value")).alias("shape")]
+
+
+def identifiers(spark: SparkSession, sf_dir: str, key: bytes = TEST_KEY) -> DataFrame:
+    """system, field, form, token, shape, event_key, observed_at: one row an identifier of an event.
+
+    Raw values stay behind: only keyed tokens and shapes leave this function.
+    """
+    rows = _values(spark, sf_dir)
+    return rows.select(*_tokenised(rows, key), "event_key", "observed_at")
+
+
+def tokens(spark: SparkSession, sf_dir: str, key: bytes = TEST_KEY) -> DataFrame:
+    """The token table of the identifiers: a value is keyed once, however many events carry it."""
+    rows = _values(spark, sf_dir).groupBy("system", "field", "form", "value").agg(
+        F.count(F.lit(1)).alias("events"), F.min("observed_at").alias("first_seen")
     )
+    return rows.select(*_tokenised(rows, key), "events", "first_seen")
 
 
 #: The same rows for DuckDB, with the plain value where Spark has the token.
