@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import json
 import re
 from datetime import datetime, timedelta
 
@@ -10,7 +11,7 @@ from trailmark.catalogue import QUERIES
 from trailmark.functions import kit
 from trailmark.operators import evaluation, linking, parsing
 from trailmark.operators.graph import connected
-from trailmark.plans import analyze_queries
+from trailmark.plans import analyze, analyze_queries
 from trailmark.sources import readers
 from trailmark.streaming import flows
 
@@ -183,6 +184,19 @@ def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
     assert {(r["line"], r["text"]) for r in rows} == {(i, f"line {i}") for i in range(1, 2_001) if i % 3}
 
 
+def test_identifiers_under_the_cap_keep_the_order_of_the_record(spark):
+    """The cap cuts the last fields of a record, not the last names; forms of a field stand together."""
+    names = [f"f{i:02d}" for i in range(40)]
+    body = lambda n: json.dumps({k: f"AB-{1000 * n + i}" for i, k in enumerate(reversed(names))})
+    rows = [("s", "src", f"l{n}", datetime(2024, 1, 1), body(n)) for n in range(10, 13)]
+    parsed = analyze.parse(spark.createDataFrame(rows, "system string, source string, locator string, received_at timestamp, text string"))
+    decisions = spark.createDataFrame([("s", k, "tokenize", "identifier") for k in names], "system string, field string, policy string, class string")
+    for r in analyze.emit(parsed, decisions, b"key").collect():
+        fields = [x["field"].rpartition("/")[2] for x in r["identifiers"]]
+        assert len(fields) == 64 and list(dict.fromkeys(fields)) == names[::-1][: len(set(fields))]
+        assert [x["form"] for x in r["identifiers"]][:4] == ["raw", "norm", "alnum", "digits.0"]
+
+
 def test_nfkc(spark):
     assert one(spark, kit.raw_unicode, " ﬁn ") == "fin"
 

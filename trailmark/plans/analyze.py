@@ -14,6 +14,8 @@ from trailmark.functions import kit
 from trailmark.operators import parsing, profile
 from trailmark.session import settled
 
+#: Fixed value: identifiers of an event.
+MAX_IDENTIFIERS = 64
 #: Fields that hold a record's time or level, in order of preference.
 TIME_FIELDS = ("timestamp", "@timestamp", "time", "ts", "datetime", "date", "created_at", "event_time")
 LEVEL_FIELDS = ("level", "severity", "log.level", "loglevel", "lvl")
@@ -67,8 +69,8 @@ def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
 
 def field_values(parsed: DataFrame) -> DataFrame:
     """system, field, value: one row a field of a record; the field is named by its template and path."""
-    rows = parsed.where("drop_reason is null and fields is not null").select("system", "template_id", "locator", F.explode("fields").alias("path", "value"))
-    return rows.select("system", F.concat_ws("/", "system", "template_id", "path").alias("field_ref"), F.col("path").alias("field"), "value", "locator")
+    rows = parsed.where("drop_reason is null and fields is not null").select("system", "template_id", "locator", F.posexplode("fields").alias("pos", "path", "value"))
+    return rows.select("system", F.concat_ws("/", "system", "template_id", "path").alias("field_ref"), F.col("path").alias("field"), "value", "locator", "pos")
 
 
 def decide(parsed: DataFrame) -> DataFrame:
@@ -91,20 +93,23 @@ def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1)
             F.struct(F.lit("raw").alias("form"), raw.alias("v")),
             F.struct(F.lit("norm").alias("form"), kit.norm(F.col("value")).alias("v")),
             F.struct(F.lit("alnum").alias("form"), kit.alnum(F.col("value")).alias("v")),
+            *[F.struct(F.lit(f"digits.{i}").alias("form"), F.get(kit.digit_runs(F.col("value")), F.lit(i)).alias("v")) for i in range(3)],
             F.struct(F.lit("date").alias("form"), kit.date_form(F.col("value")).alias("v")),
             F.struct(F.lit("amount").alias("form"), F.when(F.col("class") == "amount", kit.amount_minor_units(F.col("value"))).cast("string").alias("v")),
         ),
         lambda x: F.length(x["v"]) >= 3,
     )
-    exploded = routed.where("policy = 'tokenize'").select("system", "locator", "field_ref", F.posexplode(forms).alias("at", "x"))
+    exploded = routed.where("policy = 'tokenize'").select("system", "locator", "field_ref", "pos", F.posexplode(forms).alias("at", "x"))
     # a form whose value an earlier form of the same domain already has adds nothing
     domain = kit.token_domain(F.col("x.form"))
     tokens = (
         exploded.groupBy("system", "locator", "field_ref", domain.alias("domain"), F.col("x.v").alias("v"))
-        .agg(F.min_by("x.form", "at").alias("form"))
+        .agg(F.min_by("x.form", "at").alias("form"), F.min("pos").alias("pos"), F.min("at").alias("at"))
         .select(
             "system",
             "locator",
+            "pos",
+            "at",
             F.struct(
                 F.col("field_ref").alias("field"),
                 "form",
@@ -114,7 +119,11 @@ def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1)
             ).alias("identifier"),
         )
     )
-    identifiers = tokens.groupBy("system", "locator").agg(F.slice(F.array_sort(F.collect_list("identifier")), 1, 64).alias("identifiers"))
+    # under the cap the fields of a record come in their order, each with its forms in theirs
+    placed = F.array_sort(F.collect_list(F.struct("pos", "at", "identifier")))
+    identifiers = tokens.groupBy("system", "locator").agg(
+        F.transform(F.slice(placed, 1, MAX_IDENTIFIERS), lambda x: x["identifier"]).alias("identifiers")
+    )
     events = parsed.where("drop_reason is null").select("system", "source", "locator", "observed_at", "time_quality", "severity", "template_id", "actor_kind")
     keys = ["system", "locator"]
     return (
