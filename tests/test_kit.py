@@ -311,3 +311,42 @@ def test_cursor(spark):
 def test_custom_fields(spark):
     assert one(spark, lambda c: parsing.custom_fields(c, r"(\w+)=(\d+)", ["name", "n"]), "x=7") == {"name": "x", "n": "7"}
     assert one(spark, lambda c: parsing.custom_fields(c, r"(\w+)=(\d+)", ["name", "n"]), "x=y") is None
+
+
+def test_cards_within_runs(spark):
+    found = one(spark, kit.card_numbers, "a 99 4111-1111-1111-1111 b 1111111111111 c 4111111111111112 d -4111111111111111")
+    assert found == ["99 4111-1111-1111-1111"]
+
+
+def test_security_numbers_that_are_given_out(spark):
+    text = "123-45-6789 000-45-6789 666-45-6789 900-45-6789 123-00-6789 123-45-0000 1123-45-6789 123-45-67890"
+    assert one(spark, kit.security_numbers, text) == ["123-45-6789"]
+
+
+def test_national_phones(spark):
+    text = "(212) 555-0100, 212-555-0101 212.555.0102 5212-555-0103 212-555-01045 212555-0106"
+    assert one(spark, kit.national_phones, text) == ["(212) 555-0100", "212-555-0101", "212.555.0102"]
+
+
+def test_levels(spark):
+    words = {"[ERROR]": "error", "err:": "error", "W": "warn", "7": "debug", "8": None, "x" * 17: None, "": None, None: None}
+    for word, level in words.items():
+        assert one(spark, kit.level_severity, word) == level
+    assert [one(spark, kit.numbered_severity, n) for n in ("0", "1", "4", "5", "24", "25", "x")] == [None, "trace", "trace", "debug", "fatal", None, None]
+
+
+def test_log_exports_without_records(spark):
+    bodies = spark.createDataFrame([('{"resourceLogs": []}',), ("{}",), ("no json",), (None,)], "body string")
+    assert readers.otlp_logs(bodies, "body").count() == 0
+    one_record = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":{"intValue":"7"},"timeUnixNano":"0","observedTimeUnixNano":"1000000"}]}]}]}'
+    row = readers.otlp_logs(spark.createDataFrame([(one_record,)], "body string"), "body").selectExpr("text", "fields", "unix_micros(observed_at) as at").first()
+    assert (row["text"], row["fields"], row["at"]) == (None, {"body": "7"}, 1000)
+
+
+def test_alerts_close_after_two_clean_intervals(spark):
+    from trailmark.operators import detection
+
+    rows = [("a", f"2024-01-01 {t}:00", 6) for t in ("10:00", "10:15", "10:45", "11:45")]
+    marks = spark.createDataFrame(rows, "target string, bucket string, n long").withColumn("bucket", F.col("bucket").cast("timestamp"))
+    found = detection.alerts(marks, "x", F.lit("2024-01-01 12:00:00").cast("timestamp")).orderBy("episode").collect()
+    assert [(r["n"], r["resolved_at"] and r["resolved_at"].strftime("%H:%M"), r["notifications"]) for r in found] == [(18, "11:30", 3), (6, None, 1)]

@@ -9,6 +9,7 @@ from trailmark.plans import (  # noqa: F401  they register their queries
     flow_queries,
     kit_queries,
     link_queries,
+    rule_queries,
     source_queries,
     stream_queries,
 )

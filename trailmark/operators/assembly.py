@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.graph import connected
@@ -53,9 +53,27 @@ def latest_membership(versions: DataFrame) -> DataFrame:
     return versions.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
 
 
+def _order(events: DataFrame) -> list[str]:
+    """What orders a transaction's events: time (corrected where it is), the source's sequence, arrival, key."""
+    time = "ordered_at" if "ordered_at" in events.columns else "observed_at"
+    return [time, *[c for c in ("sequence", "ingested_at") if c in events.columns], "event_key"]
+
+
+def system_offsets(skews: DataFrame) -> DataFrame:
+    """system, offset_s: how far each system's clock is off, over all links that show it. One row a system."""
+    return skews.groupBy(F.col("system_b").alias("system")).agg(F.percentile("offset_s", F.lit(0.5)).alias("offset_s"))
+
+
+def corrected(events: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Events with `ordered_at`, their time without the offset of their system's clock; for ordering only."""
+    off = F.coalesce("offset_s", F.lit(0.0))
+    at = F.timestamp_micros(F.unix_micros("observed_at") - (off * 1_000_000).cast("bigint"))
+    return events.join(offsets, "system", "left").withColumn("ordered_at", at).drop("offset_s")
+
+
 def hops(journeys: DataFrame) -> DataFrame:
     """Consecutive nodes of each transaction with the latency between them."""
-    order = Window.partitionBy("txn").orderBy("observed_at", "event_key")
+    order = Window.partitionBy("txn").orderBy(*_order(journeys))
     return (
         journeys.withColumn("to_node", F.lead("node").over(order))
         .withColumn("_next", F.lead("observed_at").over(order))
@@ -98,8 +116,23 @@ def next_probability(hop_rows: DataFrame) -> DataFrame:
     return counts.withColumn("p_next", F.col("n") / F.sum("n").over(Window.partitionBy("from_node")))
 
 
+def aged(journeys: DataFrame, now: Column) -> DataFrame:
+    """Events of transactions that opened longer ago than 99 % of all take from their first event to their last."""
+    spans = journeys.groupBy("txn").agg(F.min("observed_at").alias("_opened"), F.max("observed_at").alias("_last"))
+    took = F.col("_last").cast("bigint") - F.col("_opened").cast("bigint")
+    usual = spans.agg(F.percentile(took, F.lit(0.99)).alias("_p99")).withColumn("_one", F.lit(1))
+    both = spans.withColumn("_one", F.lit(1)).join(F.broadcast(usual), "_one")  # a single row
+    old = both.where(now.cast("double") - F.col("_opened").cast("double") > F.col("_p99"))
+    return journeys.join(old.select("txn"), "txn", "left_semi")
+
+
+def completed(journeys: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Events of completed transactions: what the probabilities of hops are learned from."""
+    return journeys.join(statuses.where("status = 'completed'").select("txn"), "txn", "left_semi")
+
+
 def terminal_nodes(journeys: DataFrame, share: float = 0.95) -> DataFrame:
-    order = Window.partitionBy("txn").orderBy("observed_at", "event_key")
+    order = Window.partitionBy("txn").orderBy(*_order(journeys))
     last = journeys.withColumn("_last", F.lead("node").over(order).isNull())
     ends = last.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_last").cast("double")).alias("end_share"))
     return ends.withColumn("terminal", F.col("end_share") >= share)
@@ -108,7 +141,7 @@ def terminal_nodes(journeys: DataFrame, share: float = 0.95) -> DataFrame:
 def variants(journeys: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent node sequences."""
     paths = journeys.groupBy("txn").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("observed_at", "event_key", "node"))), lambda x: x["node"]), ">").alias("path")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*_order(journeys), "node"))), lambda x: x["node"]), ">").alias("path")
     )
     counts = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "path").limit(k)
@@ -117,7 +150,7 @@ def variants(journeys: DataFrame, k: int = 10) -> DataFrame:
 def status(journeys: DataFrame, terminal: DataFrame) -> DataFrame:
     """completed, errored or in_progress by the last event of each transaction."""
     last = journeys.groupBy("txn").agg(
-        F.max_by(F.struct("node", "is_error"), F.struct("observed_at", "event_key")).alias("last"),
+        F.max_by(F.struct("node", "is_error"), F.struct(*_order(journeys))).alias("last"),
         F.max("observed_at").alias("last_seen"),
         F.count(F.lit(1)).alias("events"),
     )
@@ -131,6 +164,13 @@ def status(journeys: DataFrame, terminal: DataFrame) -> DataFrame:
     )
 
 
+def with_stalls(statuses: DataFrame, stalled: DataFrame) -> DataFrame:
+    """Statuses with the open transactions that the detector found stalled marked as such."""
+    marks = stalled.select("txn").distinct().withColumn("_stalled", F.lit(True))
+    now = F.when(F.col("_stalled") & (F.col("status") == "in_progress"), "stalled").otherwise(F.col("status"))
+    return statuses.join(marks, "txn", "left").withColumn("status", now).drop("_stalled")
+
+
 def clock_skew(pairs: DataFrame, tight_s: float = 10.0, warn_s: float = 30.0) -> DataFrame:
     """system_a, system_b, lag_s -> the offset of links that are tight and consistently negative."""
     links = pairs.groupBy("system_a", "system_b").agg(

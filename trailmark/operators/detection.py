@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Defaults of the detection rules.
 DEADLINE_FACTOR, LEAST_DEADLINE, MOST_DEADLINE = 1.5, 120.0, 7 * 86400.0
+LEAST_OPEN_MINUTES, COUNT_MARKS = 5, (10, 100, 1000)
 AUTH_FAILURE = (
     r"(?i)401|403|unauthori[sz]ed|forbidden|token (expired|invalid)|certificate (expired|verify)|handshake"
 )
@@ -110,13 +111,30 @@ def volume_drops(hourly: DataFrame, least_weeks: int = 2) -> DataFrame:
     return joined.where(drop).select("node", "hour", "n", "median", "mad")
 
 
-def error_bursts(events: DataFrame, least: int = 10, factor: float = 3.0) -> DataFrame:
-    """node, observed_at, is_error -> buckets of 15 minutes with many errors, against the buckets before."""
+def silent_hours(hourly: DataFrame) -> DataFrame:
+    """Hours without events that follow such an hour, where the same hours of the week usually have some."""
+    keys = ["node", "weekday", "hour_of_day"]
+    named = hourly.select("node", "hour", "n", F.dayofweek("hour").alias("weekday"), F.hour("hour").alias("hour_of_day"))
+    usual = named.groupBy(*keys).agg(F.percentile("n", F.lit(0.5)).alias("median"))
+    silent = named.join(usual, keys).withColumn("_silent", (F.col("n") == 0) & (F.col("median") > 0))
+    before = F.lag("_silent").over(Window.partitionBy("node").orderBy("hour"))
+    return silent.withColumn("_before", before).where("_silent and _before").select("node", "hour", "median")
+
+
+def error_bursts(events: DataFrame, least: int = 10, factor: float = 3.0, quantile: float | None = None) -> DataFrame:
+    """node, observed_at, is_error -> buckets of 15 minutes with many errors, against the buckets before.
+
+    They must exceed the largest of those before, or the given quantile of them.
+    """
     bucket = F.window("observed_at", "15 minutes")["start"]
     counts = events.groupBy("node", bucket.alias("bucket")).agg(F.count_if("is_error").alias("errors"))
     before = Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     marked = counts.withColumn("mean_before", F.avg("errors").over(before)).withColumn("max_before", F.max("errors").over(before))
-    burst = (F.col("errors") >= least) & (F.col("errors") >= factor * F.col("mean_before")) & (F.col("errors") > F.col("max_before"))
+    usual = "max_before"
+    if quantile is not None:
+        usual = "quantile_before"
+        marked = marked.withColumn(usual, F.percentile("errors", F.lit(quantile)).over(before))
+    burst = (F.col("errors") >= least) & (F.col("errors") >= factor * F.col("mean_before")) & (F.col("errors") > F.col(usual))
     return marked.withColumn("burst", F.coalesce(burst, F.lit(False)))
 
 
@@ -142,6 +160,91 @@ def episodes(marks: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
+def template_bursts(first_seen: DataFrame, least: int = 5, factor: float = 3.0) -> DataFrame:
+    """system, template, first_seen -> days on which many more templates came up than on the days before."""
+    counts = first_seen.groupBy("system", F.to_date("first_seen").alias("day")).agg(F.count_distinct("template").alias("fresh"))
+    before = Window.partitionBy("system").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    usual = counts.withColumn("usual", F.avg("fresh").over(before))
+    return usual.withColumn("burst", F.coalesce((F.col("fresh") >= least) & (F.col("fresh") >= factor * F.col("usual")), F.lit(False)))
+
+
+def match_drops(before: DataFrame, after: DataFrame) -> DataFrame:
+    """link, matched, total of two periods -> links whose match rate fell to half or less."""
+    rate = lambda df, name: df.select("link", F.try_divide("matched", "total").alias(name))
+    both = rate(before, "rate_a").join(rate(after, "rate_b"), "link")
+    return both.where((F.col("rate_a") > 0) & (F.col("rate_b") <= 0.5 * F.col("rate_a")))
+
+
+def connector_lag(events: DataFrame, most_s: float) -> DataFrame:
+    """source, observed_at, ingested_at -> 95th percentile of whole seconds until arrival, and whether it is too long."""
+    lag = F.floor(F.col("ingested_at").cast("double") - F.col("observed_at").cast("double"))
+    found = events.groupBy("source").agg(F.percentile(lag, F.lit(0.95)).alias("lag_s"))
+    return found.withColumn("visibility_gap", F.col("lag_s") > most_s)
+
+
+def alerts(breaches: DataFrame, expectation: str, now: Column, minutes: int = 15, recover: int = 2) -> DataFrame:
+    """target, bucket, n -> one alert an episode of intervals that break an expectation.
+
+    It stays open until `recover` intervals in a row are clean, five minutes at least; it is told of when it opens, at
+    the marks of its count, and when it closes.
+    """
+    order = Window.partitionBy("target").orderBy("bucket")
+    apart = F.col("bucket").cast("double") - F.lag("bucket").over(order).cast("double")
+    fresh = F.when(apart <= recover * minutes * 60, 0).otherwise(1)
+    numbered = breaches.withColumn("_fresh", fresh).withColumn("episode", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = numbered.groupBy("target", "episode").agg(F.min("bucket").alias("opened_at"), F.max("bucket").alias("_last"), F.sum("n").alias("n"))
+    clean = F.col("_last") + F.expr(f"interval {(recover + 1) * minutes} minutes")
+    ends = F.greatest(clean, F.col("opened_at") + F.expr(f"interval {LEAST_OPEN_MINUTES} minutes"))
+    told = sum((F.col("n") >= mark).cast("int") for mark in COUNT_MARKS)
+    return (
+        found.withColumn("resolved_at", F.when(ends <= now, ends))
+        .withColumn("dedupe_key", F.concat_ws(":", F.lit(expectation), "target", "episode"))
+        .withColumn("notifications", F.lit(1) + told + F.col("resolved_at").isNotNull().cast("int"))
+        .drop("_last")
+    )
+
+
+def near_onset(evidence: DataFrame, onsets: DataFrame, before: str, after: str = "0 seconds") -> DataFrame:
+    """target, at of evidence and target, onset -> target, n: evidence in the span around the onset of its target."""
+    at, onset = F.col("at"), F.col("onset")
+    span = at.between(onset - F.expr(f"interval {before}"), onset + F.expr(f"interval {after}"))
+    return evidence.join(onsets.select("target", "onset"), "target").where(span).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _confident(found: DataFrame) -> DataFrame:
+    """Confidence by the amount of evidence: 0.9 from ten on, 0.6 from three on, 0.3 below."""
+    return found.select("target", F.when(F.col("n") >= 10, 0.9).when(F.col("n") >= 3, 0.6).otherwise(0.3).alias("confidence"))
+
+
+def collect_causes(
+    onsets: DataFrame,
+    gaps: DataFrame,
+    messages: DataFrame,
+    misses: DataFrame,
+    drifts: DataFrame,
+    errors: DataFrame,
+    volumes: DataFrame,
+    first_seen: DataFrame,
+) -> DataFrame:
+    """Ranked causes of the stalls that set in at each target's onset, by the seven kinds of evidence in their order.
+
+    All evidence is target, at; messages have a template, volumes a count n of each hour.
+    """
+    auth = messages.where(F.col("template").rlike(AUTH_FAILURE))
+    dry = volumes.where("n = 0")
+    return causes(
+        [
+            (1, "visibility_gap", _confident(near_onset(gaps, onsets, "1 hour", "1 hour"))),
+            (2, "auth_failure", _confident(near_onset(auth, onsets, "1 hour", "15 minutes"))),
+            (3, "upstream_miss", _confident(near_onset(misses, onsets, "24 hours"))),
+            (4, "schema_drift", _confident(near_onset(drifts, onsets, "24 hours"))),
+            (5, "error_spike", _confident(near_onset(errors, onsets, "15 minutes"))),
+            (6, "systemic", _confident(near_onset(dry, onsets, "1 hour", "1 hour"))),
+            (7, "new_template", _confident(near_onset(first_seen, onsets, "1 hour"))),
+        ]
+    )
+
+
 def lift(rows: DataFrame, attribute: str, stalled: str) -> DataFrame:
     """How much more frequent each attribute value is among stalled rows than among the others."""
     by_value = rows.groupBy(F.col(attribute).alias("value")).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,31 @@ def set_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
+def self_check(links: DataFrame, members: DataFrame) -> DataFrame:
+    """metric, value, problem: the truth scored against itself. links: one column of keys; members: key, truth.
+
+    Every metric must be 1, or undefined where the truth holds nothing of its kind.
+    """
+    same = members.select("key", "truth", F.col("truth").alias("predicted"))
+    scores = set_scores(links, links)
+    found = scores.select(F.lit("link_precision").alias("metric"), F.col("precision").alias("value"))
+    for metric, frame, column in (("link_recall", scores, "recall"), ("purity", purity(same), "purity"), ("pairwise_f1", pairwise_f1(same), "f1")):
+        found = found.unionByName(frame.select(F.lit(metric).alias("metric"), F.col(column).alias("value")))
+    return found.withColumn("problem", F.coalesce(F.col("value") != 1.0, F.lit(False)))
+
+
+def write_predictions(frames: dict[str, DataFrame], folder: str) -> None:
+    """Each frame of predictions as JSON lines in a folder of its name."""
+    for name, frame in frames.items():
+        frame.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def read_predictions(spark: SparkSession, schemas: dict[str, str], folder: str) -> dict[str, DataFrame]:
+    """What write_predictions wrote, read strictly by the given schemas."""
+    read = spark.read.option("mode", "FAILFAST")
+    return {name: read.schema(schema).json(f"{folder}/{name}") for name, schema in schemas.items()}
+
+
 def purity(members: DataFrame) -> DataFrame:
     """member, truth, predicted -> size-weighted share of each predicted family's largest true family."""
     sizes = members.distinct().groupBy("predicted", "truth").agg(F.count(F.lit(1)).alias("n"))

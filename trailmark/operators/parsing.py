@@ -183,6 +183,24 @@ def detect_format(c: Column) -> Column:
     )
 
 
+def safe_fields(fields: Column, most: int = 256) -> Column:
+    """Fields under names that hide value-like segments; of paths that then are the same the first stays, long ones go."""
+    names = F.transform(F.map_keys(fields), lambda path: F.array_join(F.transform(F.split(path, r"\."), kit.safe_segment), "."))
+    named = F.arrays_zip(names.alias("key"), F.map_values(fields).alias("value"))
+    first = F.filter(named, lambda x, i: (F.array_position(names, x["key"]) == i + 1) & (F.length(x["key"]) <= most))
+    return F.map_from_entries(first)
+
+
+def template_registry(rows: DataFrame) -> DataFrame:
+    """system, template, kind, observed_at -> each template with its count, kind, first and last sight; streams too."""
+    return rows.groupBy("system", "template").agg(
+        F.min_by("kind", "observed_at").alias("kind"),
+        F.count(F.lit(1)).alias("n"),
+        F.min("observed_at").alias("first_seen"),
+        F.max("observed_at").alias("last_seen"),
+    ).withColumn("template_id", kit.template_id(F.col("system"), F.col("template")))
+
+
 def message_templates(messages: DataFrame, least: int = 3) -> DataFrame:
     """system, message -> system, template, template_id, n: masked messages, rare ones wholly masked."""
     counts = messages.groupBy("system", kit.mask_message(F.col("message")).alias("masked")).agg(F.count(F.lit(1)).alias("n"))

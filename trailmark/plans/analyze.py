@@ -18,7 +18,12 @@ from trailmark.session import settled
 MAX_IDENTIFIERS = 64
 #: Fields that hold a record's time or level, in order of preference.
 TIME_FIELDS = ("timestamp", "@timestamp", "time", "ts", "datetime", "date", "created_at", "event_time")
-LEVEL_FIELDS = ("level", "severity", "log.level", "loglevel", "lvl")
+LEVEL_FIELDS = ("level", "severity", "log.level", "loglevel", "log_level", "lvl", "severity_text", "severityText", "levelname", "level_name")
+NUMBER_FIELDS = ("severity_number", "severityNumber")
+STATUS_FIELDS = (
+    "status", "http_status", "status_code", "httpStatus", "statusCode",
+    "http.status_code", "http.response.status_code", "response_status", "response.status",
+)
 ACTOR_FIELDS = ("actor", "user", "username", "user_name", "principal")
 
 
@@ -26,6 +31,24 @@ def _first(fields: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_element_at(fields, F.lit(n)) for n in names])
 
 
+def field_severity(fields: Column) -> Column:
+    """The first level field that holds a level, then OpenTelemetry numbers, then failed HTTP statuses."""
+    status = lambda c: F.when(F.trim(c).rlike("^5[0-9]{2}$"), "error").when(F.trim(c).rlike("^4[0-9]{2}$"), "warn")
+
+    def first(names: tuple[str, ...], rule) -> Column:
+        values = F.array_compact(F.array(*[F.try_element_at(fields, F.lit(name)) for name in names]))
+        return F.get(F.array_compact(F.transform(values, rule)), F.lit(0))
+
+    return F.coalesce(first(LEVEL_FIELDS, kit.level_severity), first(NUMBER_FIELDS, kit.numbered_severity), first(STATUS_FIELDS, status))
+
+
+def known_sources(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of sources that are set up, and the dropped others. sources: one column of names."""
+    known = sources.select(sources.columns[0]).toDF("source").distinct()
+    others = records.join(known, "source", "left_anti").select("system", "locator", F.lit("unknown_source").alias("drop_reason"))
+    return records.join(known, "source", "left_semi"), others
+
+
 def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
     """system, source, locator, received_at, text -> with format, fields, times, severity, template, drop reason."""
     text = F.col("text")
@@ -45,7 +68,7 @@ def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
         F.col("format").isin("json", "xml") & F.col("fields").isNull(), "unparseable"
     )
     stamp = F.coalesce(_first(F.col("fields"), TIME_FIELDS), parsing.access_stamp(text), parsing.leading_stamp(text))
-    level = F.coalesce(kit.level_severity(_first(F.col("fields"), LEVEL_FIELDS)), line["severity"], F.when(F.col("format") == "access_log", kit.status_severity(log["status"])))
+    level = F.coalesce(field_severity(F.col("fields")), line["severity"], F.when(F.col("format") == "access_log", kit.status_severity(log["status"])))
     template = (
         F.when(F.col("format").isin("json", "logfmt"), kit.key_signature(F.transform(F.map_keys("fields"), kit.safe_segment)))
         .when(F.col("format") == "xml", F.concat(F.lit("xml:"), F.split(F.element_at(F.map_keys("fields"), 1), r"\.")[0]))
@@ -134,8 +157,12 @@ def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1)
     )
 
 
-def analyze(records: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Canonical events, field decisions, dropped records."""
+def analyze(records: DataFrame, key: bytes, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Canonical events, field decisions, dropped records; with sources given, of those alone."""
+    others = None
+    if sources is not None:
+        records, others = known_sources(records, sources)
     parsed = parse(records)
     decisions = decide(parsed)
-    return emit(parsed, decisions, key), decisions, parsed.where("drop_reason is not null").select("system", "locator", "drop_reason")
+    dropped = parsed.where("drop_reason is not null").select("system", "locator", "drop_reason")
+    return emit(parsed, decisions, key), decisions, dropped if others is None else dropped.unionByName(others)

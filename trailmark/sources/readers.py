@@ -15,6 +15,14 @@ EVENT_SCHEMA = (
     "identifiers array<struct<field: string, form: string, token: string, shape: string, len: int>>"
 )
 
+#: The JSON form of exported log records, where long numbers may be text; a value is an object of its kind and itself.
+PAIRS = "array<struct<key: string, value: map<string, string>>>"
+ENTRIES = "array<struct<key: string, value: string>>"
+OTLP = (
+    "struct<resourceLogs: array<struct<scopeLogs: array<struct<logRecords: array<struct<timeUnixNano: string, observedTimeUnixNano: string, "
+    f"severityNumber: string, severityText: string, body: map<string, string>, attributes: {PAIRS}>>>>>>>"
+)
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), text. Blank lines count but are not given.
@@ -68,6 +76,38 @@ def jdbc_partitions(spark: SparkSession, url: str, table: str, column: str, boun
     return spark.read.jdbc(url, table, predicates=spans, properties=options)
 
 
+def otlp_logs(df: DataFrame, body: str) -> DataFrame:
+    """Log exports in their JSON form -> one row a log record: text, fields, observed_at.
+
+    A text body is the text; a body of pairs gives fields, any other one the field `body`. Attributes are fields too, the
+    first of a name counts; severity and time stand among the fields only where there are any and none has their name.
+    """
+    others = [c for c in df.columns if c != body]
+    rows = df.select(*others, F.explode(F.from_json(body, OTLP)["resourceLogs"]).alias("r"))
+    rows = rows.select(*others, F.explode("r.scopeLogs").alias("s")).select(*others, F.explode("s.logRecords").alias("x"))
+    pairs = lambda c: F.transform(F.coalesce(c, F.array()), lambda p: F.struct(p["key"].alias("key"), F.get(F.map_values(p["value"]), F.lit(0)).alias("value")))
+    x = F.col("x")
+    kind = F.get(F.map_keys(x["body"]), F.lit(0))
+    value = F.get(F.map_values(x["body"]), F.lit(0))
+    inner = F.from_json(F.when(kind == "kvlistValue", value), f"struct<values: {PAIRS}>")["values"]
+    plain = F.when(kind.isNotNull() & ~kind.isin("stringValue", "kvlistValue"), F.array(F.struct(F.lit("body").alias("key"), value.alias("value"))))
+    found = F.concat(F.when(kind == "kvlistValue", pairs(inner)).otherwise(F.coalesce(plain, F.array().cast(ENTRIES))), pairs(x["attributes"]))
+    time = F.expr("nullif(try_cast(x.timeUnixNano as bigint), 0) div 1000")
+    seen = F.coalesce(time, F.expr("nullif(try_cast(x.observedTimeUnixNano as bigint), 0) div 1000"))
+    level = F.coalesce(F.nullif(x["severityText"], F.lit("")), F.nullif(x["severityNumber"], F.lit("0")))
+    name = F.when(F.nullif(x["severityText"], F.lit("")).isNotNull(), "severity_text").otherwise("severity_number")
+    added = F.array(
+        F.struct(name.alias("key"), level.alias("value")),
+        F.struct(F.lit("timestamp").alias("key"), F.date_format(F.timestamp_micros(time), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("value")),
+    )
+    entries = rows.select(*others, "x", found.alias("f")).withColumn("f", F.when(F.size("f") > 0, F.concat("f", added)))
+    keys = F.transform("f", lambda p: p["key"])
+    first = F.filter("f", lambda p, i: (p["key"] != "") & p["value"].isNotNull() & (F.array_position(keys, p["key"]) == i + 1))
+    return entries.select(
+        *others, F.when(kind == "stringValue", value).alias("text"), F.map_from_entries(first).alias("fields"), F.timestamp_micros(seen).alias("observed_at")
+    )
+
+
 def records_from_json(df: DataFrame, body: str) -> DataFrame:
     """A body that holds an object or an array of objects -> one row an object, as text."""
     one = F.when(F.col(body).rlike(r"(?s)^\s*\["), F.from_json(F.col(body), "array<string>")).otherwise(F.array(F.col(body)))
