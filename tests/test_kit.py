@@ -350,3 +350,21 @@ def test_alerts_close_after_two_clean_intervals(spark):
     marks = spark.createDataFrame(rows, "target string, bucket string, n long").withColumn("bucket", F.col("bucket").cast("timestamp"))
     found = detection.alerts(marks, "x", F.lit("2024-01-01 12:00:00").cast("timestamp")).orderBy("episode").collect()
     assert [(r["n"], r["resolved_at"] and r["resolved_at"].strftime("%H:%M"), r["notifications"]) for r in found] == [(18, "11:30", 3), (6, None, 1)]
+
+
+def test_personal_data_is_hidden(spark):
+    cases = {
+        "mail bob.x@ex-a.co.uk, now": "mail <EMAIL_ADDRESS>, now",
+        "ssn 123-45-6789 000-12-3456 x-123-45-6789": "ssn <US_SSN> 000-12-3456 x-123-45-6789",
+        "card 4111 1111 1111 1111 and 4111-1111-1111-1112 end": "card <CREDIT_CARD> and 4111-1111-1111-1112 end",
+        "run 12 4111 1111 1111 1111 99": "run 12 <CREDIT_CARD> 99",
+        "-4111111111111111 4111111111111111-": "-4111111111111111 4111111111111111-",
+        "call (555) 123-4567 or 555-123-4567-": "call <PHONE_NUMBER> or 555-123-4567-",
+        "abroad +49 (30) 1234 5678 but +1 2": "abroad <PHONE_NUMBER> but +1 2",
+        "iban DE89 3704 0044 0532 0130 00 was, DE88 3704 0044 0532 0130 00": "iban <IBAN_CODE> was, DE88 3704 0044 0532 0130 00",
+        "a" * 200 + "@example.com": "<EMAIL_ADDRESS>",
+        "": "",
+        **{t: t for t in ("1" * 20_000, "1 " * 20_000, "a.b" * 20_000, "x@" + "a." * 20_000)},
+    }
+    rows = spark.createDataFrame([*[(t,) for t in cases], (None,)], "text string")
+    assert {r["text"]: r["hidden"] for r in rows.select("text", kit.hide(F.col("text")).alias("hidden")).collect()} == {**cases, None: None}

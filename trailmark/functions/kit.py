@@ -23,6 +23,11 @@ SECRET_FORMS = (
     r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
 )
 SECRET_RUN, LEAST_SECRET, LEAST_BITS = r"[A-Za-z0-9+/=_-]{32,}", 20, 3.5
+#: Forms of personal data; what they find is checked further.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}\b"
+ACCOUNT = r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){2,8}(?![A-Z0-9])"
+PHONE_ABROAD = r"(?<![0-9+])\+[1-9][0-9]{0,2}(?:[ -]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
+PHONE_NATIONAL = r"(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}"
 #: Level words and syslog numbers, and the severities of each four OpenTelemetry numbers.
 LEVELS = {
     "trace": "trace", "trc": "trace", "finest": "trace", "finer": "trace", "verbose": "trace",
@@ -276,9 +281,8 @@ def security_numbers(c: Column) -> Column:
 
 def national_phones(c: Column) -> Column:
     """Ten digits in three groups, the first perhaps in parentheses, with no digit or dash before or after."""
-    group = r"(?:\([0-9]{3}\)\s?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}"
-    found = F.regexp_extract_all(c, F.lit(f"[0-9-]?{group}[0-9-]?"), F.lit(0))
-    return F.filter(found, lambda x: x.rlike(f"^{group}$"))
+    found = F.regexp_extract_all(c, F.lit(f"[0-9-]?{PHONE_NATIONAL}[0-9-]?"), F.lit(0))
+    return F.filter(found, lambda x: x.rlike(f"^{PHONE_NATIONAL}$"))
 
 
 def iban(c: Column) -> Column:
@@ -309,12 +313,68 @@ def csv_cell(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _with_matches(text: Column, pattern: str, change) -> Column:
+    """The text with every match of the pattern changed."""
+
+    def changed(t: Column) -> Column:
+        between, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(between, F.transform(found, change), lambda b, m: F.concat(b, F.coalesce(m, F.lit("")))), "")
+
+    return _let(text, lambda t: F.when(t.rlike(pattern), changed(t)).otherwise(t))
+
+
+def _hide_cards(text: Column) -> Column:
+    """The first card number of each run of digits masked; see card_numbers for what a card is.
+
+    Single separators within a run stand as characters that no text carries, so that a run is one class of characters
+    and long ones are matched without recursion.
+    """
+    joined = F.regexp_replace(F.regexp_replace(text, "(?<=[0-9]) (?=[0-9])", "\uFDD0"), "(?<=[0-9])-(?=[0-9])", "\uFDD1")
+
+    def first_card(groups: Column) -> Column:
+        """Its first group (from 1) and its number of groups."""
+        size = F.size(groups)
+        number = lambda i, k: F.array_join(F.slice(groups, i, k), "")
+        card = lambda d: d.rlike("^[13456][0-9]{12,18}$") & ~d.rlike(r"^(.)\1+$") & luhn(d)
+        widths = lambda i: F.sequence(F.lit(1), F.least(F.lit(19), size - i + 1))
+        least = lambda i: F.get(F.filter(widths(i), lambda k: _let(number(i, k), card)), 0)
+        found = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), least(i).alias("k")))
+        return F.get(F.filter(found, lambda p: p["k"].isNotNull()), 0)
+
+    def hidden(run: Column, groups: Column, hit: Column) -> Column:
+        ahead = F.length(F.array_join(F.slice(groups, 1, hit["i"] - 1), " ")) + F.when(hit["i"] > 1, 1).otherwise(0)
+        width = F.length(F.array_join(F.slice(groups, hit["i"], hit["k"]), " "))
+        return F.concat(F.substring(run, F.lit(1), ahead), F.lit("<CREDIT_CARD>"), F.substring(run, ahead + width + 1, F.length(run)))
+
+    def change(run: Column) -> Column:
+        masked = _let(
+            F.split(run, "[\uFDD0\uFDD1]"),
+            lambda groups: _let(first_card(groups), lambda hit: F.when(hit.isNotNull(), hidden(run, groups, hit)).otherwise(run)),
+        )
+        return F.when((F.length(run) >= 13) & ~run.rlike("^-|-$"), masked).otherwise(run)
+
+    return F.translate(_with_matches(joined, "-?[0-9][0-9\uFDD0\uFDD1]*-?", change), "\uFDD0\uFDD1", " -")
+
+
 def hide(text: Column) -> Column:
-    """Text with e-mail addresses, social security numbers, phone numbers and card-like numbers masked."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63}){1,8}", "<EMAIL>")
-    out = F.regexp_replace(out, r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "<SSN>")
-    out = F.regexp_replace(out, r"\b[0-9](?:[ -]?[0-9]){12,18}\b", "<CARD>")
-    return F.regexp_replace(out, r"\+[0-9][ ().0-9-]{7,20}[0-9]", "<PHONE>")
+    """Text with e-mail addresses, account numbers, phone numbers, cards and social security numbers masked.
+
+    Kinds go in this order, and what one has masked the next ones do not see: of spans that overlap, that of the earlier
+    kind stays. Account and card numbers must pass their checksums; an international number has 8 digits or more.
+    """
+    where = lambda test, kind: lambda m: F.when(test(m), F.lit(f"<{kind}>")).otherwise(m)
+    digits = lambda m: F.length(F.regexp_replace(m, "[^0-9]", ""))
+    out = F.regexp_replace(text, EMAIL, "<EMAIL_ADDRESS>")
+    out = _with_matches(out, ACCOUNT, where(iban, "IBAN_CODE"))
+    out = _with_matches(out, PHONE_ABROAD, where(lambda m: digits(m) >= 8, "PHONE_NUMBER"))
+    out = _hide_cards(out)
+    out = _with_matches(out, "[0-9-]+", where(lambda m: F.size(security_numbers(m)) > 0, "US_SSN"))
+    return _with_matches(out, f"[0-9-]?{PHONE_NATIONAL}[0-9-]?", where(lambda m: F.size(national_phones(m)) > 0, "PHONE_NUMBER"))
 
 
 def mask_message(c: Column) -> Column:
