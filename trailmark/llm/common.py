@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a text pass holds as Python objects at a time.
 SLICE = 512
+#: Copies of a row that one task numbers.
+COPIES = 65_536
 
 ARROW = {
     "long": pa.int64(),
@@ -90,6 +92,17 @@ def text_pass(
     return df.mapInArrow(run, ddl)
 
 
+def numbered(counted: DataFrame, most: int = COPIES) -> DataFrame:
+    """Rows with how often each occurs, `_n` -> each row so often, with `_copy` from 0; many copies are made in parts."""
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))
+    few = counted.where(F.col("_n") <= most).withColumn("_part", F.lit(0).cast("long"))
+    many = counted.where(F.col("_n") > most).withColumn("_part", F.explode(parts))
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(tasks, *columns_of(counted), "_part")
+    first, last = F.col("_part") * most, F.least((F.col("_part") + 1) * most, F.col("_n")) - 1
+    return few.union(many).withColumn("_copy", F.explode(F.sequence(first, last))).drop("_part")
+
+
 def whole_text(name: str = "text"):
     """The text, with null taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

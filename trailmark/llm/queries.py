@@ -17,6 +17,9 @@ from . import (
     op08_kneser_ney,
     op09_sharding,
     op10_pii,
+    op11_whitening,
+    op12_language,
+    op13_resampling,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,10 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op08_kneser_ney.query,
     "op9_sharding": op09_sharding.query,
     "op10_pii": op10_pii.query,
+    "op11_whitening": op11_whitening.query,
+    "op12_language": op12_language.query,
+    "op13_resampling": op13_resampling.query,
 }
 
 #: SQL where it expresses the operator.
 ORACLES: dict[str, str] = {
     "op4_exact_topk": op04_topk.SQL,
     "op6_mixing": op06_mixing.SQL,
+    "op13_resampling": op13_resampling.SQL,
 }
