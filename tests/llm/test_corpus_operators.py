@@ -23,7 +23,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cursor = c.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]

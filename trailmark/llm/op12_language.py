@@ -74,6 +74,8 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     whole = text[:n] == text[order - 1 :]
+    if order == 2:
+        whole &= letter[:n] | letter[1:]
     for d in range(1, order - 1):
         whole &= letter[d : d + n]
     at = np.flatnonzero(whole)
