@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from trailmark.plans.registry import query
 from trailmark.session import shared_dir
-from trailmark.sources.tables import table
+from trailmark.sources.tables import SHIPMENTS_SQL, shipment_identifiers, table
 from trailmark.streaming import flows
+from trailmark.streaming.transactions import TransactionIndex, assemble_stream
 
 
 def _stream(spark, sf_dir) -> DataFrame:
@@ -82,3 +83,25 @@ def idempotent_ingest(spark, sf_dir):
     for state in ("state", "state", "lost"):  # the second run finds nothing new, the third repeats the batches
         flows.ingest(events, f"{at}/table", f"{at}/{state}").awaitTermination()
     return flows.ingested(spark, f"{at}/table", events.schema)
+
+
+@query(
+    "str_transaction_index",
+    f"""
+    with recursive {SHIPMENTS_SQL},
+    meet as (select distinct a.event_key as a, b.event_key as b from shipments a join shipments b using (token)),
+    reach as (select a as event_key, a as other from meet union select r.event_key, m.b from reach r join meet m on r.other = m.a)
+    select event_key, min(other) as txn from reach group by event_key""",
+)
+def transaction_index(spark, sf_dir):
+    """Rows arrive in three files, dealt by event, so that transactions which are there already meet later."""
+    at = f"{shared_dir(spark)}/index/{uuid.uuid4().hex}"
+    rows = shipment_identifiers(spark, sf_dir)
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("event_key"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = flows.read_events(spark, f"{at}/in", rows.schema, files_per_batch=1)
+    index = TransactionIndex(spark, f"{at}/tables", most_days=10_000, idle_days=4_000, keep_days=4_000)
+    assemble_stream(stream, index, late="4000 days")
+    members = index.members()
+    least = members.groupBy("txn").agg(F.min("event_key").alias("least"))
+    return members.join(least, "txn").select("event_key", F.col("least").alias("txn"))

@@ -86,6 +86,33 @@ ids as (
 """
 
 
+def shipment_identifiers(spark: SparkSession, sf_dir: str, key: bytes = TEST_KEY) -> DataFrame:
+    """system, field, token, event_key, observed_at: orders and their lines by order, lines of a part sent on one day by lot."""
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    line = F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey")
+    of = lambda system, event, at, **values: [
+        (F.lit(system).alias("system"), F.lit(field).alias("field"), value.cast("string").alias("value"), event.alias("event_key"), at.cast("timestamp").alias("observed_at"))
+        for field, value in values.items()
+    ]
+    parts = [orders.select(*c) for c in of("shop", F.concat(F.lit("o"), "o_orderkey"), F.col("o_orderdate"), order_id=F.col("o_orderkey"))]
+    lot = F.concat("l_partkey", F.lit("-"), day(F.col("l_shipdate")))
+    parts += [lines.select(*c) for c in of("warehouse", line, F.col("l_shipdate"), order_id=F.col("l_orderkey"), lot=lot)]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    token = kit.token(kit.token_domain(F.lit("raw")), F.concat_ws("=", "field", "value"), key)
+    return rows.select("system", "field", token.alias("token"), "event_key", "observed_at")
+
+
+#: The same rows for DuckDB, with the plain value where Spark has the token.
+SHIPMENTS_SQL = """
+line as (select *, 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey as event_key from lineitem),
+shipments as (
+  select 'shop' as system, 'order_id' as field, 'order_id=' || o_orderkey as token, 'o' || o_orderkey as event_key, o_orderdate::timestamp as observed_at from orders
+  union all select 'warehouse', 'order_id', 'order_id=' || l_orderkey, event_key, l_shipdate::timestamp from line
+  union all select 'warehouse', 'lot', 'lot=' || l_partkey || '-' || strftime(l_shipdate, '%Y%m%d'), event_key, l_shipdate::timestamp from line)
+"""
+
+
 def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """txn, node, observed_at, event_key, is_error: user sessions of the event table, split after 24 idle hours."""
     from trailmark.operators.assembly import sessions
