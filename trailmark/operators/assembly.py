@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.graph import connected
+from trailmark.session import settled
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
@@ -17,13 +18,25 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def hub_tokens(identifiers: DataFrame, most: int = 50) -> DataFrame:
-    """Tokens on more than `most` distinct events of one day: batch keys, never merged on."""
-    return (
-        identifiers.where("observed_at is not null")
-        .groupBy("system", "field", "token", F.to_date("observed_at").alias("day"))
-        .agg(F.count_distinct("event_key").alias("events"))
-        .where(F.col("events") > most)
-    )
+    """Tokens of more than `most` distinct transactions on one day: batch keys, never merged on.
+
+    Only tokens on so many events can be hubs. Transactions are those that the events make without these tokens; a token
+    on many events of one transaction is no hub.
+    """
+    dated = identifiers.where("observed_at is not null").withColumn("day", F.to_date("observed_at"))
+    daily = dated.groupBy("system", "field", "token", "day").agg(F.count_distinct("event_key").alias("_events"))
+    busy = settled(daily.where(F.col("_events") > most).select("token").distinct())
+    txns = assemble(identifiers, busy)
+    rows = dated.join(busy, "token").select("system", "field", "token", "day", "event_key").distinct().join(txns, "event_key", "left")
+    alone = F.concat(F.lit("alone:"), "event_key")  # nothing but busy tokens
+    found = rows.groupBy("system", "field", "token", "day").agg(F.count_distinct(F.coalesce("txn", alone)).alias("transactions"))
+    return found.where(F.col("transactions") > most)
+
+
+def batches(identifiers: DataFrame, members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """system, field, token, txn: the transactions that carry a batch key, each once."""
+    keys = hubs.select("system", "field", "token").distinct()
+    return identifiers.join(keys, ["system", "field", "token"]).join(members, "event_key").select("system", "field", "token", "txn").distinct()
 
 
 def assemble(identifiers: DataFrame, hubs: DataFrame | None = None) -> DataFrame:

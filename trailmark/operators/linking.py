@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import kit
@@ -21,14 +21,18 @@ def token_table(identifiers: DataFrame) -> DataFrame:
     )
 
 
+def _other_field() -> Column:
+    """Fields of one name in two systems may name the same record; forms of one field say nothing of each other."""
+    return (F.col("system_a") != F.col("system_b")) | (F.col("field_a") != F.col("field_b"))
+
+
 def pairs(tokens: DataFrame) -> DataFrame:
     """Tokens that two fields share, each pair of fields once. Joined on the token, spread by hash."""
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("system", "field", "form", "events", "first_seen", "shape")]
     a, b = tokens.select("token", *side("a")), tokens.select("token", *side("b"))
-    name = lambda s: F.struct(f"system_{s}", f"field_{s}", f"form_{s}")
     return a.join(b, "token").where(
         F.concat_ws("/", "system_a", "field_a", "form_a") < F.concat_ws("/", "system_b", "field_b", "form_b")
-    ).where(name("a").isNotNull() & (F.col("field_a") != F.col("field_b")))
+    ).where(_other_field())
 
 
 FIELDS = ["system_a", "field_a", "form_a", "system_b", "field_b", "form_b"]
@@ -111,7 +115,7 @@ def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT,
     sampled = tokens.join(F.broadcast(sizes.withColumn("level", level)), names).where(within("level"))
     side = lambda s: sampled.select("token", "h", *[F.col(c).alias(f"{c}_{s}") for c in (*names, "n", "level")])
     name = lambda s: F.concat_ws("/", f"system_{s}", f"field_{s}", f"form_{s}")
-    both = side("a").join(side("b").drop("h"), "token").where((name("a") < name("b")) & (F.col("field_a") != F.col("field_b")))
+    both = side("a").join(side("b").drop("h"), "token").where((name("a") < name("b")) & _other_field())
     both = both.withColumn("level", F.greatest("level_a", "level_b")).where(within("level"))
     found = both.groupBy(*FIELDS, "n_a", "n_b").agg((F.count(F.lit(1)) * F.pow(F.lit(2.0), F.max("level"))).alias("n_match"))
     return found.select(*FIELDS, F.col("n_a").cast("double").alias("n_a"), F.col("n_b").cast("double").alias("n_b"), "n_match").where(

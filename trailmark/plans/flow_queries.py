@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import assembly
 from trailmark.plans.registry import query
-from trailmark.sources.tables import IDENTIFIERS_SQL, JOURNEYS_SQL, identifiers, journeys, table
+from trailmark.session import settled
+from trailmark.sources.tables import JOURNEYS_SQL, SHIPMENTS_SQL, identifiers, journeys, shipment_identifiers, table
 
 HOPS_SQL = f"""{JOURNEYS_SQL},
 steps as (select *, lead(node) over w as to_node, lead(observed_at) over w as next_at from journeys window w as (partition by txn order by observed_at, event_key)),
@@ -14,12 +15,34 @@ hops as (select txn, node as from_node, to_node, observed_at, epoch(next_at) - e
 """
 
 
-@query(
-    "asm_hub_tokens",
-    f"with {IDENTIFIERS_SQL} select system, field, observed_at::date as day, count(distinct event_key)::bigint as events from ids where observed_at is not null group by system, field, token, observed_at::date having count(distinct event_key) > 1",
-)
+_CONTRACTS_SQL = f"""{SHIPMENTS_SQL},
+contracts as (select distinct 'warehouse' as system, 'contract' as field, 'contract=' || strftime(l_shipdate, '%Y') as token, event_key, l_shipdate::date as day from line),
+meet as (select distinct a.event_key as a, b.event_key as b from shipments a join shipments b using (token)),
+reach as (select a as event_key, a as other from meet union select r.event_key, m.b from reach r join meet m on r.other = m.a),
+members as (select event_key, min(other) as txn from reach group by event_key),
+hubs as (select system, field, token, day, count(distinct txn)::bigint as transactions from contracts join members using (event_key) group by all having count(distinct txn) > 4)"""
+
+
+def _contracts(spark, sf_dir):
+    """Shipments with one more key that all lines of a year share."""
+    rows = shipment_identifiers(spark, sf_dir)
+    lines = rows.where("field = 'lot'")
+    year = F.concat(F.lit("contract="), F.date_format("observed_at", "yyyy"))
+    return rows.unionByName(lines.withColumns({"field": F.lit("contract"), "token": year}))
+
+
+@query("asm_hub_tokens", f"with recursive {_CONTRACTS_SQL} select * from hubs")
 def hub_tokens(spark, sf_dir):
-    return assembly.hub_tokens(identifiers(spark, sf_dir), 1).select("system", "field", "day", "events")
+    return assembly.hub_tokens(_contracts(spark, sf_dir), 4)
+
+
+@query("asm_batches", f"with recursive {_CONTRACTS_SQL} select distinct m.system, m.field, m.token, txn from contracts m join hubs h using (token) join members using (event_key)")
+def batches(spark, sf_dir):
+    rows = _contracts(spark, sf_dir)
+    hubs = settled(assembly.hub_tokens(rows, 4))
+    members = assembly.assemble(rows, hubs)
+    least = members.groupBy("txn").agg(F.min("event_key").alias("least"))
+    return assembly.batches(rows, members.join(least, "txn").select("event_key", F.col("least").alias("txn")), hubs)
 
 
 @query(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from trailmark.operators import linking, profile
+from trailmark.operators import containment, linking, profile
 from trailmark.plans.registry import query
+from trailmark.session import settled
 from trailmark.sources.tables import IDENTIFIERS_SQL, identifiers, table, tokens
 
 VALUES_SQL = """
@@ -107,7 +110,7 @@ shared as (
   select a.system as system_a, a.field as field_a, a.form as form_a, b.system as system_b, b.field as field_b, b.form as form_b, a.token,
          a.events as ea, b.events as eb, epoch(b.first_seen) - epoch(a.first_seen) as lag
   from tokens a join tokens b using (token)
-  where a.system || '/' || a.field || '/' || a.form < b.system || '/' || b.field || '/' || b.form and a.field <> b.field),
+  where a.system || '/' || a.field || '/' || a.form < b.system || '/' || b.field || '/' || b.form and (a.system <> b.system or a.field <> b.field)),
 ranked as (select *, row_number() over (partition by system_a, field_a, form_a, system_b, field_b, form_b order by ea + eb desc, token) as rank from shared),
 evidence as (
   select system_a, field_a, form_a, system_b, field_b, form_b, count(*)::bigint as n_match, quantile_cont(lag, 0.5) as lag_median,
@@ -169,6 +172,58 @@ def theta_candidates(spark, sf_dir):
     return linking.sketch_candidates(identifiers(spark, sf_dir))
 
 
+#: The same systems with one name for what is the same field.
+_ONE_NAME = {"o_orderkey": "order_id", "l_orderkey": "order_id", "o_custkey": "customer_id", "c_custkey": "customer_id"}
+_ONE_NAME_SQL = reduce(lambda sql, names: sql.replace(f"'{names[0]}'", f"'{names[1]}'"), _ONE_NAME.items(), FEATURES_SQL)
+
+
+def _one_name(df):
+    return df.replace(_ONE_NAME, subset=["field"])
+
+
+@query(
+    "link_fields_of_one_name",
+    f"with {_ONE_NAME_SQL} select system_a, field_a, form_a, system_b, field_b, form_b, n_a, n_b, n_match, c_ab, c_ba, lag_median, lag_positive_share from features where greatest(c_ab, c_ba) >= 0.2",
+)
+def fields_of_one_name(spark, sf_dir):
+    found = linking.features_of(_one_name(tokens(spark, sf_dir))).where(F.greatest("c_ab", "c_ba") >= 0.2)
+    return found.select(*linking.FIELDS, "n_a", "n_b", "n_match", "c_ab", "c_ba", "lag_median", "lag_positive_share")
+
+
+@query(
+    "link_containment_index",
+    f"with {_ONE_NAME_SQL} select system_a, field_a, form_a, system_b, field_b, form_b, n_a, n_b, n_match, c_ab, c_ba from features where greatest(c_ab, c_ba) >= 0.2",
+)
+def containment_index(spark, sf_dir):
+    distinct = settled(_one_name(tokens(spark, sf_dir)).select("system", "field", "form", "token"))
+    return containment.verified_candidates(distinct, containment.probed_candidates(containment.signatures(distinct)))
+
+
+_SAMPLED = ["event_type", "user_id", "event_id"]
+
+
+@query(
+    "profile_rolling",
+    f"""
+    with days as (select max(ts)::date as last from events),
+    v as (select unnest({_SAMPLED!r}) as field, unnest([event_type, user_id::varchar, event_id::varchar]) as token from events, days where ts::date > last - 7),
+    h as (select field, ('0x' || substr(md5(token), 1, 15))::bigint as h, count(*) as events from v group by field, token),
+    r as (select *, row_number() over (partition by field order by h) as rank, count(*) over (partition by field) as n, sum(events) over (partition by field) as all_events from h)
+    select 'web' as system, field, 'raw' as form, min(all_events)::bigint as events, count(*)::int as sampled, min(h) as lowest, max(h) as highest,
+           case when min(n) < 2048 then min(n) else (2047 * pow(2.0, 60) / max(h))::bigint end as tokens
+    from r where rank <= 2048 group by field""",
+)
+def rolling(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    of_field = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("token")) for c in _SAMPLED]
+    rows = events.select(F.lit("web").alias("system"), F.lit("raw").alias("form"), F.col("ts").alias("observed_at"), F.explode(F.array(*of_field)).alias("x"))
+    daily = settled(containment.daily_profiles(rows.select("system", "form", "observed_at", "x.field", "x.token")))
+    found = containment.merged(daily, F.lit(daily.agg(F.max("day")).first()[0]))
+    return found.select(
+        "system", "field", "form", "events", F.size("sample").alias("sampled"), F.element_at("sample", 1).alias("lowest"), F.element_at("sample", -1).alias("highest"), "tokens"
+    )
+
+
 @query(
     "link_bridge_fd",
     """
