@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from trailmark.operators import containment, linking, profile
+from trailmark.operators import composite, containment, linking, profile
 from trailmark.plans.registry import query
 from trailmark.session import settled
 from trailmark.sources.tables import IDENTIFIERS_SQL, identifiers, table, tokens
@@ -268,6 +268,69 @@ def composite_pairs(spark, sf_dir):
     return _numbered(linking.composite_pairs(side("purchase"), side("error"), {"user_id": (0.9, 0.01)}, 3, 0.0), "weight")
 
 
+#: Orders and invoices made from them: later by up to three days, some with another amount, customer or no priority.
+_INVOICES_SQL = """
+a as (select 'o' || o_orderkey as id, o_orderdate::date as day, round(o_totalprice)::bigint as amount, o_custkey as customer, o_orderpriority as priority from orders),
+b as (select 'i' || o_orderkey as id, o_orderdate::date + (o_orderkey % 4)::int as day, round(o_totalprice)::bigint + case when o_orderkey % 5 = 0 then 1 else 0 end as amount,
+             o_custkey + case when o_orderkey % 7 = 0 then 1 else 0 end as customer, case when o_orderkey % 11 <> 0 then o_orderpriority end as priority from orders),
+an as (select *, floor((day - date '1970-01-01' + 3) / 7) * 5 + least((day - date '1970-01-01' + 3) % 7 + 1, 5) as number from a),
+bn as (select *, floor((day - date '1970-01-01' + 3) / 7) * 5 + least((day - date '1970-01-01' + 3) % 7 + 1, 5) as number from b),
+every as (select (select count(*) from a) * (select count(*) from b)::double as n),
+chance as (
+  select 'amount' as component, sum(x.n * y.n) / any_value(every.n) as u from (select amount, count(*)::double as n from a group by 1) x join (select amount, count(*) as n from b group by 1) y using (amount), every
+  union all select 'date', sum(x.n * y.n) / any_value(every.n) from (select day, count(*)::double as n from a group by 1) x join (select day, count(*) as n from b group by 1) y using (day), every
+  union all select 'customer', sum(x.n * y.n) / any_value(every.n) from (select customer, count(*)::double as n from a group by 1) x join (select customer, count(*) as n from b group by 1) y using (customer), every
+  union all select 'priority', sum(x.n * y.n) / any_value(every.n) from (select priority, count(*)::double as n from a group by 1) x join (select priority, count(*) as n from b group by 1) y using (priority), every),
+rates as (select component, least(greatest(u, 0.0001), 0.9999) as u from chance)
+"""
+
+
+def _invoices(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    amount = F.round("o_totalprice").cast("long")
+    a = orders.select(F.concat(F.lit("o"), key).alias("id"), day.alias("day"), amount.alias("amount"), F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    b = orders.select(
+        F.concat(F.lit("i"), key).alias("id"),
+        F.date_add(day, (key % 4).cast("int")).alias("day"),
+        (amount + (key % 5 == 0).cast("int")).alias("amount"),
+        (F.col("o_custkey") + (key % 7 == 0).cast("int")).alias("customer"),
+        F.when(key % 11 != 0, F.col("o_orderpriority")).alias("priority"),
+    )
+    with_date = lambda df: df.withColumn("date", F.col("day"))
+    return a, b, composite.chance_agreement(with_date(a), with_date(b), ["amount", "date", "customer", "priority"])
+
+
+@query("link_composite_chance", f"with {_INVOICES_SQL} select component, round(u, 9) as u from rates")
+def composite_chance(spark, sf_dir):
+    chance = _invoices(spark, sf_dir)[2]
+    return spark.createDataFrame([(c, round(u, 9)) for c, u in chance.items()], "component string, u double")
+
+
+@query(
+    "link_composite_matches",
+    f"""with {_INVOICES_SQL},
+    pairs as (
+      select an.id as a_id, bn.id as b_id, (bn.number - an.number)::int as gap_days,
+             an.amount = bn.amount as amount, an.day = bn.day as date, an.customer = bn.customer as customer, coalesce(an.priority = bn.priority, false) as priority
+      from an join bn on an.amount = bn.amount and bn.number - an.number between 0 and 3 and bn.day >= an.day
+      union select an.id, bn.id, (bn.number - an.number)::int, an.amount = bn.amount, true, true, coalesce(an.priority = bn.priority, false)
+      from an join bn on an.day = bn.day and an.customer = bn.customer),
+    weighed as (
+      select a_id, b_id, gap_days, round((select sum(case when agrees then log2(0.9 / u) else log2((1 - 0.9) / (1 - u)) end)
+        from (select unnest(['amount', 'date', 'customer', 'priority']) as component, unnest([amount, date, customer, priority]) as agrees) join rates using (component)), 6) as weight
+      from pairs),
+    scan as (select weight, sum(sum((substr(a_id, 2) = substr(b_id, 2))::int)) over w / sum(count(*)) over w as precision from weighed group by weight window w as (order by weight desc))
+    select * from weighed where weight >= (select min(weight) from scan where precision >= 0.9)""",
+)
+def composite_matches(spark, sf_dir):
+    a, b, chance = _invoices(spark, sf_dir)
+    pairs = settled(composite.blocked_pairs(a, b, chance))
+    rule = composite.CompositeRule({c: (0.9, u) for c, u in chance.items()})
+    truth = a.select(F.col("id").alias("a_id"), F.concat(F.lit("i"), F.substring("id", 2, 99)).alias("b_id"))
+    return _numbered(composite.CompositeRule(rule.agreement, composite.least_weight(pairs, rule, truth)).matches(pairs), "weight")
+
+
 @query(
     "link_stale",
     """
