@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
-Rows of each source are shuffled by a seeded digest and ranked; the fractional rank (rank - 1/2) / n spreads every
-source evenly over (0, 1); rows sorted by fractional rank are cut into shards of equal counts, so that each shard
-has the mixture of the whole. The law that holds is `rows`: counts differ by one at most.
+Rows of each source are shuffled by a seeded digest and ranked; the fractional rank (rank + phase) / n, from rank 0 and
+with a seeded phase in (0, 1) a source, spreads every source evenly over (0, 1), and sources of few rows over all shards
+alike; rows sorted by fractional rank are cut into shards of equal counts, so that each shard has the mixture of the
+whole. The law that holds is `rows`: counts differ by one at most.
 
 Ranks over large groups are found in two steps: counts by digest range give each range its offset, and only within a
 range are rows numbered. Equal rows are counted first and numbered, so that the digest tells them apart, too. No source
@@ -74,11 +75,14 @@ def interleave(
     bucket = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * ranges / (1 << 32)).cast("long")
     ranked = _ranked(rows, ["source"], bucket, order, "_rank")
     ranked = ranked.join(totals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    ranked = written(ranked.withColumn("_share", (F.col("_rank") + 0.5) / F.col("_n")).drop("_source", "_n", "_rank"))
+    phase = F.md5(F.concat_ws(":", F.lit(f"{seed}:phase"), "source"))
+    phase = (F.conv(F.substring(phase, 1, 8), 16, 10).cast("double") + 0.5) / (1 << 32)
+    # phases are even, and so are places: even cuts hold about range_rows each
+    ranked = written(ranked.withColumn("_share", (F.col("_rank") + phase) / F.col("_n")).drop("_source", "_n", "_rank"))
     placed = _ranked(
         ranked,
         [],
-        F.floor(F.col("_share") * ranges).cast("long"),
+        F.least(F.floor(F.col("_share") * ranges), F.lit(ranges - 1)).cast("long"),
         ["_share", *order, F.col("source").asc_nulls_first()],
         "_place",
     )
