@@ -309,7 +309,9 @@ def plain_shards(rows, shards, seed):
     placed = []
     for source in {x[-1] for x in keyed}:
         own = sorted((x for x in keyed if x[-1] == source), key=lambda x: x[0])
-        placed += [((rank + 0.5) / len(own), x) for rank, x in enumerate(own)]
+        named = [str(seed) + ":phase"] + ([] if source is None else [source])
+        phase = (int(hashlib.md5(":".join(named).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        placed += [((rank + phase) / len(own), x) for rank, x in enumerate(own)]
     placed.sort(key=lambda x: (x[0], x[1][0]))
     out = []
     for place, (_, x) in enumerate(placed):
@@ -324,6 +326,45 @@ def test_shards_by_plain_ranks(spark, odd_docs):
     assert sorted(map(tuple, got), key=repr) == plain_shards(rows, 5, op09_sharding.SEED)
 
 
+def test_rare_sources_are_spread_over_all_shards(spark):
+    rows = [(i, f"t{i}", f"host{i}") for i in range(3_000)] + [(10_000 + i, f"u{i}", "hot") for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op09_sharding.interleave(docs, 24, range_rows=64).collect()
+    rare, hot = (Counter(r["shard"] for r in got if (r["source"] == "hot") == x) for x in (False, True))
+    assert set(rare) == set(hot) == set(range(24))
+    for s in range(24):
+        assert abs(rare[s] - 125) <= 36 and abs(hot[s] - 62.5) <= 36 and abs(rare[s] + hot[s] - 187.5) <= 1
+    # buckets of about range_rows rows each
+    places = Counter(min(69, int(70 * (int(hashlib.md5(f"{op09_sharding.SEED}:phase:host{i}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32)) for i in range(3_000))
+    assert max(places.values()) < 4 * 64
+
+
+def test_texts_beyond_the_sample_are_passed_over(spark):
+    texts = ["x " * 5_000, *[f"a short text number {i}" for i in range(40)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(41)], "doc_id long, quality int, toxic int")
+    trained = {i for i in range(41) if hashlib.md5(str(i).encode()).hexdigest() < op08_kneser_ney.TRAINED_BELOW}
+    got = {r["text"] for r in op08_kneser_ney.sample(docs, labels, size=3_000).collect()}
+    assert got == {texts[i] for i in trained if i} and len(got) > 20
+    with pytest.raises(ValueError):
+        op08_kneser_ney.sample(docs, labels, size=5)
+    assert op08_kneser_ney.sample(docs, labels.limit(0)).count() == 0
+
+
+def test_thresholds_by_language(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice(["en", "de"])) for i in range(1_500)]
+    scored = spark.createDataFrame([(i, lang, 0.1 * r.random() + (0.5 if lang == "de" else 0.0)) for i, lang in rows], "doc_id long, lang string, log10_perplexity double")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    by_lang, overall = op08_kneser_ney.thresholds(scored, labels)
+    held = [x for x in scored.collect() if hashlib.md5(str(x["doc_id"]).encode()).hexdigest() >= op08_kneser_ney.TRAINED_BELOW]
+    for lang in ("en", "de"):
+        own = sorted(x["log10_perplexity"] for x in held if x["lang"] == lang)
+        assert len(own) >= op08_kneser_ney.LEAST
+        assert by_lang[lang] == own[math.ceil(0.99 * len(own)) - 1] + op08_kneser_ney.SLACK
+    assert overall == sorted(x["log10_perplexity"] for x in held)[math.ceil(0.99 * len(held)) - 1] + op08_kneser_ney.SLACK
+
+
 def test_shards_match_the_mixture(spark, odd_docs, no_docs):
     got = op09_sharding.interleave(odd_docs, 8, range_rows=4).collect()
     assert len(got) == odd_docs.count()

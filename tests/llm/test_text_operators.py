@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -96,6 +97,12 @@ def test_personal_data_random_strings():
 def test_added_spans_need_checksum_or_context():
     kinds = lambda t: [x[0] for x in op10_pii.added_spans(t)]
     assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["iban"] and not kinds("IBAN DE89 3704 0044 0532 0130 01")
+    for valid in ("AT611904300234573201", "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"):
+        for after in ("", " BANK", " BIC GIBAATWW", ".", " 1", "\n"):
+            text = f"IBAN {valid}{after}"
+            assert [x[:3] for x in op10_pii.added_spans(text) if x[0] == "iban"] == [("iban", 5, 5 + len(valid))], text
+        assert "iban" not in kinds(f"IBAN {valid}9") and "iban" not in kinds(f"IBAN X{valid}")
+    assert not kinds("IBAN ZZ611904300234573201")
     assert kinds("ssn 123-45-6789") == ["ssn"] and not kinds("part 123-45-6789")
     assert kinds("call (599) 555-3756 now") == ["tel"] and not kinds("code 599 555 3756")
 
@@ -280,6 +287,41 @@ def labels(spark):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
+def test_decision_list_against_plain_covering(spark):
+    """On small labelled data rules are learned; each is as good as it says, in order, and decides the verdict."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = op07_rules.fit_decision_list(docs, labels)
+    assert rules.rules
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    features = op07_rules.apply_rules(docs, rules).select("*", *[c.alias(f"f_{n}") for n, c in op07_rules.features().items()])
+    rows, left = features.collect(), {i for i in quality}
+    holds = lambda c, r: r[f"f_{c.feature}"] > c.threshold if c.above else r[f"f_{c.feature}"] <= c.threshold
+    for rule in rules.rules:
+        assert len({(c.feature, c.above) for c in rule.conditions}) == len(rule.conditions)
+        hit = {r["doc_id"] for r in rows if r["doc_id"] in left and all(holds(c, r) for c in rule.conditions)}
+        assert (len(hit), sum(quality[i] == 0 for i in hit) / len(hit)) == (rule.covered, rule.precision)
+        assert rule.covered >= 8 and rule.precision >= 0.97
+        left -= hit
+    for r in rows:
+        first = next((str(rule) for rule in rules.rules if all(holds(c, r) for c in rule.conditions)), None)
+        assert r["rule"] == first and r["kept"] == (not r["base_failed"] and first is None)
+    bad = [r for r in rows if quality.get(r["doc_id"]) == 0 and not r["base_failed"]]
+    assert sum(not r["kept"] for r in bad) >= 0.8 * len(bad) > 20
+
+
+def test_a_rule_that_fails_makes_room_for_another():
+    r = np.random.default_rng(5)
+    bad = np.zeros(400, bool)
+    bad[:60] = True
+    noisy = np.where(bad, r.normal(3, 1, 400), r.normal(1.5, 1, 400))  # gains most, never precise
+    clear = np.where(bad & (np.arange(400) % 3 == 0), 9.0, r.random(400))
+    mixed = r.permutation(400)
+    rules = op07_rules.DecisionList(most_conditions=1).fit({"noisy": noisy[mixed], "clear": clear[mixed]}, bad[mixed])
+    assert [c.feature for rule in rules.rules for c in rule.conditions] == ["clear"] and rules.rules[0].covered == 20
+    tight = op07_rules.merged([op07_rules.Condition("x", True, 1.0), op07_rules.Condition("x", False, 9.0), op07_rules.Condition("x", True, 4.0)])
+    assert [(c.above, c.threshold) for c in tight] == [(True, 4.0), (False, 9.0)]
+
+
 def test_decision_list_learns_and_explains(spark, labels, words):
     r = random.Random(8)
     text = lambda i: " ".join(r.choice(words) + ("###" if i % 3 == 0 else "") for _ in range(80))

@@ -1,8 +1,8 @@
 """Quality rules: a learned decision list over text statistics.
 
 Statistics come from one pass over the whole texts. Sequential covering learns from labelled rows: it grows a
-conjunction of thresholds by information gain on two thirds of the rows, prunes it on the last third, keeps it if it
-is precise, removes what it covers and goes on. The list becomes one chain of Spark `when` expressions.
+conjunction of thresholds by information gain on two thirds of the rows, prunes it on the last third to what is precise,
+removes what it covers and goes on; where nothing precise is left of it, another feature begins. The list becomes one chain of Spark `when` expressions.
 
 The list is fitted on at most SAMPLE labelled documents, those whose id has the smallest digest; everything else
 covers all rows. A document is kept if it passes the base rules and no rule rejects it; `rule` names the one that does.
@@ -118,6 +118,16 @@ class Rule:
         return f"reject if {' and '.join(map(str, self.conditions))} ({self.covered} rows, {self.precision:.3f})"
 
 
+def merged(rule: list[Condition]) -> list[Condition]:
+    """The rule without conditions that a narrower one on the same feature implies."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        held = out.get((c.feature, c.above))
+        if held is None or (c.threshold > held.threshold) == c.above:
+            out[c.feature, c.above] = c
+    return list(out.values())
+
+
 class DecisionList:
     """Ordered rules that reject; what no rule rejects is kept."""
 
@@ -127,30 +137,41 @@ class DecisionList:
         self.rules: list[Rule] = []
 
     def fit(self, data: dict[str, np.ndarray], bad: np.ndarray) -> DecisionList:
+        """Covers bad rows rule by rule. Where what was grown does not hold, the feature it began with is set aside and
+        another rule is grown; the list ends when no feature begins a rule that holds.
+        """
         left = np.ones(len(bad), bool)
         growing = np.arange(len(bad)) % 3 != 2
-        while (left & bad & growing).any():
-            rule = self._prune(self._grow(data, bad, left & growing), data, bad, left & ~growing)
-            if rule is None:
+        aside: set[str] = set()
+        while (left & bad & growing).any() and len(aside) < len(data):
+            grown = self._grow({n: x for n, x in data.items() if n not in aside}, data, bad, left & growing)
+            if not grown:
                 break
+            rule = self._prune(grown, data, bad, left, growing)
+            if rule is None:
+                aside.add(grown[0].feature)
+                continue
             hit = np.logical_and.reduce([c.holds(data) for c in rule]) & left
-            rows, right = int(hit.sum()), int((hit & bad).sum())
-            if rows < self.least_rows or right < self.least_precision * rows:
-                break
-            self.rules.append(Rule(tuple(rule), right / rows, rows))
+            self.rules.append(Rule(tuple(merged(rule)), (hit & bad).sum() / hit.sum(), int(hit.sum())))
             left &= ~hit
+            aside.clear()
         return self
 
-    def _grow(self, data, bad, rows) -> list[Condition]:
-        """Adds the threshold of most gain until no good row is covered."""
+    def _grow(self, first, data, bad, rows) -> list[Condition]:
+        """Adds the threshold of most gain until no good row is covered; first: the features that may begin."""
         rule: list[Condition] = []
         covered = rows.copy()
         while len(rule) < self.most_conditions and (covered & ~bad).any():
             p0, n0 = (covered & bad).sum(), (covered & ~bad).sum()
             best, gain = None, 0.0
-            for name, x in data.items():
-                cuts = np.unique(np.quantile(x[covered], np.linspace(0, 1, self.thresholds + 1)[:-1], method="lower"))
-                for cut in cuts:
+            for name, x in (data if rule else first).items():
+                # of either kind by itself, so that what parts them is among the cuts
+                kinds = (x[covered & bad], x[covered & ~bad])
+                shares = np.linspace(0, 1, self.thresholds + 1)
+                at = np.unique(np.concatenate([np.quantile(k, shares, method="lower") for k in kinds if len(k)]))
+                values = np.append(np.unique(x[covered]), at[-1])
+                # halfway to the next value
+                for cut in (at + values[np.searchsorted(values[:-1], at, side="right")]) / 2:
                     over = covered & (x > cut)
                     for above, hit in ((True, over), (False, covered & ~over)):
                         p, n = (hit & bad).sum(), (hit & ~bad).sum()
@@ -164,12 +185,18 @@ class DecisionList:
             covered &= best.holds(data)
         return rule
 
-    def _prune(self, rule, data, bad, rows) -> list[Condition] | None:
-        """Drops last conditions as long as (right - wrong) / covered on unseen rows does not fall."""
+    def _prune(self, rule, data, bad, left, growing) -> list[Condition] | None:
+        """Drops last conditions as long as (right - wrong) / covered on unseen rows does not fall.
+
+        Only what covers least_rows with least_precision, of all rows that are left, is looked at.
+        """
         best, worth = None, -2.0
         for n in range(len(rule), 0, -1):
-            hit = rows & np.logical_and.reduce([c.holds(data) for c in rule[:n]])
-            right, wrong = (hit & bad).sum(), (hit & ~bad).sum()
+            hit = left & np.logical_and.reduce([c.holds(data) for c in rule[:n]])
+            if hit.sum() < self.least_rows or (hit & bad).sum() < self.least_precision * hit.sum():
+                continue
+            unseen = hit & ~growing
+            right, wrong = (unseen & bad).sum(), (unseen & ~bad).sum()
             value = (right - wrong) / max(1, right + wrong)
             if value >= worth:
                 best, worth = rule[:n], value
