@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 import xml.etree.ElementTree as tree
 
 import pandas as pd
@@ -121,6 +122,26 @@ def access_log(c: Column) -> Column:
     )
 
 
+def access_fields(c: Column) -> Column:
+    """The fields of an access-log line by name; what is a dash is absent. The names."""
+    part = lambda i: F.nullif(F.nullif(F.regexp_extract(c, ACCESS, i), F.lit("")), F.lit("-"))
+    protocol = F.nullif(F.regexp_extract(c, r'\] "\S+ \S+ (\S+)"', 1), F.lit(""))
+    named = {
+        "remote_addr": part(1), "remote_user": part(2), "method": part(4), "path": part(5), "protocol": protocol,
+        "status": part(6), "bytes": part(7), "referer": part(8), "user_agent": part(9),
+    }
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in named.items()])
+    return F.when(c.rlike(ACCESS), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def message_parameters(c: Column) -> Column:
+    """The words of a message that its template masks, as param_0, param_1, ... in their order; null if there is none."""
+    words = F.slice(F.filter(F.split(c, r"\s+"), lambda t: t != ""), 1, 512)
+    masked = F.filter(words, lambda t: t.rlike("[0-9@]"))
+    entries = F.transform(masked, lambda t, i: F.struct(F.concat(F.lit("param_"), i.cast("string")).alias("key"), t.alias("value")))
+    return F.when(F.size(masked) > 0, F.map_from_entries(entries))
+
+
 def leading_stamp(c: Column) -> Column:
     """The time that a line begins with, as text; null if there is none."""
     stamp = F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s*", 1)
@@ -151,23 +172,28 @@ def csv_fields(c: Column, header: list[str], delimiter: str = ",") -> Column:
 
 
 def with_nested_fields(records: DataFrame) -> DataFrame:
-    """records with `nested`: the fields of JSON and XML texts, and `nested_format`; one Arrow pass, row by row."""
+    """records with `nested`: the fields of JSON and XML texts, `nested_format`, and `wide`: the values that compatibility
+    normalisation changes, as it leaves them; one Arrow pass, row by row."""
     at = records.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            formats, fields = [], []
+            formats, fields, wide = [], [], []
             for text in batch.column(at).to_pylist():
                 start = (text or "").lstrip()[:1]
                 found = json_fields(text) if start == "{" else xml_fields(text) if start == "<" else None
                 formats.append({"{": "json", "<": "xml"}.get(start) if found is not None else None)
                 fields.append(None if found is None else list(found.items()))
+                same = {k: unicodedata.normalize("NFKC", v) for k, v in (found or {}).items() if not v.isascii()}
+                wide.append([(k, v) for k, v in same.items() if v != found[k]] or None)
             kind = pa.map_(pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(formats, pa.string()), pa.array(fields, kind)], names=[*batch.schema.names, "nested_format", "nested"]
+                [*batch.columns, pa.array(formats, pa.string()), pa.array(fields, kind), pa.array(wide, kind)],
+                names=[*batch.schema.names, "nested_format", "nested", "wide"],
             )
 
-    added = [T.StructField("nested_format", T.StringType()), T.StructField("nested", T.MapType(T.StringType(), T.StringType()))]
+    by_path = T.MapType(T.StringType(), T.StringType())
+    added = [T.StructField("nested_format", T.StringType()), T.StructField("nested", by_path), T.StructField("wide", by_path)]
     return records.mapInArrow(run, T.StructType([*records.schema, *added]))
 
 

@@ -85,17 +85,35 @@ def _named(words: tuple[str, ...]) -> Column:
     return F.arrays_overlap(parts, F.array(*map(F.lit, words)))
 
 
+def value_counts(values: DataFrame) -> DataFrame:
+    """system, field, value -> how many rows have each value of a field: what classes and the keep gate are worked out from."""
+    return values.groupBy("system", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def classify(values: DataFrame) -> DataFrame:
     """A class and a policy (keep, tokenize, drop) for every field; the order of the rules matters."""
-    v = F.col("value")
-    share = lambda test: F.avg(F.when(v.isNotNull() & (v != ""), F.when(test, 1.0).otherwise(0.0)))
-    shares = values.groupBy("system", "field").agg(
-        share(v.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}")).alias("timestamps"),
-        share(v.rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("dates"),
-        share(v.rlike(r"^-?\d+(\.\d+)?$")).alias("numbers"),
-        share(v.rlike(r"^-?\d+\.\d{1,2}$")).alias("two_places"),
-        share(v.rlike(r"@[A-Za-z0-9-]+\.")).alias("emails"),
-        share(v.rlike(r"^-?\d+\.\d+$")).alias("floats"),
+    return classify_counts(value_counts(values))
+
+
+def classify_counts(counts: DataFrame) -> DataFrame:
+    """The same from value_counts: each test looks at a value once, however many rows have it."""
+    v = F.when(F.col("value") != "", F.col("value"))
+    times = lambda test: F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
+    filled = F.sum(F.when(v.isNotNull(), F.col("n")))
+    share = lambda pattern: times(v.rlike(pattern)) / filled
+    stats = counts.groupBy("system", "field").agg(
+        F.sum("n").alias("n"),
+        times(v.isNull()).alias("nulls"),
+        F.count(v).alias("n_distinct"),
+        (F.sum(F.length(v) * F.col("n")) / filled).alias("mean_length"),
+        (times(v.rlike(r"\s")) / F.sum("n")).alias("space_rate"),
+        times(kit.looks_like_secret(v)).alias("secrets"),
+        share(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}").alias("timestamps"),
+        share(r"^\d{4}-\d{2}-\d{2}$").alias("dates"),
+        share(r"^-?\d+(\.\d+)?$").alias("numbers"),
+        share(r"^-?\d+\.\d{1,2}$").alias("two_places"),
+        share(r"@[A-Za-z0-9-]+\.").alias("emails"),
+        share(r"^-?\d+\.\d+$").alias("floats"),
     )
     f = F.col
     full = f("n") - f("nulls")
@@ -122,16 +140,18 @@ def classify(values: DataFrame) -> DataFrame:
         .when(f("class") == "low_cardinality", "keep")
         .otherwise("tokenize")
     )
-    stats = field_statistics(values).join(shares, ["system", "field"])
     return stats.withColumn("class", kind).select("system", "field", "n", "n_distinct", "class", policy.alias("policy"))
 
 
 def keep_gate(values: DataFrame) -> DataFrame:
     """Values that may be shown: seen three times or more and without a run of four digits."""
+    return shown_values(value_counts(values))
+
+
+def shown_values(counts: DataFrame) -> DataFrame:
+    """The same from value_counts."""
     return (
-        values.where("value is not null and value <> ''")
-        .groupBy("system", "field", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        counts.where("value is not null and value <> ''")
         .where((F.col("n") >= 3) & ~F.col("value").rlike("[0-9]{4}"))
     )
 

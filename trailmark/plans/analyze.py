@@ -24,6 +24,7 @@ STATUS_FIELDS = (
     "status", "http_status", "status_code", "httpStatus", "statusCode",
     "http.status_code", "http.response.status_code", "response_status", "response.status",
 )
+#: Fields that name who acted.
 ACTOR_FIELDS = ("actor", "user", "username", "user_name", "principal")
 
 
@@ -68,7 +69,7 @@ def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
         F.col("format").isin("json", "xml") & F.col("fields").isNull(), "unparseable"
     )
     stamp = F.coalesce(_first(F.col("fields"), TIME_FIELDS), parsing.access_stamp(text), parsing.leading_stamp(text))
-    level = F.coalesce(field_severity(F.col("fields")), line["severity"], F.when(F.col("format") == "access_log", kit.status_severity(log["status"])))
+    level = F.coalesce(field_severity(F.col("fields")), F.when(F.col("format") == "text", line["severity"]))
     template = (
         F.when(F.col("format").isin("json", "logfmt"), kit.key_signature(F.transform(F.map_keys("fields"), kit.safe_segment)))
         .when(F.col("format") == "xml", F.concat(F.lit("xml:"), F.split(F.element_at(F.map_keys("fields"), 1), r"\.")[0]))
@@ -76,7 +77,8 @@ def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
         .otherwise(kit.mask_message(line["message"]))
     )
     nested = parsing.with_nested_fields(records).withColumn("pairs", F.when(F.col("nested").isNull(), pairs))
-    parsed = nested.withColumn("format", kind).withColumn("fields", F.coalesce("nested", "pairs"))
+    other = F.when(F.col("format") == "access_log", parsing.access_fields(text)).when(F.col("format") == "text", parsing.message_parameters(line["message"]))
+    parsed = nested.withColumn("format", kind).withColumn("fields", F.coalesce("nested", "pairs", other))
     parsed = parsed.drop("nested", "nested_format", "pairs")
     parsed = settled(parsed.withColumn("drop_reason", reason).withColumn("_stamp", stamp).withColumn("template", template).withColumn("_level", level))
     return settled(
@@ -96,65 +98,89 @@ def field_values(parsed: DataFrame) -> DataFrame:
     return rows.select("system", F.concat_ws("/", "system", "template_id", "path").alias("field_ref"), F.col("path").alias("field"), "value", "locator", "pos")
 
 
+def counted(parsed: DataFrame) -> DataFrame:
+    """How often each value of each field stands: the one look at all values that decisions need."""
+    return settled(profile.value_counts(field_values(parsed).select("system", "field", "value")))
+
+
 def decide(parsed: DataFrame) -> DataFrame:
     """Class and policy of every field of every system, from all its values."""
-    return profile.classify(field_values(parsed).select("system", "field", "value"))
+    return profile.classify_counts(profile.value_counts(field_values(parsed).select("system", "field", "value")))
+
 
+#: Classes of which only the form of their own is tokenised; all others have the forms of an identifier.
+ONE_FORM = {"amount": "amount", "date": "date", "timestamp": "date"}
 
-def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1) -> DataFrame:
-    """Canonical events: attributes that may be shown, identifiers as tokens, everything else gone."""
-    values = field_values(parsed)
-    routed = values.join(F.broadcast(decisions.select("system", "field", "policy", "class")), ["system", "field"])
-    often = profile.keep_gate(values.select("system", "field", "value")).select("system", "field", "value", F.lit(True).alias("often"))
-    kept = routed.where("policy = 'keep'").join(often, ["system", "field", "value"], "left_semi")
-    attributes = kept.groupBy("system", "locator").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", kit.attribute(F.col("value")).alias("value"))))).alias("attributes")
+
+def forms_of(value: Column, class_: Column) -> Column:
+    """The forms of a value by the class of its field: form and v, those of three characters or more; a value that an earlier
+    form of an identifier already has adds nothing."""
+    raw = kit.raw(value)
+    form = lambda name, v: F.struct(F.lit(name).alias("form"), v.alias("v"))
+    named = F.array(
+        form("raw", raw),
+        form("norm", F.lower(raw)),
+        form("alnum", kit.alnum(raw)),
+        *[form(f"digits.{i}", F.get(kit.digit_runs(raw), F.lit(i))) for i in range(3)],
     )
-    raw = kit.raw(F.col("value"))
-    forms = F.filter(
-        F.array(
-            F.struct(F.lit("raw").alias("form"), raw.alias("v")),
-            F.struct(F.lit("norm").alias("form"), kit.norm(F.col("value")).alias("v")),
-            F.struct(F.lit("alnum").alias("form"), kit.alnum(F.col("value")).alias("v")),
-            *[F.struct(F.lit(f"digits.{i}").alias("form"), F.get(kit.digit_runs(F.col("value")), F.lit(i)).alias("v")) for i in range(3)],
-            F.struct(F.lit("date").alias("form"), kit.date_form(F.col("value")).alias("v")),
-            F.struct(F.lit("amount").alias("form"), F.when(F.col("class") == "amount", kit.amount_minor_units(F.col("value"))).cast("string").alias("v")),
-        ),
-        lambda x: F.length(x["v"]) >= 3,
+    long_enough = F.filter(named, lambda x: F.length(x["v"]) >= 3)
+    identifier = F.filter(long_enough, lambda x, i: ~F.exists(F.slice(long_enough, F.lit(1), i), lambda y: y["v"] == x["v"]))
+    own = F.when(class_ == "amount", F.array(form("amount", kit.amount_minor_units(value).cast("string")))).when(
+        class_.isin("date", "timestamp"), F.array(form("date", kit.date_form(value)))
     )
-    exploded = routed.where("policy = 'tokenize'").select("system", "locator", "field_ref", "pos", F.posexplode(forms).alias("at", "x"))
-    # a form whose value an earlier form of the same domain already has adds nothing
-    domain = kit.token_domain(F.col("x.form"))
-    tokens = (
-        exploded.groupBy("system", "locator", "field_ref", domain.alias("domain"), F.col("x.v").alias("v"))
-        .agg(F.min_by("x.form", "at").alias("form"), F.min("pos").alias("pos"), F.min("at").alias("at"))
-        .select(
-            "system",
-            "locator",
-            "pos",
-            "at",
-            F.struct(
-                F.col("field_ref").alias("field"),
-                "form",
-                kit.token(F.col("domain"), F.col("v"), key, version).alias("token"),
-                kit.shape(F.col("v")).alias("shape"),
-                F.length("v").alias("len"),
-            ).alias("identifier"),
-        )
+    return F.coalesce(F.filter(own, lambda x: F.length(x["v"]) >= 1), identifier)
+
+
+def rules(parsed: DataFrame, decisions: DataFrame, counts: DataFrame) -> DataFrame:
+    """system, template_id, rules: one row a template, of each of its paths the policy, the class and the values to show.
+
+    Only fields of few values are kept, so what may be shown is a thousand values a field at most.
+    """
+    paths = parsed.where("drop_reason is null and fields is not null").select("system", "template_id", F.explode(F.map_keys("fields")).alias("field"))
+    kept = decisions.where("policy = 'keep'").select("system", "field")
+    shown = profile.shown_values(counts.join(kept, ["system", "field"], "left_semi")).groupBy("system", "field").agg(F.collect_set("value").alias("shown"))
+    known = decisions.where("policy <> 'drop'").join(shown, ["system", "field"], "left")
+    rule = F.struct(F.col("policy"), F.col("class"), F.coalesce("shown", F.array().cast("array<string>")).alias("shown"))
+    per_path = paths.distinct().join(known, ["system", "field"])
+    return per_path.groupBy("system", "template_id").agg(F.map_from_entries(F.collect_list(F.struct("field", rule.alias("rule")))).alias("rules"))
+
+
+def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1, counts: DataFrame | None = None) -> DataFrame:
+    """Canonical events: attributes that may be shown, identifiers as tokens, everything else gone.
+
+    A record meets the rules of its template once and is worked on where it lies: no value is exploded or shuffled.
+    Under the cap the fields of a record come in their order, each with its forms in theirs.
+    """
+    rows = parsed.where("drop_reason is null").join(rules(parsed, decisions, counted(parsed) if counts is None else counts), ["system", "template_id"], "left")
+    entry = F.transform(
+        F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,string>"))),
+        lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"), F.coalesce(F.try_element_at("wide", e["key"]), e["value"]).alias("plain"), F.try_element_at("rules", e["key"]).alias("rule")),
     )
-    # under the cap the fields of a record come in their order, each with its forms in theirs
-    placed = F.array_sort(F.collect_list(F.struct("pos", "at", "identifier")))
-    identifiers = tokens.groupBy("system", "locator").agg(
-        F.transform(F.slice(placed, 1, MAX_IDENTIFIERS), lambda x: x["identifier"]).alias("identifiers")
+    rows = rows.withColumn("_entries", F.filter(entry, lambda e: e["rule"].isNotNull()))
+    shown = F.filter("_entries", lambda e: (e["rule"]["policy"] == "keep") & F.array_contains(e["rule"]["shown"], e["value"]))
+    attributes = F.map_from_entries(F.array_sort(F.transform(shown, lambda e: F.struct(e["path"], kit.attribute(e["value"])))))
+    # values first, cut to what an event may carry; only those are keyed
+    routed = F.filter("_entries", lambda e: e["rule"]["policy"] == "tokenize")
+    values = F.flatten(
+        F.transform(routed, lambda e: F.transform(forms_of(e["plain"], e["rule"]["class"]), lambda x: F.struct(e["path"].alias("path"), x["form"].alias("form"), x["v"].alias("v"))))
     )
-    events = parsed.where("drop_reason is null").select("system", "source", "locator", "observed_at", "time_quality", "severity", "template_id", "actor_kind")
-    keys = ["system", "locator"]
-    return (
-        events.join(attributes, keys, "left")
-        .join(identifiers, keys, "left")
-        .withColumn("event_id", kit.event_ulid(F.unix_millis("observed_at"), F.col("source"), F.col("locator")))
-        .drop("locator")
+    rows = rows.withColumn("_values", F.slice(values, 1, MAX_IDENTIFIERS))
+    identifiers = F.transform(
+        "_values",
+        lambda x: F.struct(
+            F.concat_ws("/", "system", "template_id", x["path"]).alias("field"),
+            x["form"].alias("form"),
+            kit.token(kit.token_domain(x["form"]), x["v"], key, version).alias("token"),
+            kit.shape(x["v"]).alias("shape"),
+            F.length(x["v"]).alias("len"),
+        ),
     )
+    return rows.select(
+        "system", "source", "observed_at", "time_quality", "severity", "template_id", "actor_kind",
+        F.when(F.size(shown) > 0, attributes).alias("attributes"),
+        F.when(F.size("_values") > 0, identifiers).alias("identifiers"),
+        kit.event_ulid(F.unix_millis("observed_at"), F.col("source"), F.col("locator")).alias("event_id"),
+    )
 
 
 def analyze(records: DataFrame, key: bytes, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,6 +189,7 @@ def analyze(records: DataFrame, key: bytes, sources: DataFrame | None = None) ->
     if sources is not None:
         records, others = known_sources(records, sources)
     parsed = parse(records)
-    decisions = decide(parsed)
+    counts = counted(parsed)
+    decisions = settled(profile.classify_counts(counts))
     dropped = parsed.where("drop_reason is not null").select("system", "locator", "drop_reason")
-    return emit(parsed, decisions, key), decisions, dropped if others is None else dropped.unionByName(others)
+    return emit(parsed, decisions, key, counts=counts), decisions, dropped if others is None else dropped.unionByName(others)
