@@ -98,25 +98,37 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return spine.join(counts, ["node", "hour"], "left").select("node", "hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def volume_drops(hourly: DataFrame, least_weeks: int = 2) -> DataFrame:
-    """Hours whose count fell far below the median of the same hour of the week."""
-    slot = [F.dayofweek("hour").alias("weekday"), F.hour("hour").alias("hour_of_day")]
-    named = hourly.select("node", "hour", "n", *slot)
-    keys = ["node", "weekday", "hour_of_day"]
-    median = named.groupBy(*keys).agg(F.percentile("n", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("weeks"))
-    off = named.join(median, keys)
-    mad = off.groupBy(*keys).agg(F.percentile(F.abs(F.col("n") - F.col("median")), F.lit(0.5)).alias("mad"))
-    joined = off.join(mad, keys).where(F.col("weeks") >= least_weeks)
+#: Weeks of a seasonal baseline, and the least that it needs.
+WEEKS, LEAST_WEEKS = 4, 2
+
+
+def _median(values: Column) -> Column:
+    """The median of a short array."""
+    s, n = F.array_sort(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def seasonal_baseline(hourly: DataFrame, weeks: int = WEEKS) -> DataFrame:
+    """node, hour, n -> with median, mad and weeks of the same hour of the week in the `weeks` weeks before; the hour that
+    is judged is no part of its own baseline, whatever it holds."""
+    slot = Window.partitionBy("node", F.dayofweek("hour"), F.hour("hour")).orderBy(F.col("hour").cast("long"))
+    before = F.collect_list("n").over(slot.rangeBetween(-weeks * 7 * 86_400, -1))
+    held = hourly.select("node", "hour", "n", before.alias("_before")).withColumn("median", _median(F.col("_before")))
+    off = F.transform("_before", lambda x: F.abs(x - F.col("median")))
+    return held.select("node", "hour", "n", "median", _median(off).alias("mad"), F.size("_before").alias("weeks"))
+
+
+def volume_drops(hourly: DataFrame, weeks: int = WEEKS, least_weeks: int = LEAST_WEEKS) -> DataFrame:
+    """Hours whose count fell far below what the same hour of the week had in the weeks before."""
+    judged = seasonal_baseline(hourly, weeks).where(F.col("weeks") >= least_weeks)
     drop = (F.col("n") <= 0.3 * F.col("median")) & (F.col("n") < F.col("median") - 4 * F.col("mad"))
-    return joined.where(drop).select("node", "hour", "n", "median", "mad")
+    return judged.where(drop).select("node", "hour", "n", "median", "mad")
 
 
-def silent_hours(hourly: DataFrame) -> DataFrame:
-    """Hours without events that follow such an hour, where the same hours of the week usually have some."""
-    keys = ["node", "weekday", "hour_of_day"]
-    named = hourly.select("node", "hour", "n", F.dayofweek("hour").alias("weekday"), F.hour("hour").alias("hour_of_day"))
-    usual = named.groupBy(*keys).agg(F.percentile("n", F.lit(0.5)).alias("median"))
-    silent = named.join(usual, keys).withColumn("_silent", (F.col("n") == 0) & (F.col("median") > 0))
+def silent_hours(hourly: DataFrame, weeks: int = WEEKS, least_weeks: int = LEAST_WEEKS) -> DataFrame:
+    """Hours without events that follow such an hour, where the same hours of the week before had some."""
+    usual = F.coalesce((F.col("median") > 0) & (F.col("weeks") >= least_weeks), F.lit(False))
+    silent = seasonal_baseline(hourly, weeks).withColumn("_silent", (F.col("n") == 0) & usual)
     before = F.lag("_silent").over(Window.partitionBy("node").orderBy("hour"))
     return silent.withColumn("_before", before).where("_silent and _before").select("node", "hour", "median")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 
 import pandas as pd
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import kit
 from trailmark.functions import transforms as t
-from trailmark.operators import parsing
+from trailmark.operators import calendar, parsing
 from trailmark.plans import analyze
+from trailmark.plans.kit_queries import _pads
 from trailmark.plans.registry import query
 from trailmark.sources import readers
 from trailmark.sources.tables import TEST_KEY, identifiers, table
@@ -56,6 +58,56 @@ def canonical_events(spark, sf_dir):
     )
 
 
+def _lines(spark, sf_dir):
+    """Each event as a line of an access log and as a line of an application's log."""
+    events = table(spark, sf_dir, "events")
+    number = F.lpad(F.col("event_id").cast("string"), 8, "0")
+    stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
+    status = F.when(F.col("event_id") % 10 == 0, "503").when(F.col("event_id") % 10 == 1, "404").otherwise("200")
+    access = F.concat(F.lit("10.1.2.3 - u"), F.col("user_id").cast("string"), F.lit(" ["), stamp, F.lit(' +0000] "GET /orders/'), number, F.lit(' HTTP/1.1" '), status, F.lit(' 512 "-" "probe"'))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" INFO order ORD-"), number, F.lit(" was shipped"))
+    of = lambda system, text: events.select(
+        F.lit(system).alias("system"), F.lit("src").alias("source"), F.concat(F.lit(f"{system}:"), F.col("event_id").cast("string")).alias("locator"),
+        F.lit("2024-03-01 00:00:00").cast("timestamp").alias("received_at"), text.alias("text"),
+    )
+    return of("proxy", access).unionByName(of("app", line))
+
+
+_LINES_SQL = f"""
+n as (select lpad(event_id::varchar, 8, '0') as number, event_id from events),
+v as (
+  select 'proxy' as system, 'path' as path, event_id, [('raw', '/orders/' || number), ('alnum', 'orders' || number), ('digits.0', ltrim(number, '0'))] as forms from n
+  union all select 'app', 'param_0', event_id, [('raw', 'ORD-' || number), ('norm', 'ord-' || number), ('alnum', 'ord' || number), ('digits.0', ltrim(number, '0'))] from n),
+x as (select system, path, event_id, unnest(forms) as f from v),
+tokens as (
+  select system, path, f[1] as form, 't1.' || substring(translate(to_base64(unhex(sha256(unhex('{_pads()[1]}') || unhex(sha256(unhex('{_pads()[0]}') || ('id' || chr(0) || f[2])::blob))))), '+/', '-_'), 1, 22) as token,
+         length(f[2])::int as len from x where length(f[2]) >= 3)
+"""
+
+
+@query("ana_identifiers", f"with {_LINES_SQL} select * from tokens")
+def line_identifiers(spark, sf_dir):
+    """Every identifier of lines that hold no named fields: paths of requests, parameters of messages."""
+    events = analyze.analyze(_lines(spark, sf_dir), TEST_KEY)[0]
+    found = events.select("system", F.explode("identifiers").alias("i"))
+    named = found.select("system", F.element_at(F.split("i.field", "/"), -1).alias("path"), "i.form", "i.token", "i.len")
+    return named.where("path in ('path', 'param_0')")
+
+
+@query(
+    "ana_attributes",
+    """
+    with s as (select case when event_id % 10 = 0 then '503' when event_id % 10 = 1 then '404' else '200' end as status from events),
+    v as (select case status when '503' then 'error' when '404' then 'warn' end as severity,
+      unnest(['bytes', 'method', 'protocol', 'remote_addr', 'status', 'user_agent']) as path, unnest(['512', 'GET', 'HTTP/1.1', '10.1.2.3', status, 'probe']) as value from s)
+    select 'proxy' as system, path, value, severity, count(*)::bigint as n from v group by all""",
+)
+def line_attributes(spark, sf_dir):
+    events = analyze.analyze(_lines(spark, sf_dir), TEST_KEY)[0]
+    shown = events.select("system", "severity", F.explode("attributes").alias("path", "value")).where("path <> 'remote_user'")
+    return shown.groupBy("system", "path", "value", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ana_leak_check", "select 0::bigint as leaks")
 def leak_check(spark, sf_dir):
     """Whether any raw amount of four digits or more shows in what was emitted: it must not."""
@@ -90,6 +142,28 @@ def business_hours(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(t.business_seconds(at, at + F.expr("interval 30 hours")), 3).alias("open_s"))
 
 
+_HOLIDAYS = [datetime.date(y, m, d) for y in range(1990, 2005) for m, d in ((1, 1), (7, 4), (12, 25))]
+
+
+@query(
+    "det_business_calendar",
+    """
+    with z as (select o_orderkey, case when o_orderkey % 2 = 0 then 'America/New_York' else 'Europe/Berlin' end as zone,
+                      o_orderdate + to_hours((o_orderkey % 24)::int) as a, o_orderdate + to_hours((o_orderkey % 24 + o_orderkey % 400)::int) as b from orders),
+    d as (select *, unnest(generate_series(a::date - 1, b::date + 1, interval 1 day))::date as day from z),
+    o as (select *, epoch(timezone(zone, day + time '09:00:00')) as opened, epoch(timezone(zone, day + time '17:00:00')) as closed,
+                 dayofweek(day) between 1 and 5 and not (strftime(day, '%m-%d') in ('01-01', '07-04', '12-25')) as works from d)
+    select o_orderkey, zone, round(sum(case when works then greatest(0.0, least(epoch(b), closed) - greatest(epoch(a), opened)) else 0.0 end), 3) as open_s from o group by all""",
+)
+def business_calendar(spark, sf_dir):
+    key, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    hours = lambda n: F.make_dt_interval(F.lit(0), n.cast("int"))
+    zone = F.when(key % 2 == 0, "America/New_York").otherwise("Europe/Berlin")
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", zone.alias("zone"), (at + hours(key % 24)).alias("a"), (at + hours(key % 24 + key % 400)).alias("b"))
+    days = calendar.calendar(spark, ["America/New_York", "Europe/Berlin"], datetime.date(1990, 1, 1), datetime.date(2004, 12, 31), _HOLIDAYS)
+    return calendar.with_open_seconds(spans, days, "a", "b", "open_s", F.col("zone")).select("o_orderkey", "zone", F.round("open_s", 3).alias("open_s"))
+
+
 @query("src_contract_check", "select count(*) filter (where event_id % 50 = 0)::bigint as rejected, count(*)::bigint as n from events")
 def contract_check(spark, sf_dir):
     ulid = kit.event_ulid(F.unix_millis(F.col("ts").cast("timestamp")), F.lit("s"), F.col("event_id").cast("string"))

@@ -76,16 +76,19 @@ def _events(spark, sf_dir):
     )
 
 
+#: Of each hour what the same hour of the week had in the four weeks before.
+SEASON_SQL = """
+c as (select {node} as node, date_trunc('hour', ts) as hour, count(*)::bigint as n from events group by all),
+spine as (select node, unnest(generate_series(a, b, interval 1 hour)) as hour from (select node, min(hour) as a, max(hour) as b from c group by 1)),
+h as (select node, hour, coalesce(n, 0) as n from spine left join c using (node, hour)),
+w as (select *, list(n) over (partition by node, dayofweek(hour), hour(hour) order by hour range between interval 28 days preceding and interval 1 hour preceding) as held from h),
+m as (select *, list_median(held) as median, coalesce(len(held), 0) as weeks, list_median(list_transform(held, lambda x: abs(x - list_median(held)))) as mad from w)"""
+
+
 @query(
     "det_volume_mad",
-    """
-    with c as (select event_type as node, date_trunc('hour', ts) as hour, count(*) as n from events group by all),
-    spine as (select node, unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from c group by node),
-    f as (select s.node, s.hour, coalesce(c.n, 0) as n, dayofweek(s.hour) as wd, hour(s.hour) as hd from spine s left join c using (node, hour)),
-    m as (select node, wd, hd, quantile_cont(n, 0.5) as median, count(*) as weeks from f group by all),
-    g as (select f.*, median, weeks from f join m using (node, wd, hd)),
-    a as (select node, wd, hd, quantile_cont(abs(n - median), 0.5) as mad from g group by all)
-    select node, hour, n::bigint as n, median, mad from g join a using (node, wd, hd) where weeks >= 2 and n <= 0.3 * median and n < median - 4 * mad""",
+    f"""with {SEASON_SQL.format(node="event_type")}
+    select node, hour, n, median, mad from m where weeks >= 2 and n <= 0.3 * median and n < median - 4 * mad""",
 )
 def volume(spark, sf_dir):
     drops = detection.volume_drops(detection.hourly_counts(_events(spark, sf_dir)))

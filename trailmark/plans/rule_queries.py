@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import kit
 from trailmark.operators import assembly, detection, evaluation, parsing
 from trailmark.plans import analyze
-from trailmark.plans.detection_queries import NOW, STALLS_SQL, _events, _now, _stalls
+from trailmark.plans.detection_queries import NOW, SEASON_SQL, STALLS_SQL, _events, _now, _stalls
 from trailmark.plans.flow_queries import HOPS_SQL, STATUS_SQL, TERMINAL_SQL
 from trailmark.plans.registry import query
 from trailmark.plans.stream_queries import _plain, _stream
@@ -71,13 +71,10 @@ def p_next_completed(spark, sf_dir):
 
 @query(
     "det_volume_silence",
-    """
-    with c as (select user_id % 50 as node, date_trunc('hour', ts) as hour, count(*)::bigint as n from events group by all),
-    spine as (select node, unnest(generate_series(a, b, interval 1 hour)) as hour from (select node, min(hour) as a, max(hour) as b from c group by 1)),
-    h as (select node, hour, coalesce(n, 0) as n, dayofweek(hour) as d, hour(hour) as o from spine left join c using (node, hour)),
-    m as (select *, quantile_cont(n, 0.5) over (partition by node, d, o) as median from h),
-    s as (select *, n = 0 and median > 0 as silent, lag(n = 0 and median > 0) over (partition by node order by hour) as before from m)
-    select node, hour, median from s where silent and before""",
+    f"""with {SEASON_SQL.format(node="user_id % 50")},
+    s as (select *, n = 0 and coalesce(median > 0 and weeks >= 2, false) as silent from m),
+    p as (select *, lag(silent) over (partition by node order by hour) as before from s)
+    select node, hour, median from p where silent and before""",
 )
 def volume_silence(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
