@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.graph import connected
+from trailmark.operators.quantiles import percentiles
 from trailmark.session import settled
 
 
@@ -20,16 +21,16 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 def hub_tokens(identifiers: DataFrame, most: int = 50) -> DataFrame:
     """Tokens of more than `most` distinct transactions on one day: batch keys, never merged on.
 
-    Only tokens on so many events can be hubs. Transactions are those that the events make without these tokens; a token
-    on many events of one transaction is no hub.
+    Only tokens on so many events can be hubs. Transactions are those that the events make without these tokens; events
+    with nothing else count as one, for it is the token that makes them one. So a token on many events of one transaction
+    is no hub.
     """
     dated = identifiers.where("observed_at is not null").withColumn("day", F.to_date("observed_at"))
     daily = dated.groupBy("system", "field", "token", "day").agg(F.count_distinct("event_key").alias("_events"))
     busy = settled(daily.where(F.col("_events") > most).select("token").distinct())
     txns = assemble(identifiers, busy)
     rows = dated.join(busy, "token").select("system", "field", "token", "day", "event_key").distinct().join(txns, "event_key", "left")
-    alone = F.concat(F.lit("alone:"), "event_key")  # nothing but busy tokens
-    found = rows.groupBy("system", "field", "token", "day").agg(F.count_distinct(F.coalesce("txn", alone)).alias("transactions"))
+    found = rows.groupBy("system", "field", "token", "day").agg(F.count_distinct(F.coalesce("txn", F.lit(""))).alias("transactions"))
     return found.where(F.col("transactions") > most)
 
 
@@ -103,12 +104,9 @@ def hops(journeys: DataFrame) -> DataFrame:
 
 
 def hop_statistics(hop_rows: DataFrame) -> DataFrame:
-    return hop_rows.groupBy("from_node", "to_node").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("is_error").alias("errors"),
-        F.percentile("latency_s", F.lit(0.5)).alias("p50"),
-        F.percentile("latency_s", F.lit(0.99)).alias("p99"),
-    )
+    nodes = ["from_node", "to_node"]
+    counts = hop_rows.groupBy(*nodes).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors"))
+    return counts.join(percentiles(hop_rows, nodes, F.col("latency_s"), {"p50": 0.5, "p99": 0.99}), nodes, "left")
 
 
 def hop_statistics_hourly(hop_rows: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def aged(journeys: DataFrame, now: Column) -> DataFrame:
     """Events of transactions that opened longer ago than 99 % of all take from their first event to their last."""
     spans = journeys.groupBy("txn").agg(F.min("observed_at").alias("_opened"), F.max("observed_at").alias("_last"))
     took = F.col("_last").cast("bigint") - F.col("_opened").cast("bigint")
-    usual = spans.agg(F.percentile(took, F.lit(0.99)).alias("_p99")).withColumn("_one", F.lit(1))
+    usual = percentiles(spans, [], took, {"_p99": 0.99}).withColumn("_one", F.lit(1))
     both = spans.withColumn("_one", F.lit(1)).join(F.broadcast(usual), "_one")  # a single row
     old = both.where(now.cast("double") - F.col("_opened").cast("double") > F.col("_p99"))
     return journeys.join(old.select("txn"), "txn", "left_semi")
@@ -167,7 +165,7 @@ def status(journeys: DataFrame, terminal: DataFrame) -> DataFrame:
         F.max("observed_at").alias("last_seen"),
         F.count(F.lit(1)).alias("events"),
     )
-    ends = F.broadcast(terminal.where("terminal").select(F.col("node").alias("_end")))
+    ends = terminal.where("terminal").select(F.col("node").alias("_end"))
     return last.join(ends, F.col("last.node") == F.col("_end"), "left").select(
         "txn",
         "events",
@@ -186,11 +184,10 @@ def with_stalls(statuses: DataFrame, stalled: DataFrame) -> DataFrame:
 
 def clock_skew(pairs: DataFrame, tight_s: float = 10.0, warn_s: float = 30.0) -> DataFrame:
     """system_a, system_b, lag_s -> the offset of links that are tight and consistently negative."""
-    links = pairs.groupBy("system_a", "system_b").agg(
-        F.percentile("lag_s", F.lit(0.5)).alias("median"),
-        (F.percentile("lag_s", F.lit(0.75)) - F.percentile("lag_s", F.lit(0.25))).alias("iqr"),
-        F.avg(F.when(F.col("lag_s") < 0, 1.0).otherwise(0.0)).alias("negative_share"),
-    )
+    systems = ["system_a", "system_b"]
+    signs = pairs.groupBy(*systems).agg(F.avg(F.when(F.col("lag_s") < 0, 1.0).otherwise(0.0)).alias("negative_share"))
+    lags = percentiles(pairs, systems, F.col("lag_s"), {"_25": 0.25, "median": 0.5, "_75": 0.75})
+    links = signs.join(lags, systems).withColumn("iqr", F.col("_75") - F.col("_25"))
     return links.where((F.col("iqr") < tight_s) & (F.col("negative_share") >= 0.8)).select(
         "system_a", "system_b", F.col("median").alias("offset_s"), (F.abs("median") > warn_s).alias("warn")
     )

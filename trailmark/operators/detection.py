@@ -28,7 +28,7 @@ def stalls(statuses: DataFrame, deadlines: DataFrame, now: Column) -> DataFrame:
     waited = now.cast("double") - F.col("last_seen").cast("double")
     return (
         statuses.where("status = 'in_progress'")
-        .join(F.broadcast(due), "last_node")
+        .join(due, "last_node")
         .withColumn("waited_s", waited)
         .where(F.col("waited_s") > F.col("deadline_s"))
     )

@@ -75,15 +75,21 @@ def fault_matches(faults: DataFrame, alerts: DataFrame, grace: str = "2 minutes"
     """The first alert of each fault: of its kind, opened in its window with grace, sharing an affected transaction."""
     edge = F.expr(f"interval {grace}")
     end = F.coalesce("end_at", F.col("start_at") + F.expr("interval 1 day"))
-    # both sides meet by day, so that the range test only sees pairs of the same day
-    spread = faults.withColumn("_day", F.explode(F.sequence(F.to_date(F.col("start_at") - edge), F.to_date(end + edge))))
     hit = (
         (F.col("kind").isNull() | (F.col("kind") == F.col("alert_kind")))
         & F.col("opened_at").between(F.col("start_at") - edge, end + edge)
         & ((F.size("affected") == 0) | F.arrays_overlap("affected", "alert_txns"))
     )
-    found = spread.join(alerts.withColumn("_day", F.to_date("opened_at")), "_day").where(hit)
-    found = faults.join(found.select("fault_id", "alert_id", "opened_at"), "fault_id", "left")
+    # a fault with transactions meets the alerts of those, one with a kind the alerts of that kind and day, and only a fault
+    # without either all alerts of its days
+    own = faults.where(F.size("affected") > 0).withColumn("_txn", F.explode("affected"))
+    by_txn = own.join(alerts.withColumn("_txn", F.explode("alert_txns")), "_txn")
+    spread = faults.where(F.size("affected") == 0).withColumn("_day", F.explode(F.sequence(F.to_date(F.col("start_at") - edge), F.to_date(end + edge))))
+    dated = alerts.withColumn("_day", F.to_date("opened_at"))
+    by_kind = spread.where("kind is not null").join(dated.withColumn("kind", F.col("alert_kind")), ["_day", "kind"])
+    by_day = spread.where("kind is null").join(dated, "_day")
+    found = [df.where(hit).select("fault_id", "alert_id", "opened_at") for df in (by_txn, by_kind, by_day)]
+    found = faults.join(found[0].union(found[1]).union(found[2]).distinct(), "fault_id", "left")
     first = Window.partitionBy("fault_id").orderBy(F.col("opened_at").asc_nulls_last(), F.col("alert_id").asc_nulls_last())
     ranked = found.withColumn("_at", F.row_number().over(first)).where("_at = 1")
     wait = F.greatest(F.lit(0.0), F.col("opened_at").cast("double") - F.col("start_at").cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import kit
+from trailmark.operators.quantiles import percentiles
 from trailmark.session import settled
 
 #: Defaults of the link rules.
@@ -47,7 +48,7 @@ def features_of(token_rows: DataFrame) -> DataFrame:
     """The same from a token table.
 
     Fan-out and concentration come from counts by number of events, so that no pair of fields, however many tokens it
-    shares, is one task's rows; exact percentiles of the lag are aggregates with merged counts.
+    shares, is held by one task; exact percentiles of the lag come from sorted counts.
     """
     tokens = settled(token_rows)
     shared = settled(pairs(tokens))
@@ -55,10 +56,8 @@ def features_of(token_rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max(kit.shape_domain(F.col("shape"))).alias("domain")
     )
     lag = F.col("first_seen_b").cast("double") - F.col("first_seen_a").cast("double")
-    lags = shared.groupBy(*FIELDS).agg(
-        F.percentile(lag, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_lag"),
-        F.avg(F.when(lag > 0, 1.0).when(lag.isNotNull(), 0.0)).alias("lag_positive_share"),
-    )
+    signs = shared.groupBy(*FIELDS).agg(F.avg(F.when(lag > 0, 1.0).when(lag.isNotNull(), 0.0)).alias("lag_positive_share"))
+    lags = signs.join(percentiles(shared, FIELDS, lag, {"_lag_25": 0.25, "_lag_50": 0.5, "_lag_75": 0.75}), FIELDS, "left")
     counts = settled(shared.groupBy(*FIELDS, "events_a", "events_b").agg(F.count(F.lit(1)).alias("c")))
     two = F.array(F.lit(0.5), F.lit(0.99))
     fanout = counts.groupBy(*FIELDS).agg(
@@ -72,7 +71,7 @@ def features_of(token_rows: DataFrame) -> DataFrame:
     evidence = lags.join(fanout, FIELDS).join(top, FIELDS)
     for s in ("a", "b"):
         evidence = evidence.join(
-            F.broadcast(sizes.toDF(f"system_{s}", f"field_{s}", f"form_{s}", f"n_{s}", f"domain_{s}")),
+            sizes.toDF(f"system_{s}", f"field_{s}", f"form_{s}", f"n_{s}", f"domain_{s}"),
             [f"system_{s}", f"field_{s}", f"form_{s}"],
         )
     domain = F.greatest("domain_a", "domain_b", F.lit(1.0))
@@ -83,8 +82,8 @@ def features_of(token_rows: DataFrame) -> DataFrame:
         "n_match",
         (F.col("n_match") / F.col("n_a")).alias("c_ab"),
         (F.col("n_match") / F.col("n_b")).alias("c_ba"),
-        F.col("_lag")[1].alias("lag_median"),
-        (F.col("_lag")[2] - F.col("_lag")[0]).alias("lag_iqr"),
+        F.col("_lag_50").alias("lag_median"),
+        (F.col("_lag_75") - F.col("_lag_25")).alias("lag_iqr"),
         "lag_positive_share",
         F.col("_ab")[0].alias("fanout_ab"),
         F.col("_ab")[1].alias("fanout_ab_p99"),
@@ -112,7 +111,7 @@ def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT,
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / size))).cast("int")
     names = ["system", "field", "form"]
     within = lambda at: F.col("h").bitwiseAND(F.expr(f"shiftleft(1L, {at}) - 1")) == 0
-    sampled = tokens.join(F.broadcast(sizes.withColumn("level", level)), names).where(within("level"))
+    sampled = tokens.join(sizes.withColumn("level", level), names).where(within("level"))
     side = lambda s: sampled.select("token", "h", *[F.col(c).alias(f"{c}_{s}") for c in (*names, "n", "level")])
     name = lambda s: F.concat_ws("/", f"system_{s}", f"field_{s}", f"form_{s}")
     both = side("a").join(side("b").drop("h"), "token").where((name("a") < name("b")) & _other_field())
@@ -123,17 +122,69 @@ def sketch_candidates(identifiers: DataFrame, least: float = LEAST_CONTAINMENT,
     )
 
 
+def score_inputs() -> dict[str, Column]:
+    """What a link's score weighs, beside the bias: from 0 to 1 each."""
+    share = F.coalesce(F.col("lag_positive_share"), F.lit(0.5))
+    return {
+        "containment": F.greatest("c_ab", "c_ba"),
+        "mutual": F.least("c_ab", "c_ba"),
+        "concentration": F.col("concentration"),
+        "chance": F.least(F.col("chance_ratio"), F.lit(1.0)),
+        "steady": F.when(F.abs(share - 0.5) >= 0.3, 1.0).otherwise(0.0),
+    }
+
+
+def score(weights: dict[str, float] = WEIGHTS) -> Column:
+    """The logistic score of a pair of fields."""
+    z = F.lit(weights["bias"])
+    for name, x in score_inputs().items():
+        z = z + weights[name] * x
+    return 1 / (1 + F.exp(-z))
+
+
+def fitted_weights(features: DataFrame, truth: str, ridge: float = 1e-3, rounds: int = 50, close: float = 1e-9) -> dict[str, float]:
+    """Weights of the score by logistic regression: features with a column `truth` that says whether a pair is a link.
+
+    Newton steps over sums that one aggregation a step adds up on Spark: the gradient and the upper half of the
+    Hessian, 27 numbers whatever the number of pairs. The ridge, on all weights but the bias, keeps them finite where
+    the pairs can be told apart without error. Rows without truth are left out; without rows the weights are the given ones.
+    """
+    import numpy as np
+
+    inputs = {"bias": F.lit(1.0), **score_inputs()}
+    names = list(inputs)
+    rows = features.where(F.col(truth).isNotNull()).select(*[x.cast("double").alias(n) for n, x in inputs.items()], F.col(truth).cast("double").alias("_y"))
+    rows = settled(rows.na.drop())
+    held = np.zeros(len(names))
+    keep = np.array([0.0] + [ridge] * (len(names) - 1))
+    for _ in range(rounds):
+        z = sum((F.col(n) * float(w) for n, w in zip(names, held, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        own = rows.withColumn("_e", F.col("_y") - p).withColumn("_s", p * (1 - p))
+        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        sums = own.agg(
+            F.count(F.lit(1)),
+            *[F.sum(F.col(n) * F.col("_e")) for n in names],
+            *[F.sum(F.col(names[i]) * F.col(names[j]) * F.col("_s")) for i, j in pairs],
+        ).first()
+        if not sums[0]:
+            return dict(WEIGHTS)
+        gradient = np.array(sums[1 : 1 + len(names)]) - keep * held
+        hessian = np.diag(keep + 1e-12)
+        for (i, j), v in zip(pairs, sums[1 + len(names) :], strict=True):
+            hessian[i, j] += v
+            hessian[j, i] = hessian[i, j]
+        step = np.linalg.solve(hessian, gradient)
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))  # far from the end a whole step may overshoot
+        held = held + step
+        if np.abs(step).max() < close:
+            break
+    return dict(zip(names, map(float, held), strict=True))
+
+
 def scored(features: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Hard filters, logistic score, direction and role."""
     f = F.col
-    z = (
-        F.lit(weights["bias"])
-        + weights["containment"] * F.greatest("c_ab", "c_ba")
-        + weights["mutual"] * F.least("c_ab", "c_ba")
-        + weights["concentration"] * f("concentration")
-        + weights["chance"] * F.least(f("chance_ratio"), F.lit(1.0))
-        + weights["steady"] * F.when(F.abs(F.coalesce(f("lag_positive_share"), F.lit(0.5)) - 0.5) >= 0.3, 1.0).otherwise(0.0)
-    )
     share = f("lag_positive_share")
     direction = F.when(share >= 0.8, "a_to_b").when(share <= 0.2, "b_to_a").otherwise("undirected")
     narrow = (F.greatest("fanout_ab", "fanout_ba") <= 3) & (F.greatest("fanout_ab_p99", "fanout_ba_p99") <= 20)
@@ -141,7 +192,7 @@ def scored(features: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFram
     role = F.when(narrow, "transaction").when(wide, "batch").otherwise("association")
     kept = (f("concentration") <= MOST_CONCENTRATION) & (f("chance_ratio") <= MOST_CHANCE) & (f("n_match") >= LEAST_MATCHES)
     return features.where(kept).select(
-        *FIELDS, "n_match", "c_ab", "c_ba", "lag_positive_share", (1 / (1 + F.exp(-z))).alias("score"), direction.alias("direction"), role.alias("role")
+        *FIELDS, "n_match", "c_ab", "c_ba", "lag_positive_share", score(weights).alias("score"), direction.alias("direction"), role.alias("role")
     )
 
 
@@ -239,5 +290,5 @@ def review_queue(scored: DataFrame, rejected: DataFrame, raise_by: float = 0.2)
     pair = F.concat_ws("|", F.concat_ws("/", "system_a", "field_a", "form_a"), F.concat_ws("/", "system_b", "field_b", "form_b"))
     open_links = scored.withColumn("link", pair)
     old = rejected.select("link", F.col("score").alias("_old"))
-    left = open_links.join(F.broadcast(old), "link", "left").where("_old is null or score - _old > " + str(raise_by))
+    left = open_links.join(old, "link", "left").where("_old is null or score - _old > " + str(raise_by))
     return left.select("link", "score", "role", (F.col("score") * F.col("n_match")).alias("weight"))

@@ -178,6 +178,6 @@ def with_pins(decisions: DataFrame, pins: DataFrame) -> DataFrame:
     """Policies that an administrator pinned (system, or * for all; field, policy) beat learned ones, but for secrets."""
     exact = pins.where("system <> '*'").select("system", "field", F.col("policy").alias("_exact"))
     everywhere = pins.where("system = '*'").select("field", F.col("policy").alias("_everywhere"))
-    joined = decisions.join(F.broadcast(exact), ["system", "field"], "left").join(F.broadcast(everywhere), "field", "left")
+    joined = decisions.join(exact, ["system", "field"], "left").join(everywhere, "field", "left")
     pinned = F.when(F.col("class") != "secret", F.coalesce("_exact", "_everywhere"))
     return joined.select(*[F.coalesce(pinned, F.col(c)).alias(c) if c == "policy" else c for c in decisions.columns])
