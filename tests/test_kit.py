@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailmark.catalogue import QUERIES
 from trailmark.functions import kit
-from trailmark.operators import evaluation, linking, parsing
+from trailmark.operators import evaluation, linking, parsing, templates
 from trailmark.operators.graph import connected
 from trailmark.plans import analyze, analyze_queries
 from trailmark.sources import readers
@@ -225,18 +226,30 @@ def test_agreement_estimate(spark):
     assert m_u["a"][0] > 0.8 and m_u["a"][1] < 0.1
 
 
-def test_drain_joins_variants(spark):
-    rows = [("s", f"user {name} logged in") for name in ("ann", "bob", "cid")] + [("s", "disk full")]
-    got = {r["template"] for r in parsing.drain(spark.createDataFrame(rows, "system string, message string")).collect()}
-    assert got == {"user <*> logged in", "disk full"}
-
-
-def test_drain_joins_the_parts_of_a_large_group(spark):
-    names = [a + b for a in "abcdefgh" for b in "klmnopqr"]
-    rows = [("s", f"user {name} logged in") for name in names] + [("s", "user access denied now")]
-    found = parsing.drain(spark.createDataFrame(rows, "system string, message string"), most=10).collect()
-    assert len(found) == 65
-    assert {r["template"] for r in found if "logged" in r["masked"]} == {"user <*> logged in"}
+def test_templates_join_variants(spark):
+    rows = [("s", f"user {name} logged in") for name in ("ann", "bob", "cid")] + [("s", "disk full")] * 2 + [("s", "seen once only"), ("s", " "), (None, "no system"), (None, "no system")]
+    got = {(r["system"], r["masked"]): r["template"] for r in templates.templates(spark.createDataFrame(rows, "system string, message string")).collect()}
+    assert got == {
+        **{("s", f"user {name} logged in"): "user <*> logged in" for name in ("ann", "bob", "cid")},
+        ("s", "disk full"): "disk full", ("s", "seen once only"): "<*> <*> <*>", (None, "no system"): "no system",
+    }
+
+
+def test_templates_of_planted_messages(spark):
+    """Words of many values are parameters, whatever the size of the group and the order in which messages come."""
+    r = random.Random(8)
+    names = [a + b + c for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz"]
+    planted = {
+        "user {} logged in": "user <*> logged in", "user {} access denied now {}": "user <*> access denied now <*>",
+        "job started": "job started", "{} closed the door": "<*> closed the door", "cache {} of node {} is full": "cache <*> of node <*> is full",
+    }
+    rows = [(form.format(r.choice(names), r.choice(names)), form) for form in planted for _ in range(600)]
+    for times in (1, 3):
+        shuffled = rows * times
+        r.shuffle(shuffled)
+        df = spark.createDataFrame([("s", m) for m, _ in shuffled], "system string, message string")
+        got = {x["masked"]: x["template"] for x in templates.templates(df).collect()}
+        assert all(got[m] == planted[form] for m, form in rows)
 
 
 def test_drain_query_mines_every_line(spark):

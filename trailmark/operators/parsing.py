@@ -256,44 +256,6 @@ def custom_fields(c: Column, pattern: str, names: list[str]) -> Column:
     return F.when(c.rlike(f"^(?:{pattern})$"), F.create_map(*entries))
 
 
-def drain(messages: DataFrame, share: float = 0.5, most: int = 5_000) -> DataFrame:
-    """system, message -> system, masked, template: masked messages of one length that agree in most words join.
-
-    Mining works on distinct masked messages, by system, length and first word; within a group messages meet the
-    clusters in order of frequency. A group of more than `most` is dealt out by hash, its parts are mined one by one, and
-    the templates found, far fewer, are mined again together.
-    """
-    masked = messages.groupBy("system", kit.mask_message(F.col("message")).alias("masked")).agg(F.count(F.lit(1)).alias("n"))
-    keyed = masked.withColumn("words", F.size(F.split("masked", " "))).withColumn("head", F.split("masked", " ")[0])
-    group = ["system", "words", "head"]
-    sizes = keyed.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts"))
-    keyed = keyed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]).select(*group, "masked", "n", "parts")
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("masked"), F.col("parts")))
-
-    def mine(group):
-        clusters: list[list[str]] = []
-        placed = []
-        for text in group.sort_values(["n", "masked"], ascending=[False, True])["masked"]:
-            words = text.split(" ")
-            best = max(range(len(clusters)), key=lambda i: sum(a == b for a, b in zip(clusters[i], words, strict=True)), default=None)
-            if best is not None and sum(a == b for a, b in zip(clusters[best], words, strict=True)) >= share * len(words):
-                clusters[best] = [a if a == b else "<*>" for a, b in zip(clusters[best], words, strict=True)]
-            else:
-                best = len(clusters)
-                clusters.append(words)
-            placed.append((text, best))
-        out = group.set_index("masked").loc[[t for t, _ in placed]].reset_index()
-        out["template"] = [" ".join(clusters[i]) for _, i in placed]
-        return out[["system", "words", "head", "masked", "n", "parts", "template"]]
-
-    mined_rows = "system string, words int, head string, masked string, n long, parts long, template string"
-    mined = settled(keyed.groupBy(*group, "part").applyInPandas(mine, mined_rows))
-    found = mined.where("parts > 1").groupBy(*group, "parts", F.col("template").alias("masked")).agg(F.sum("n").alias("n"))
-    merged = found.groupBy(*group).applyInPandas(mine, mined_rows).select(*[F.col(c).alias(f"_{c}") for c in group], F.col("masked").alias("_masked"), F.col("template").alias("_template"))
-    whole = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group] + [F.col("template") == F.col("_masked")]
-    return mined.join(merged, whole, "left").select("system", "masked", F.coalesce("_template", "template").alias("template"))
-
-
 def gate_names(fields: DataFrame, least: int = 3) -> DataFrame:
     """system, record, path -> with `name`: the path is shown only if enough records have it, else *."""
     seen = fields.groupBy("system", "path").agg(F.count_distinct("record").alias("records"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import kit
-from trailmark.operators import parsing
+from trailmark.operators import parsing, templates
 from trailmark.plans.registry import query
 from trailmark.sources.tables import TEST_KEY, table
 
@@ -195,12 +195,34 @@ def template_mining(spark, sf_dir):
     return parsing.message_templates(table(spark, sf_dir, "events").select(F.lit("sys_web").alias("system"), message.alias("message")))
 
 
-@query("template_drain")
+#: Templates by the counts of words at their places, from messages m(system, message).
+TREE_SQL = r"""
+w as (select system, list_transform(list_filter(string_split_regex(message, '[\t\n\v\f\r ]+'), lambda x: x <> '')[1:512], lambda x: case when regexp_matches(x, '[0-9@]') then '<*>' else x end) as words from m),
+s as (select system, len(words) as length, words[1] as head, words from w where len(words) > 0),
+heads as (select system, length, head from (select system, length, head, count(*) as n, sum(count(*)) over (partition by system, length) as every from s group by system, length, head) where n >= greatest(2, every / 100)),
+t as (select s.system, s.length, coalesce(h.head, '<*>') as node, words from s left join heads h on s.system = h.system and s.length = h.length and s.head = h.head),
+p as (select system, length, node, unnest(range(length)) as "at", unnest(words) as word from t),
+sizes as (select system, length, node, count(*) as every from t group by all),
+seen as (select system, length, node, "at", word, count(*) as n from p group by all),
+kept as (
+  select seen.system, seen.length, seen.node, list("at" || ':' || word) as kept
+  from seen join sizes on seen.system is not distinct from sizes.system and seen.length = sizes.length and seen.node = sizes.node
+  where n >= greatest(2, every / 20) and word <> '<*>' group by all)
+"""
+
+
+@query(
+    "template_drain",
+    f"""with m as (select role as system, unnest(string_split_regex(text, '\r?\n')) as message from conversations), {TREE_SQL}
+    select distinct t.system, array_to_string(words, ' ') as masked,
+           array_to_string(list_transform(words, lambda x, i: case when list_contains(coalesce(kept, []), (i - 1)::varchar || ':' || x) then x else '<*>' end), ' ') as template
+    from t left join kept k on t.system = k.system and t.length = k.length and t.node = k.node""",
+)
 def template_drain(spark, sf_dir):
     """Every line of every text is a message; blank lines are none."""
     lines = F.explode(F.split("text", "\r?\n"))
     messages = table(spark, sf_dir, "conversations").select(F.col("role").alias("system"), lines.alias("message"))
-    return parsing.drain(messages.where("trim(message) <> ''"))
+    return templates.templates(messages)
 
 
 @query(

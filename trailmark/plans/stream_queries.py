@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators import templates
+from trailmark.plans.kit_queries import TREE_SQL
 from trailmark.plans.registry import query
 from trailmark.session import shared_dir
 from trailmark.sources.tables import SHIPMENTS_SQL, shipment_identifiers, table
@@ -85,6 +87,26 @@ def idempotent_ingest(spark, sf_dir):
     return flows.ingested(spark, f"{at}/table", events.schema)
 
 
+@query(
+    "str_template_tree",
+    f"""with m as (select 'web' as system, 'user ' || user_id || ' did ' || event_type || ' on page p' || chr((97 + event_id % 26)::int) || chr((97 + (event_id // 26) % 26)::int) as message from events), {TREE_SQL}
+    select distinct t.system, array_to_string(words, ' ') as masked,
+           array_to_string(list_transform(words, lambda x, i: case when list_contains(coalesce(kept, []), (i - 1)::varchar || ':' || x) then x else '<*>' end), ' ') as template
+    from t left join kept k on t.system = k.system and t.length = k.length and t.node = k.node""",
+)
+def template_tree(spark, sf_dir):
+    """Words are counted over four files as they come; the counts give the templates."""
+    letter = lambda n: F.char((97 + n % 26).cast("int"))
+    n = F.col("event_id")
+    page = F.concat(F.lit(" on page p"), letter(n), letter(F.floor(n / 26)))
+    message = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), F.col("event_type"), page)
+    messages = table(spark, sf_dir, "events").select(F.lit("web").alias("system"), message.alias("message"))
+    at = f"{shared_dir(spark)}/templates/{uuid.uuid4().hex}"
+    messages.repartition(4).write.parquet(at)
+    stream = flows.read_events(spark, at, messages.schema, files_per_batch=1)
+    return templates.templates(messages, flows.run_to_table(templates.word_counts(stream), "complete"))
+
+
 @query(
     "str_transaction_index",
     f"""
