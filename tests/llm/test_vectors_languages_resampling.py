@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import op11_whitening, op12_language, op13_resampling
-from trailmark.llm.common import table
+from trailmark.llm.common import slices, table
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -198,7 +198,7 @@ def test_grams():
         assert text.tolist() == [i for i, _ in plain]
         assert len(set(digest.tolist())) == len({g for _, g in plain})
         assert len({*zip(digest.tolist(), (g for _, g in plain), strict=True)}) == len({g for _, g in plain})
-    assert [*op12_language.slices(["a" * 5, "b", "c" * 9, "", "d"], 6)] == [(0, 2), (2, 3), (3, 5)]
+    assert [*slices(["a" * 5, "b", "c" * 9, "", "d"], 6)] == [(0, 2), (2, 3), (3, 5)]
 
 
 def test_languages_of_odd_rows(spark, odd_names, no_docs):

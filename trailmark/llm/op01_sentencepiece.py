@@ -26,7 +26,7 @@ from .common import table, text_pass
 
 SPACE = "▁"
 #: Entries that a worker's memory of encoded chunks, and of tested pairs, may hold.
-CHUNKS, PAIRS = 700_000, 1_000_000
+CHUNKS, PAIRS = 250_000, 500_000
 COLUMNS = "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string"
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 ORDER, HASHES, RARE = 4, 7, 1_000
 FOLDS, HELD_OUT = 3, 1
@@ -86,18 +86,6 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     return digest, text[at]
 
 
-def slices(texts: list[str], most: int = HOLD_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `most` code points; a longer text is a range of its own."""
-    begin = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield begin, i
-            begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
@@ -118,7 +106,7 @@ def document_frequencies(rows: DataFrame, order: int = ORDER) -> DataFrame:
         pairs, size = [], 0
         for batch in batches:
             languages, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for begin, end in slices(texts):
+            for begin, end in slices(texts, HOLD_CHARS):
                 own = languages[begin:end]
                 for language in np.unique(own):
                     chosen = [t for t, other in zip(texts[begin:end], own, strict=True) if other == language]
@@ -178,7 +166,7 @@ class Filters:
 
     def judge(self, texts: list[str | None], order: int = ORDER) -> Iterator[tuple[str, float]]:
         known = [t or "" for t in texts]
-        for begin, end in slices(known):
+        for begin, end in slices(known, HOLD_CHARS):
             part = known[begin:end]
             shares = self.shares(part, order) if self.languages else None
             for i, t in enumerate(part):
