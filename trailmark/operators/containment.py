@@ -107,16 +107,12 @@ def probed_candidates(profiles: DataFrame, least: float = LEAST_CONTAINMENT) ->
     widths = [(q, p, band_width(1 << q, 1 << (p + 1), least)) for q in parts for p in parts if p >= q]  # the smaller one asks
     if not widths:
         widths = [(0, 0, 1)]
-    filed = rows
-    bands = F.flatten(
-        F.array(
-            *[
-                F.array(*[F.struct(F.lit(w).alias("width"), F.lit(i).alias("band"), F.xxhash64(F.slice("signature", i * w + 1, w)).alias("key")) for i in range(PERMUTATIONS // w)])
-                for w in WIDTHS
-            ]
-        )
+    banded = lambda w: F.transform(
+        F.sequence(F.lit(0), F.lit(PERMUTATIONS // w - 1)),
+        lambda i: F.struct(F.lit(w).alias("width"), i.alias("band"), F.xxhash64(F.slice("signature", i * w + 1, F.lit(w))).alias("key")),
     )
-    filed = filed.select(*FIELD, "tokens", "part", F.explode(bands).alias("x")).select(*FIELD, "tokens", "part", "x.width", "x.band", "x.key")
+    filed = rows.select(*FIELD, "tokens", "part", F.explode(F.flatten(F.array(*map(banded, WIDTHS)))).alias("x"))
+    filed = filed.select(*FIELD, "tokens", "part", "x.width", "x.band", "x.key")
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in (*FIELD, "tokens")]
     asked = filed.withColumnRenamed("part", "_part").join(
         rows.sparkSession.createDataFrame(widths, "_part int, part int, width int"), ["_part", "width"]
