@@ -103,16 +103,16 @@ def numbered(counted: DataFrame, most: int = COPIES) -> DataFrame:
     return few.union(many).withColumn("_copy", F.explode(F.sequence(first, last))).drop("_part")
 
 
-def slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
+def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts of `most` together at most; a longer text is a range of its own."""
     begin = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
             yield begin, i
             begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n
+    if begin < len(lengths):
+        yield begin, len(lengths)
 
 
 def whole_text(name: str = "text"):

@@ -106,7 +106,7 @@ def document_frequencies(rows: DataFrame, order: int = ORDER) -> DataFrame:
         pairs, size = [], 0
         for batch in batches:
             languages, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for begin, end in slices(texts, HOLD_CHARS):
+            for begin, end in slices([len(t) for t in texts], HOLD_CHARS):
                 own = languages[begin:end]
                 for language in np.unique(own):
                     chosen = [t for t, other in zip(texts[begin:end], own, strict=True) if other == language]
@@ -166,7 +166,7 @@ class Filters:
 
     def judge(self, texts: list[str | None], order: int = ORDER) -> Iterator[tuple[str, float]]:
         known = [t or "" for t in texts]
-        for begin, end in slices(known, HOLD_CHARS):
+        for begin, end in slices([len(t) for t in known], HOLD_CHARS):
             part = known[begin:end]
             shares = self.shares(part, order) if self.languages else None
             for i, t in enumerate(part):
