@@ -108,3 +108,15 @@ def test_hubs_are_not_merged_on(spark):
 def test_nulls_take_no_part(spark):
     index = run(spark, [[row(None, "e1", 0), row("a", None, 0), ("a", None, "e2", None), row("a", "e3", 0, None), row("a", "e3", 0, None)]])
     assert groups(index.members()) == [["e3"]]
+
+
+def test_sessions_with_another_state_store(spark):
+    """A session that names no provider with timers runs the index all the same, and keeps its own setting."""
+    name, plain = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, plain)
+    try:
+        index = run(spark, [[row("a", "e1", 0)], [row("a", "e2", 1)]])
+        assert groups(index.members()) == [["e1", "e2"]] and spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
