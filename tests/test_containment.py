@@ -36,6 +36,14 @@ def test_merged_days_equal_one_pass(spark):
     assert daily.count() == 20
 
 
+def test_estimates_are_rounded(spark):
+    fields = {f: [f"{f}-{i}" for i in range(n)] for f, n in (("f", 3_000), ("g", 4_000), ("h", 5_000))}
+    rows = [("s", f, "raw", t, DAY) for f, held in fields.items() for t in held]
+    for p in containment.merged(containment.daily_profiles(spark.createDataFrame(rows, ROWS))).collect():
+        highest = sorted(map(plain_hash, fields[p["field"]]))[containment.SAMPLE - 1]
+        assert p["tokens"] == round((containment.SAMPLE - 1) * 2.0**60 / highest)
+
+
 def test_samples_of_large_sets(spark):
     rows = [("s", "f", "raw", f"t{i}", DAY) for i in range(30_000)] + [("s", "g", "raw", f"t{i}", DAY) for i in range(24_000, 34_000)]
     found = {p["field"]: p for p in containment.merged(containment.daily_profiles(spark.createDataFrame(rows, ROWS))).collect()}

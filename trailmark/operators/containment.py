@@ -72,7 +72,7 @@ def merged(profiles: DataFrame, last: Column | None = None, days: int = DAYS) ->
     signature = F.array(*[F.min(F.col("signature")[i]) for i in range(PERMUTATIONS)])
     bottom = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sample")))), 1, SAMPLE)
     rows = profiles.groupBy(*FIELD).agg(F.sum("events").alias("events"), signature.alias("signature"), bottom.alias("sample"))
-    estimate = (F.lit(SAMPLE - 1) * float(1 << BITS) / F.element_at("sample", -1)).cast("long")
+    estimate = F.rint(F.lit(SAMPLE - 1) * float(1 << BITS) / F.element_at("sample", -1)).cast("long")
     return rows.withColumn("tokens", F.when(F.size("sample") < SAMPLE, F.size("sample").cast("long")).otherwise(estimate))
 
 
