@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import containment
+from trailmark.operators import containment, linking
 
 ROWS = "system string, field string, form string, token string, observed_at timestamp"
 DAY = datetime.datetime(2024, 1, 1)
@@ -101,3 +101,15 @@ def test_band_widths():
     widths = [containment.band_width(1_000, 1_000, t / 10) for t in range(1, 10)]
     assert widths == sorted(widths)
     assert containment.least_similarity() == pytest.approx(0.0301, abs=1e-3)
+
+
+def test_sizes_far_apart_are_counted(spark):
+    """A small set within one a thousand times larger, and one that shares nothing with it: neither is left to chance."""
+    sets = {"large": range(40_000), "inside": range(0, 40_000, 1_000), "outside": range(50_000, 50_040), "most": range(39_980, 40_020)}
+    rows = [(f"s-{f}", f, "raw", f"t{i}") for f, held in sets.items() for i in held]
+    tokens = spark.createDataFrame(rows, "system string, field string, form string, token string").cache()
+    found = containment.verified_candidates(tokens, containment.all_candidates(containment.signatures(tokens))).collect()
+    assert {(c["field_a"], c["field_b"], c["n_match"]) for c in found} == {("inside", "large", 40), ("large", "most", 20)}
+    ids = tokens.withColumn("observed_at", F.lit(None).cast("timestamp")).withColumn("shape", F.lit("9"))
+    exact = linking.exact_candidates(ids, size=1_024).collect()
+    assert {(c["field_a"], c["field_b"], c["n_a"], c["n_b"], c["n_match"]) for c in exact} == {("inside", "large", 40, 40_000, 40), ("large", "most", 40_000, 40, 20)}

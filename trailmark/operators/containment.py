@@ -3,7 +3,8 @@
 A field's profile of a day is one row: counts, a MinHash signature and the bottom of its hashed tokens. Rows of several days
 merge into what one pass over all days gives. The containment index is an LSH ensemble: signatures lie in
 partitions by size of the set, and each is filed under bands of 1, 2, 4 and 8 of its values; a query probes every
-partition with the widest bands that still find, at that partition's sizes, what it must. Tokens are joined for the candidates only.
+partition with the widest bands that still find, at that partition's sizes, what it must. Where sizes differ so much that
+signatures cannot tell, all pairs of fields are candidates. Tokens are counted for the candidates only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators.linking import FIELDS, LEAST_CONTAINMENT
+from trailmark.operators.linking import FIELDS, LEAST_CONTAINMENT, field_pairs
 from trailmark.session import settled
 
 #: Values of a signature, tokens of a sample, days of the window.
@@ -21,6 +22,8 @@ PERMUTATIONS, SAMPLE, DAYS = 128, 2_048, 7
 WIDTHS = (1, 2, 4, 8)
 #: Chance that a pair at the least containment is found, where the sizes allow it.
 FOUND = 0.98
+#: Where single values miss more than one such pair in so many, pairs are counted without asking the index.
+SURE = 10_000
 #: Bits of a token's hash, and how many tokens the first cut of a sample keeps on average.
 BITS, FIRST_CUT = 60, 4 * SAMPLE
 FIELD = ["system", "field", "form"]
@@ -128,16 +131,33 @@ def probed_candidates(profiles: DataFrame, least: float = LEAST_CONTAINMENT) ->
     return pairs.distinct().select(*FIELDS, F.col("tokens_a").alias("n_a"), F.col("tokens_b").alias("n_b"))
 
 
+def all_candidates(profiles: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
+    """probed_candidates, and all pairs of fields whose sizes differ so much that the index misses one in SURE or more.
+
+    There signatures say too little, and the tokens must be counted (verified_candidates).
+    """
+    rows = profiles.where("tokens > 0").select(*FIELD, "tokens", F.floor(F.log2("tokens")).cast("int").alias("part"))
+    side = lambda s: rows.select(*[F.col(c).alias(f"{c}_{s}") for c in (*FIELD, "tokens", "part")])
+    name = lambda s: F.concat_ws("/", *[f"{c}_{s}" for c in FIELD])
+    other = (F.col("system_a") != F.col("system_b")) | (F.col("field_a") != F.col("field_b"))
+    small, large = F.pow(F.lit(2.0), F.least("part_a", "part_b")), F.pow(F.lit(2.0), F.greatest("part_a", "part_b") + 1)
+    missed = F.pow(1 - least * small / (small + large - least * small), F.lit(PERMUTATIONS))
+    unsure = side("a").join(side("b"), (name("a") < name("b")) & other & (missed > 1 / SURE))  # a row a pair of fields
+    unsure = unsure.select(*FIELDS, F.col("tokens_a").alias("n_a"), F.col("tokens_b").alias("n_b"))
+    return probed_candidates(profiles, least).union(unsure).distinct()
+
+
 def verified_candidates(tokens: DataFrame, pairs: DataFrame, least: float = LEAST_CONTAINMENT) -> DataFrame:
-    """Candidates counted exactly: FIELDS, n_a, n_b, n_match, c_ab, c_ba. Only the tokens of candidates are joined.
+    """Candidates counted exactly: FIELDS, n_a, n_b, n_match, c_ab, c_ba. Only the tokens of candidates are counted, each once a
+    field, however many candidates it is in.
 
     tokens: system, field, form, token, each once.
     """
-    sizes = tokens.groupBy(*FIELD).agg(F.count(F.lit(1)).alias("n"))
+    pairs = settled(pairs.select(*FIELDS))
+    sizes = settled(tokens.groupBy(*FIELD).agg(F.count(F.lit(1)).alias("n")))
     of = lambda s: [F.col(c).alias(f"{c}_{s}") for c in FIELD]
-    left = tokens.select("token", *of("a")).join(pairs.select(*FIELDS), [f"{c}_a" for c in FIELD])
-    both = left.join(tokens.select("token", *of("b")), ["token", *[f"{c}_b" for c in FIELD]])
-    found = both.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n_match"))
+    asked = [pairs.select(*[F.col(f"{c}_{s}").alias(c) for c in FIELD]) for s in ("a", "b")]
+    found = field_pairs(tokens.join(asked[0].union(asked[1]).distinct(), FIELD, "left_semi")).join(pairs, FIELDS, "left_semi")
     for s in ("a", "b"):
         found = found.join(sizes.select(*of(s), F.col("n").alias(f"n_{s}")), [f"{c}_{s}" for c in FIELD])
     shares = found.withColumn("c_ab", F.col("n_match") / F.col("n_a")).withColumn("c_ba", F.col("n_match") / F.col("n_b"))
