@@ -71,29 +71,60 @@ def pairwise_f1(members: DataFrame) -> DataFrame:
     )
 
 
+#: Seconds that next_of looks at together; the time beyond is covered by one row of each such span.
+SPAN_S = 900
+
+
+def next_of(asked: DataFrame, marks: DataFrame) -> DataFrame:
+    """asked: key, at, and others; marks: key, at, id -> asked with `next`: the mark (at, id) of its key that comes first at or
+    after `at`, the least id of those at one time; null if there is none.
+
+    Rows are sorted within a key's spans of time, then the spans among themselves, so nothing meets more than once.
+    """
+    span = F.floor(F.col("at").cast("double") / SPAN_S).alias("_span")
+    wide = [c for c in asked.columns if c not in ("key", "at")]
+    rows = asked.select("key", "at", span, F.struct(*wide).alias("_row"), F.lit(None).cast(marks.schema["id"].dataType).alias("id"), F.lit(False).alias("_mark"))
+    held = marks.where("at is not null").select("key", "at", span, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), "id", F.lit(True).alias("_mark"))
+    mark = lambda c: F.when(F.col("_mark"), c)
+    # backwards, so that the last one seen is the next one
+    back = Window.partitionBy("key", "_span").orderBy(F.desc("at"), F.desc("_mark"), F.desc_nulls_first("id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.union(held).withColumn("_near", F.last(mark(F.struct("at", "id")), ignorenulls=True).over(back)).where("not _mark")
+    # nothing left in the span: the first mark of the next span that has any
+    open_ = near.where("_near is null").select("key", "_span").distinct().withColumn("_first", F.lit(None).cast("struct<at:timestamp,id:%s>" % marks.schema["id"].dataType.simpleString()))
+    firsts = held.groupBy("key", "_span").agg(F.min(F.struct("at", "id")).alias("_first"))
+    spans = firsts.union(open_).groupBy("key", "_span").agg(F.first("_first", ignorenulls=True).alias("_first"))
+    later = Window.partitionBy("key").orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = spans.withColumn("_far", F.last("_first", ignorenulls=True).over(later)).select("key", "_span", "_far")
+    joined = near.join(ahead, ["key", "_span"], "left")
+    return joined.select("key", "at", "_row.*", F.coalesce("_near", "_far").alias("next"))
+
+
 def fault_matches(faults: DataFrame, alerts: DataFrame, grace: str = "2 minutes") -> DataFrame:
-    """The first alert of each fault: of its kind, opened in its window with grace, sharing an affected transaction."""
+    """The first alert of each fault: of its kind, opened in its window with grace, sharing an affected transaction.
+
+    A fault asks for the next alert of its transactions, of its kind, of both, or of all; what comes next is found in
+    sorted order, so that no fault meets more than one alert a transaction.
+    """
     edge = F.expr(f"interval {grace}")
     end = F.coalesce("end_at", F.col("start_at") + F.expr("interval 1 day"))
-    hit = (
-        (F.col("kind").isNull() | (F.col("kind") == F.col("alert_kind")))
-        & F.col("opened_at").between(F.col("start_at") - edge, end + edge)
-        & ((F.size("affected") == 0) | F.arrays_overlap("affected", "alert_txns"))
-    )
-    # a fault with transactions meets the alerts of those, one with a kind the alerts of that kind and day, and only a fault
-    # without either all alerts of its days
-    own = faults.where(F.size("affected") > 0).withColumn("_txn", F.explode("affected"))
-    by_txn = own.join(alerts.withColumn("_txn", F.explode("alert_txns")), "_txn")
-    spread = faults.where(F.size("affected") == 0).withColumn("_day", F.explode(F.sequence(F.to_date(F.col("start_at") - edge), F.to_date(end + edge))))
-    dated = alerts.withColumn("_day", F.to_date("opened_at"))
-    by_kind = spread.where("kind is not null").join(dated.withColumn("kind", F.col("alert_kind")), ["_day", "kind"])
-    by_day = spread.where("kind is null").join(dated, "_day")
-    found = [df.where(hit).select("fault_id", "alert_id", "opened_at") for df in (by_txn, by_kind, by_day)]
-    found = faults.join(found[0].union(found[1]).union(found[2]).distinct(), "fault_id", "left")
-    first = Window.partitionBy("fault_id").orderBy(F.col("opened_at").asc_nulls_last(), F.col("alert_id").asc_nulls_last())
-    ranked = found.withColumn("_at", F.row_number().over(first)).where("_at = 1")
+    key = lambda txn, kind: F.struct(txn.cast("string").alias("txn"), kind.cast("string").alias("kind")).alias("key")
+    none = F.lit(None)
+    asks = faults.where("start_at is not null").select("fault_id", "kind", "affected", (F.col("start_at") - edge).alias("at"), (end + edge).alias("until"))
+    own = asks.where(F.size("affected") > 0).withColumn("_txn", F.explode("affected")).where("_txn is not null")
+    asked = own.select("fault_id", "at", "until", key(F.col("_txn"), F.col("kind")))
+    asked = asked.union(asks.where(F.size("affected") == 0).select("fault_id", "at", "until", key(none, F.col("kind"))))
+    opened = alerts.select(F.col("alert_id").alias("id"), F.col("opened_at").alias("at"), "alert_kind", "alert_txns")
+    by_txn = opened.withColumn("_txn", F.explode(F.array_distinct("alert_txns"))).where("_txn is not null")
+    every = F.array(F.lit(None).cast("string"), F.col("alert_kind").cast("string"))
+    marks = by_txn.withColumn("_kind", F.explode(F.array_distinct(every))).select(key(F.col("_txn"), F.col("_kind")), "at", "id")
+    marks = marks.union(opened.withColumn("_kind", F.explode(F.array_distinct(every))).select(key(none, F.col("_kind")), "at", "id"))
+    # only what some fault asks for
+    marks = marks.join(asked.select("key").distinct(), "key", "left_semi")
+    hits = next_of(asked, marks).where(F.col("next.at") <= F.col("until")).groupBy("fault_id").agg(F.min("next").alias("next"))
+    found = faults.groupBy("fault_id").agg(F.min("start_at").alias("start_at")).join(hits, "fault_id", "left")
+    found = found.select("fault_id", "start_at", F.col("next.at").alias("opened_at"), F.col("next.id").alias("alert_id"))
     wait = F.greatest(F.lit(0.0), F.col("opened_at").cast("double") - F.col("start_at").cast("double"))
-    return ranked.select("fault_id", "alert_id", F.col("alert_id").isNotNull().alias("detected"), wait.alias("wait_s"))
+    return found.select("fault_id", "alert_id", F.col("alert_id").isNotNull().alias("detected"), wait.alias("wait_s"))
 
 
 def detection_scores(matches: DataFrame) -> DataFrame:
@@ -129,13 +160,16 @@ def gap_attribution(faults: DataFrame, matches: DataFrame, alerts: DataFrame) ->
     """
     gaps = faults.where("is_gap")
     said = matches.where("detected").join(alerts.where("is_gap").select("alert_id"), "alert_id").select("fault_id")
-    # they meet by transaction, so that only alerts on the gap's own are compared
-    touched = gaps.select("fault_id", "start_at", "end_at", F.explode("affected").alias("_txn"))
-    blame = alerts.where("not is_gap").select("opened_at", "resolved_at", F.explode("alert_txns").alias("_txn"))
-    during = (F.col("end_at").isNull() | (F.col("opened_at") <= F.col("end_at"))) & (
-        F.col("resolved_at").isNull() | (F.col("resolved_at") >= F.col("start_at"))
-    )
-    blamed = touched.join(blame, "_txn").where(during).select("fault_id").distinct()
+    # in a transaction's order of opening, the latest end so far: an alert opened by the gap's end was open in it if that
+    # reaches the gap's start
+    never = F.lit("9999-12-31").cast("timestamp")
+    touched = gaps.select(F.explode("affected").alias("_txn"), F.coalesce("end_at", never).alias("_at"), F.lit(True).alias("_gap"), "start_at", "fault_id", F.lit(None).cast("timestamp").alias("_until"))
+    blame = alerts.where("not is_gap").select(F.explode("alert_txns").alias("_txn"), F.col("opened_at").alias("_at"), F.lit(False).alias("_gap"), F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast(faults.schema["fault_id"].dataType).alias("fault_id"), F.coalesce("resolved_at", never).alias("_until"))
+    # without an opening an alert is in no gap that ends; in one that does not, it is
+    blame = blame.withColumn("_at", F.coalesce("_at", never))
+    so_far = Window.partitionBy("_txn").orderBy("_at", "_gap").rowsBetween(Window.unboundedPreceding, 0)
+    both = touched.union(blame).where("_txn is not null").withColumn("_latest", F.max("_until").over(so_far))
+    blamed = both.where(F.col("_gap") & (F.col("_latest") >= F.col("start_at"))).select("fault_id").distinct()
     right = gaps.join(said, "fault_id", "left_semi").join(blamed, "fault_id", "left_anti").select("fault_id", F.lit(True).alias("right"))
     return gaps.join(right, "fault_id", "left").agg(F.avg(F.coalesce("right", F.lit(False)).cast("double")).alias("attribution"))
 
