@@ -120,3 +120,16 @@ def test_sessions_with_another_state_store(spark):
         assert groups(index.members()) == [["e1", "e2"]] and spark.conf.get(name) == plain
     finally:
         spark.conf.set(name, before)
+
+
+def test_only_tokens_that_meet_go_through_the_rounds(spark, monkeypatch):
+    from trailmark.operators import assembly
+
+    asked = []
+    monkeypatch.setattr(assembly, "connected", lambda edges, connected=assembly.connected: asked.append(edges.distinct().count()) or connected(edges))
+    rows = [row(f"own{i}", f"e{i:02}", 0) for i in range(20)] + [row(f"t{i // 2}", f"e{i:02}", 0) for i in range(20)]
+    rows += [row("bridge", "e01", 0), row("bridge", "e02", 0), row("bridge", "e02", 0), row(None, "x", 0), row("t0", None, 0)]
+    found = assembly.assemble(spark.createDataFrame(rows, ROWS))
+    assert groups(found) == [["e00", "e01", "e02", "e03"], *[[f"e{i:02}", f"e{i + 1:02}"] for i in range(4, 20, 2)]]
+    assert all(r["txn"] == f"e{0 if r['event_key'] < 'e04' else int(r['event_key'][1:]) // 2 * 2:02}" for r in found.collect())
+    assert asked == [3]  # of 43 rows: the bridge, its two neighbours
