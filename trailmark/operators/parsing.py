@@ -95,51 +95,69 @@ _WORD = rf'[^\s"=]+=(?:{_VALUE})(?=\s|$)|\S+'
 
 def logfmt(c: Column) -> Column:
     """key=value pairs as a map, the last of equal keys; null if a bare word stands among them. Time is linear."""
-    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
     key = r"^([A-Za-z_][\w.\-]*+)="
     unquoted = lambda v: F.when(v.startswith('"'), F.replace(F.regexp_replace(v, r'^"|"$', ""), F.lit('\\"'), F.lit('"'))).otherwise(v)
-    pairs = F.transform(
-        words, lambda w, i: F.struct(F.regexp_extract(w, key, 1).alias("key"), i.alias("at"), unquoted(F.substr(w, F.instr(w, "=") + 1)).alias("value"))
-    )
-    # by key and place: an entry stays if the next one has another key (both lists side by side, each made once)
-    ordered = F.array_sort(pairs)
-    after = F.concat(F.slice(ordered, F.lit(2), F.size(words)), F.array(F.struct(F.lit("").alias("key"), F.lit(-1).alias("at"), F.lit("").alias("value"))))
-    kept = F.zip_with(ordered, after, lambda x, y: F.when(x["key"] != y["key"], F.struct(x["key"].alias("key"), x["value"].alias("value"))))
-    entries = F.filter(kept, lambda x: x.isNotNull())
-    fits = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(rf"{key}(?:{_VALUE})$"))
-    return F.when(fits, F.map_from_entries(entries))
+
+    def mapped(words: Column) -> Column:
+        pairs = F.transform(
+            words, lambda w, i: F.struct(F.regexp_extract(w, key, 1).alias("key"), i.alias("at"), unquoted(F.substr(w, F.instr(w, "=") + 1)).alias("value"))
+        )
+        return kit.let(F.array_sort(pairs), lambda ordered: F.map_from_entries(last_of_each(ordered, words)))
+
+    def last_of_each(ordered: Column, words: Column) -> Column:
+        # by key and place: an entry stays if the next one has another key (both lists side by side)
+        after = F.concat(F.slice(ordered, F.lit(2), F.size(words)), F.array(F.struct(F.lit("").alias("key"), F.lit(-1).alias("at"), F.lit("").alias("value"))))
+        kept = F.zip_with(ordered, after, lambda x, y: F.when(x["key"] != y["key"], F.struct(x["key"].alias("key"), x["value"].alias("value"))))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    fits = lambda words: (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(rf"{key}(?:{_VALUE})$"))
+    # most lines that are none show it in their first word
+    words = F.regexp_extract_all(c, F.lit(_WORD), F.lit(0))
+    return F.when(c.rlike(r"^\s*[A-Za-z_][\w.\-]*+="), kit.let(words, lambda w: F.when(fits(w), mapped(w))))
+
+
+def access_parts(c: Column) -> Column:
+    """The groups of a combined or common log line, each looked for once, in an array; a dash or nothing is null."""
+    found = F.transform(F.array(*[F.regexp_extract(c, ACCESS, i) for i in range(1, 10)]), lambda g: F.when(~g.isin("", "-"), g))
+    return F.when(c.rlike(ACCESS), found)
 
 
 def access_log(c: Column) -> Column:
     """Combined or common log lines as a struct; a dash is absent."""
-    part = lambda i: F.nullif(F.nullif(F.regexp_extract(c, ACCESS, i), F.lit("")), F.lit("-"))
-    return F.when(
-        c.rlike(ACCESS),
-        F.struct(
-            part(1).alias("host"), part(2).alias("user"), kit.timestamp(part(3)).alias("observed_at"), part(4).alias("method"),
-            kit.route(part(5)).alias("route"), part(6).cast("int").alias("status"), part(7).try_cast("bigint").alias("size"),
+    return kit.let(
+        access_parts(c),
+        lambda part: F.when(
+            part.isNotNull(),
+            F.struct(
+                part[0].alias("host"), part[1].alias("user"), kit.timestamp(part[2]).alias("observed_at"), part[3].alias("method"),
+                kit.route(part[4]).alias("route"), part[5].cast("int").alias("status"), part[6].try_cast("bigint").alias("size"),
+            ),
         ),
     )
 
 
-def access_fields(c: Column) -> Column:
-    """The fields of an access-log line by name; what is a dash is absent. The names."""
-    part = lambda i: F.nullif(F.nullif(F.regexp_extract(c, ACCESS, i), F.lit("")), F.lit("-"))
+def access_fields(c: Column, parts: Column | None = None) -> Column:
+    """The fields of an access-log line by name; what is a dash is absent. The names. parts: access_parts
+    where they are at hand."""
     protocol = F.nullif(F.regexp_extract(c, r'\] "\S+ \S+ (\S+)"', 1), F.lit(""))
-    named = {
-        "remote_addr": part(1), "remote_user": part(2), "method": part(4), "path": part(5), "protocol": protocol,
-        "status": part(6), "bytes": part(7), "referer": part(8), "user_agent": part(9),
-    }
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in named.items()])
-    return F.when(c.rlike(ACCESS), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+    def named(part: Column) -> Column:
+        values = {
+            "remote_addr": part[0], "remote_user": part[1], "method": part[3], "path": part[4], "protocol": protocol,
+            "status": part[5], "bytes": part[6], "referer": part[7], "user_agent": part[8],
+        }
+        entries = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in values.items()])
+        return F.when(part.isNotNull(), F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+    return kit.let(access_parts(c), named) if parts is None else named(parts)
 
 
 def message_parameters(c: Column) -> Column:
     """The words of a message that its template masks, as param_0, param_1, ... in their order; null if there is none."""
     words = F.slice(F.filter(F.split(c, r"\s+"), lambda t: t != ""), 1, 512)
+    named = lambda t, i: F.struct(F.concat(F.lit("param_"), i.cast("string")).alias("key"), t.alias("value"))
     masked = F.filter(words, lambda t: t.rlike("[0-9@]"))
-    entries = F.transform(masked, lambda t, i: F.struct(F.concat(F.lit("param_"), i.cast("string")).alias("key"), t.alias("value")))
-    return F.when(F.size(masked) > 0, F.map_from_entries(entries))
+    return kit.let(masked, lambda found: F.when(F.size(found) > 0, F.map_from_entries(F.transform(found, named))))
 
 
 def leading_stamp(c: Column) -> Column:
@@ -154,11 +172,16 @@ def access_stamp(c: Column) -> Column:
 
 def text_line(c: Column) -> Column:
     """Leading time, optional level, message."""
+    found = severity_and_message(c)
+    return F.struct(kit.timestamp(leading_stamp(c)).alias("observed_at"), found["severity"].alias("severity"), found["message"].alias("message"))
+
+
+def severity_and_message(c: Column) -> Column:
+    """Optional level and message of a line, after its leading time."""
     rest = F.regexp_replace(c, r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*", "")
-    level = F.regexp_extract(rest, r"^\[?([A-Za-z]+)\]?[:\s]", 1)
-    severity = kit.level_severity(level)
-    message = F.when(severity.isNotNull(), F.regexp_replace(rest, r"^\[?[A-Za-z]+\]?[:\s]+", "")).otherwise(rest)
-    return F.struct(kit.timestamp(leading_stamp(c)).alias("observed_at"), severity.alias("severity"), message.alias("message"))
+    severity = lambda r: kit.level_severity(F.regexp_extract(r, r"^\[?([A-Za-z]+)\]?[:\s]", 1))
+    message = lambda r, s: F.when(s.isNotNull(), F.regexp_replace(r, r"^\[?[A-Za-z]+\]?[:\s]+", "")).otherwise(r)
+    return kit.let(rest, lambda r: kit.let(severity(r), lambda s: F.struct(s.alias("severity"), message(r, s).alias("message"))))
 
 
 def csv_fields(c: Column, header: list[str], delimiter: str = ",") -> Column:

@@ -51,36 +51,41 @@ def known_sources(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, Da
 
 
 def parse(records: DataFrame, max_bytes: int = 1 << 20) -> DataFrame:
-    """system, source, locator, received_at, text -> with format, fields, times, severity, template, drop reason."""
+    """system, source, locator, received_at, text -> with format, fields, times, severity, template, drop reason.
+
+    Records are dealt out first: work on a line is far more than reading it, and a small file is one task's.
+    """
     text = F.col("text")
-    pairs = parsing.logfmt(text)
     first = F.substring(F.ltrim(text), 1, 1)
     kind = (
         F.when(F.col("nested_format").isNotNull(), F.col("nested_format"))
         .when(first == "{", "json")
         .when(first == "<", "xml")
         .when(F.col("pairs").isNotNull(), "logfmt")
-        .when(text.rlike(parsing.ACCESS), "access_log")
+        .when(F.col("_access").isNotNull(), "access_log")
         .otherwise("text")
     )
-    line = parsing.text_line(text)
-    log = parsing.access_log(text)
+    bare = F.col("nested").isNull() & ~first.isin("{", "<")
+    is_text, is_access = F.col("format") == "text", F.col("format") == "access_log"
+    log, line = F.col("_access"), F.col("_line")
     reason = F.when(F.trim(text) == "", "empty").when(F.octet_length(text) > max_bytes, "too_large").when(
         F.col("format").isin("json", "xml") & F.col("fields").isNull(), "unparseable"
     )
     stamp = F.coalesce(_first(F.col("fields"), TIME_FIELDS), parsing.access_stamp(text), parsing.leading_stamp(text))
-    level = F.coalesce(field_severity(F.col("fields")), F.when(F.col("format") == "text", line["severity"]))
+    level = F.coalesce(field_severity(F.col("fields")), F.when(is_text, line["severity"]))
     template = (
         F.when(F.col("format").isin("json", "logfmt"), kit.key_signature(F.transform(F.map_keys("fields"), kit.safe_segment)))
         .when(F.col("format") == "xml", F.concat(F.lit("xml:"), F.split(F.element_at(F.map_keys("fields"), 1), r"\.")[0]))
-        .when(F.col("format") == "access_log", F.concat_ws(" ", log["method"], log["route"], F.concat((log["status"] / 100).cast("int"), F.lit("xx"))))
+        .when(is_access, F.concat_ws(" ", log[3], kit.route(log[4]), F.concat((log[5].cast("int") / 100).cast("int"), F.lit("xx"))))
         .otherwise(kit.mask_message(line["message"]))
     )
-    nested = parsing.with_nested_fields(records).withColumn("pairs", F.when(F.col("nested").isNull(), pairs))
-    other = F.when(F.col("format") == "access_log", parsing.access_fields(text)).when(F.col("format") == "text", parsing.message_parameters(line["message"]))
-    parsed = nested.withColumn("format", kind).withColumn("fields", F.coalesce("nested", "pairs", other))
-    parsed = parsed.drop("nested", "nested_format", "pairs")
-    parsed = settled(parsed.withColumn("drop_reason", reason).withColumn("_stamp", stamp).withColumn("template", template).withColumn("_level", level))
+    dealt = records.repartition(max(64, 4 * records.sparkSession.sparkContext.defaultParallelism))
+    nested = parsing.with_nested_fields(dealt).withColumn("pairs", F.when(bare, parsing.logfmt(text))).withColumn("_access", F.when(bare, parsing.access_parts(text)))
+    parsed = nested.withColumn("format", kind).withColumn("_line", F.when(is_text, parsing.severity_and_message(text)))
+    other = F.when(is_access, parsing.access_fields(text, log)).when(is_text, parsing.message_parameters(line["message"]))
+    parsed = parsed.withColumn("fields", F.coalesce("nested", "pairs", other))
+    parsed = parsed.withColumn("drop_reason", reason).withColumn("_stamp", stamp).withColumn("template", template).withColumn("_level", level)
+    parsed = settled(parsed.drop("nested", "nested_format", "pairs", "_access", "_line"))
     return settled(
         parsed.withColumn("_found", kit.timestamp(F.col("_stamp")))
         .withColumn("observed_at", F.date_trunc("MILLISECOND", F.coalesce("_found", "received_at")))
@@ -115,16 +120,14 @@ ONE_FORM = {"amount": "amount", "date": "date", "timestamp": "date"}
 def forms_of(value: Column, class_: Column) -> Column:
     """The forms of a value by the class of its field: form and v, those of three characters or more; a value that an earlier
     form of an identifier already has adds nothing."""
-    raw = kit.raw(value)
     form = lambda name, v: F.struct(F.lit(name).alias("form"), v.alias("v"))
-    named = F.array(
-        form("raw", raw),
-        form("norm", F.lower(raw)),
-        form("alnum", kit.alnum(raw)),
-        *[form(f"digits.{i}", F.get(kit.digit_runs(raw), F.lit(i))) for i in range(3)],
-    )
-    long_enough = F.filter(named, lambda x: F.length(x["v"]) >= 3)
-    identifier = F.filter(long_enough, lambda x, i: ~F.exists(F.slice(long_enough, F.lit(1), i), lambda y: y["v"] == x["v"]))
+    first_of_each = lambda found: F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: y["v"] == x["v"]))
+
+    def named(raw: Column, runs: Column) -> Column:
+        return F.array(form("raw", raw), form("norm", F.lower(raw)), form("alnum", kit.alnum(raw)), *[form(f"digits.{i}", F.get(runs, F.lit(i))) for i in range(3)])
+
+    long_enough = lambda raw, runs: F.filter(named(raw, runs), lambda x: F.length(x["v"]) >= 3)
+    identifier = kit.let(kit.raw(value), lambda raw: kit.let(kit.digit_runs(raw), lambda runs: kit.let(long_enough(raw, runs), first_of_each)))
     own = F.when(class_ == "amount", F.array(form("amount", kit.amount_minor_units(value).cast("string")))).when(
         class_.isin("date", "timestamp"), F.array(form("date", kit.date_form(value)))
     )
@@ -149,9 +152,11 @@ def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1,
     """Canonical events: attributes that may be shown, identifiers as tokens, everything else gone.
 
     A record meets the rules of its template once and is worked on where it lies: no value is exploded or shuffled.
+    Rules are written first: Spark then knows their size before it plans, and does not gather a template's records for them.
     Under the cap the fields of a record come in their order, each with its forms in theirs.
     """
-    rows = parsed.where("drop_reason is null").join(rules(parsed, decisions, counted(parsed) if counts is None else counts), ["system", "template_id"], "left")
+    known = settled(rules(parsed, decisions, counted(parsed) if counts is None else counts))
+    rows = parsed.where("drop_reason is null").join(known, ["system", "template_id"], "left")
     entry = F.transform(
         F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,string>"))),
         lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value"), F.coalesce(F.try_element_at("wide", e["key"]), e["value"]).alias("plain"), F.try_element_at("rules", e["key"]).alias("rule")),
@@ -183,6 +188,17 @@ def emit(parsed: DataFrame, decisions: DataFrame, key: bytes, version: int = 1,
     )
 
 
+def attributes_of(events: DataFrame, *columns: str) -> DataFrame:
+    """columns, path, value: one row an attribute. The outer form, as Spark tests the size of what it explodes ahead of it
+    otherwise, and works out all events twice."""
+    return events.select(*columns, F.explode_outer("attributes").alias("path", "value")).where("path is not null")
+
+
+def identifiers_of(events: DataFrame, *columns: str) -> DataFrame:
+    """columns, i: one row an identifier; see attributes_of."""
+    return events.select(*columns, F.explode_outer("identifiers").alias("i")).where("i is not null")
+
+
 def analyze(records: DataFrame, key: bytes, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Canonical events, field decisions, dropped records; with sources given, of those alone."""
     others = None

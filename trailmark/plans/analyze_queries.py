@@ -89,8 +89,7 @@ tokens as (
 def line_identifiers(spark, sf_dir):
     """Every identifier of lines that hold no named fields: paths of requests, parameters of messages."""
     events = analyze.analyze(_lines(spark, sf_dir), TEST_KEY)[0]
-    found = events.select("system", F.explode("identifiers").alias("i"))
-    named = found.select("system", F.element_at(F.split("i.field", "/"), -1).alias("path"), "i.form", "i.token", "i.len")
+    named = analyze.identifiers_of(events, "system").select("system", F.element_at(F.split("i.field", "/"), -1).alias("path"), "i.form", "i.token", "i.len")
     return named.where("path in ('path', 'param_0')")
 
 
@@ -104,7 +103,7 @@ def line_identifiers(spark, sf_dir):
 )
 def line_attributes(spark, sf_dir):
     events = analyze.analyze(_lines(spark, sf_dir), TEST_KEY)[0]
-    shown = events.select("system", "severity", F.explode("attributes").alias("path", "value")).where("path <> 'remote_user'")
+    shown = analyze.attributes_of(events, "system", "severity").where("path <> 'remote_user'")
     return shown.groupBy("system", "path", "value", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
