@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from trailmark.operators import parsing
 from trailmark.plans import analyze
 
 RECORDS = "system string, source string, locator string, received_at timestamp, text string"
@@ -29,3 +30,11 @@ def test_exploded_events_are_worked_out_once(spark):
     assert digests(found) == digests(events.select("identifiers")) > 0
     assert found.count() == 2 * 300 + 200  # raw, alnum; digits of three characters or more
     assert analyze.attributes_of(events, "system").where("path = 'status'").count() == 300
+
+
+def test_name_gate_does_not_gather_the_rows_of_a_path(spark):
+    rows = spark.range(2_000_000).select(F.lit("s").alias("system"), F.col("id").alias("record"), F.explode(F.array(F.lit("kind"), F.concat(F.lit("rare"), F.col("id") % 1_000_000))).alias("path"))
+    few = rows.where("path = 'kind' or record < 10 or record between 1000000 and 1000004")
+    named = parsing.gate_names(few)
+    assert "SortMergeJoin" not in named._jdf.queryExecution().executedPlan().toString()
+    assert {(r["name"], r["n"]) for r in named.groupBy("name").agg(F.count("record").alias("n")).collect()} == {("kind", 2_000_000), ("*", 15)}

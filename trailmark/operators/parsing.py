@@ -280,8 +280,11 @@ def custom_fields(c: Column, pattern: str, names: list[str]) -> Column:
 
 
 def gate_names(fields: DataFrame, least: int = 3) -> DataFrame:
-    """system, record, path -> with `name`: the path is shown only if enough records have it, else *."""
-    seen = fields.groupBy("system", "path").agg(F.count_distinct("record").alias("records"))
+    """system, record, path -> with `name`: the path is shown only if enough records have it, else *.
+
+    The counts, one row a path, are written first: Spark then knows their size and does not gather the rows of a path.
+    """
+    seen = settled(fields.groupBy("system", "path").agg(F.count_distinct("record").alias("records")))
     clear = kit.safe_segment(F.col("path"))
     return fields.join(seen, ["system", "path"]).withColumn("name", F.when(F.col("records") >= least, clear).otherwise("*"))
 
