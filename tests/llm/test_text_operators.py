@@ -1,8 +1,10 @@
 """Operators that judge each text by itself, against plain Python."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -34,6 +36,16 @@ def test_encoding_is_the_library_s(odd_docs):
     compare(op01_sentencepiece.encode_documents(odd_docs, MODEL), odd_docs, expected)
 
 
+def test_an_encoder_ends_with_its_task():
+    """Workers are used again by other stages: nothing but the task holds its tables."""
+    e = op01_sentencepiece.encoder(MODEL)
+    assert e.encode("one two") == e.library.encode("one two")
+    held = weakref.ref(e)
+    del e
+    gc.collect()
+    assert held() is None
+
+
 def test_encoding_of_random_strings():
     e, r = op01_sentencepiece.encoder(MODEL), random.Random(1)
     pieces = [*e.id, *[" ", "  ", "\n", "\t", "é", "日", "\U0001f600", "▁", "\0", "<0x41>", "</s>"] * 200]

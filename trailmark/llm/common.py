@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -88,6 +89,10 @@ def text_pass(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 yield packed(list(work(*(c.to_pylist() for c in part.columns))))
+        # the worker goes on to other tasks, or waits
+        work = batch = part = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)
 

@@ -178,14 +178,9 @@ class PrefixTableEncoder:
         return self.library.decode(ids)
 
 
-_encoders: dict[str, PrefixTableEncoder] = {}
-
-
 def encoder(model_file: str) -> PrefixTableEncoder:
-    """One encoder a Python worker."""
-    if model_file not in _encoders:
-        _encoders[model_file] = PrefixTableEncoder(model_file)
-    return _encoders[model_file]
+    """One encoder a task: a Python worker outlives its task, and should not hold the tables in stages that follow."""
+    return PrefixTableEncoder(model_file)
 
 
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
