@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import op03_ctw, op04_topk, op05_near_dedup, op06_mixing, op08_kneser_ney, op09_sharding, op10_pii
+from trailmark.llm.common import written
 from trailmark.llm.components import components
 from trailmark.llm.queries import ORACLES, QUERIES
 
@@ -201,6 +202,51 @@ def test_components_of_chains(spark):
     assert all(got[i] == 100 for i in range(100, 161)) and got[9] == 7 and got[300] == 3 and 3 in got
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Links that a task holds are contracted: a long chain takes few rounds."""
+    rounds = []
+    monkeypatch.setitem(components.__globals__, "written", lambda df: rounds.append(1) or written(df))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame([(i, i + 1) for i in range(999)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    assert len(rounds) <= 6
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 18])
+def test_components_of_parts(spark, monkeypatch, together):
+    """Whatever a task holds together, and with links repeated and both ways round."""
+    monkeypatch.setitem(components.__globals__, "TOGETHER", together)
+    r = random.Random(together)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(230)]
+    links += [(b, a) for a, b in links[:50]] + links[:20]
+    expected = {x: x for a, b in links if a != b for x in (a, b)}
+    for _ in range(400):
+        for a, b in links:
+            if a != b:
+                expected[a] = expected[b] = min(expected[a], expected[b])
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, rows)) == sorted(expected.items())
+
+
+def test_map_of_ids_takes_few_jobs(spark):
+    """Not a job for every partition of a shuffle."""
+    confs = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    sc = spark.sparkContext
+    sc.setJobGroup("map of ids", "")
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        bits = op05_near_dedup.LEAST_BITS
+        found = np.frombuffer(op05_near_dedup._id_map(spark.range(3, 4_000_000, 70_001), bits), np.uint8)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("map of ids"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert np.flatnonzero(np.unpackbits(found, bitorder="little")).tolist() == sorted(i % bits for i in range(3, 4_000_000, 70_001))
+    assert jobs <= 4
+
+
 def plain_top_k(rows, k=5, every=50):
     """query_id, norm, rank, vec_id, score by comparing each query with each other row."""
     live = [(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]

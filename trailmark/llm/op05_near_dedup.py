@@ -190,7 +190,7 @@ def _neighbours(orders: DataFrame) -> DataFrame:
     At the ends of a sorted part the row beyond is not seen: the row stays, without a neighbour.
     """
     out = pa.schema(
-        [("tree", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("near", pa.int64()), ("shared", pa.int32())]
+        [("tree", pa.int32()), ("k", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("near", pa.int64()), ("near_n", pa.int64()), ("shared", pa.int32())]
     )
 
     def run(batches):
@@ -199,34 +199,35 @@ def _neighbours(orders: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = [batch.column(i).to_numpy() for i in range(6)]
-            near, shared, linked = (np.zeros(batch.num_rows, t) for t in (np.int64, np.int32, bool))
+            near, near_n, shared, linked = (np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, np.int32, bool))
             if held is None:
                 linked[0] = True
             else:
-                rows, (near, shared, linked) = (
+                rows, (near, near_n, shared, linked) = (
                     [np.concatenate([x, y]) for x, y in zip(own, new, strict=True)]
-                    for own, new in zip(held, (rows, (near, shared, linked)), strict=True)
+                    for own, new in zip(held, (rows, (near, near_n, shared, linked)), strict=True)
                 )
             tree, k, k2, k4, i, n = rows
             linked[1:] = (tree[1:] == tree[:-1]) & (k[1:] == k[:-1])
             shared[1:] = linked[1:] * (1 + (k2[1:] == k2[:-1]) * (1 + 2 * (k4[1:] == k4[:-1])))
-            near[1:] = i[:-1]
+            near[1:], near_n[1:] = i[:-1], n[:-1]
             take = np.flatnonzero(linked[:-1] | linked[1:])
-            yield pa.RecordBatch.from_arrays(_columns(rows, near, shared, take), schema=out)
-            held = [r[-1:] for r in rows], [x[-1:] for x in (near, shared, linked)]
+            yield pa.RecordBatch.from_arrays(_columns(rows, near, near_n, shared, take), schema=out)
+            held = [r[-1:] for r in rows], [x[-1:] for x in (near, near_n, shared, linked)]
         if held is not None:
-            yield pa.RecordBatch.from_arrays(_columns(held[0], *held[1][:2], np.array([0])), schema=out)
+            yield pa.RecordBatch.from_arrays(_columns(held[0], *held[1][:3], np.array([0])), schema=out)
 
     parts = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = orders.repartitionByRange(parts, "tree", "k", "k2", "k4", "id")
     return ranged.sortWithinPartitions("tree", "k", "k2", "k4", "id").mapInArrow(
-        run, "tree int,k long,id long,n long,near long,shared int"
+        run, "tree int,k long,id long,n long,near long,near_n long,shared int"
     )
 
 
-def _columns(rows, near, shared, take) -> list[pa.Array]:
+def _columns(rows, near, near_n, shared, take) -> list[pa.Array]:
     tree, k, _, _, i, n = (r[take] for r in rows)
-    return [pa.array(x) for x in (tree, k, i, n)] + [pa.array(near[take], mask=shared[take] == 0), pa.array(shared[take])]
+    alone = shared[take] == 0
+    return [pa.array(x) for x in (tree, k, i, n)] + [pa.array(x[take], mask=alone) for x in (near, near_n)] + [pa.array(shared[take])]
 
 
 def _similar_size(a: str, b: str, percent: int):
@@ -243,7 +244,7 @@ def _id_map(ids: DataFrame, bits: int) -> bytes:
         .agg(F.bitmap_construct_agg("p").alias("m"))
     )
     out = bytearray(bits // 8)
-    for row in buckets.toLocalIterator():
+    for row in buckets.collect():  # bits / 32768 rows; an iterator would be a job for every partition
         begin = (row["b"] - 1) * 4096
         out[begin : begin + 4096] = row["m"]
     return bytes(out)
@@ -253,9 +254,9 @@ def _of_ids(rows: DataFrame, ids: DataFrame, among: bool = True) -> DataFrame:
     """The rows whose `id` is among the ids (or is not), first by a map of them that all tasks have.
 
     Its wrong bits let rows of other ids pass for ids that are asked for, in both directions alike. Rows are left where
-    they lie; only ids too many for a map are joined. Null ids are never among them.
+    they lie; only ids too many for a map are joined. Null ids are never among them. `ids` are read twice.
     """
-    wanted = ids.select("id").where("id is not null").distinct()
+    wanted = ids.select("id").where("id is not null")
     bits = LEAST_BITS
     count = wanted.count()
     while bits < BITS_AN_ID * count:
@@ -285,7 +286,7 @@ class _Sets:
     def of(self, ids: DataFrame) -> DataFrame:
         """id -> id, s: texts of the classes' documents are read again; the digest tells which row has the set."""
         width = self.width
-        wanted = self.classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2")
+        wanted = written(self.classes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "doc", "d1", "d2"))
 
         def make() -> Callable:
             def work(_, texts):
@@ -297,8 +298,8 @@ class _Sets:
             return work
 
         found = text_pass(_of_ids(self.docs, wanted.select(F.col("doc").alias("id"))), make, "d1 long,d2 long,s binary")
-        # rows that repeat an id have the same set again, or others
-        return wanted.join(found, ["d1", "d2"]).select("id", "s").dropDuplicates(["id"])
+        # rows that repeat an id have the same set again, or others; the join finds them dealt out as it needs them
+        return wanted.join(found.dropDuplicates(["d1", "d2"]), ["d1", "d2"]).select("id", "s")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b whose sets are similar: signatures thin them out, full sets decide."""
@@ -329,7 +330,7 @@ class _Sets:
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         ids = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id")))
-        return written(self._joined(likely, written(self.of(ids))).mapInArrow(similar, "a long,b long").distinct())
+        return written(self._joined(likely, written(self.of(ids))).mapInArrow(similar, "a long,b long"))
 
     @staticmethod
     def _joined(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -488,16 +489,17 @@ def _grouped(docs: DataFrame, width: int, percent: int, crowded: int, neighbours
 
     members = written(_neighbours(_orders(classes, DEPTH)))
     closest = Window.partitionBy("id").orderBy(F.desc("shared"), "near")
-    sizes = classes.select(F.col("id").alias("near"), F.col("n").alias("near_n"))
+    # dealt out by id, then by a, once for all steps that follow: an id has a neighbour in each order at most
     pairs = (
         members.where("near is not null and near <> id")
-        .groupBy("id", "near", "n")
+        .repartition("id")
+        .groupBy("id", "near", "n", "near_n")
         .agg(F.max("shared").alias("shared"))
         .withColumn("at", F.row_number().over(closest))
         .where(F.col("at") <= neighbours)
-        .join(sizes, "near")
         .where(_similar_size("n", "near_n", percent))
         .select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b"))
+        .repartition("a")
         .distinct()
     )
     labels = written(components(sets.linked(pairs)))
@@ -515,7 +517,7 @@ def _grouped(docs: DataFrame, width: int, percent: int, crowded: int, neighbours
             .join(label.toDF("b", "cb"), "b", "left")
             .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         )
-        roots = written(components(bridged)).toDF("root", "top")
+        roots = written(components(written(bridged))).toDF("root", "top")
         # ids that only now have a link come in through `roots`
         labels = (
             labels.join(roots, labels["component"] == roots["root"], "left")
