@@ -298,8 +298,10 @@ class _Sets:
             return work
 
         found = text_pass(_of_ids(self.docs, wanted.select(F.col("doc").alias("id"))), make, "d1 long,d2 long,s binary")
-        # rows that repeat an id have the same set again, or others; the join finds them dealt out as it needs them
-        return wanted.join(found.dropDuplicates(["d1", "d2"]), ["d1", "d2"]).select("id", "s")
+        # rows that repeat an id have the same set again, or others; dealt out as the join needs them, before sets are
+        # sorted, so that no sort stands beside the Python that reads texts
+        found = found.repartition("d1", "d2").dropDuplicates(["d1", "d2"])
+        return wanted.join(found, ["d1", "d2"]).select("id", "s")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b whose sets are similar: signatures thin them out, full sets decide."""
