@@ -1,6 +1,7 @@
 """The transaction index on a stream of many files."""
 
 import datetime
+import json
 import random
 import uuid
 from collections import defaultdict
@@ -133,3 +134,12 @@ def test_only_tokens_that_meet_go_through_the_rounds(spark, monkeypatch):
     assert groups(found) == [["e00", "e01", "e02", "e03"], *[[f"e{i:02}", f"e{i + 1:02}"] for i in range(4, 20, 2)]]
     assert all(r["txn"] == f"e{0 if r['event_key'] < 'e04' else int(r['event_key'][1:]) // 2 * 2:02}" for r in found.collect())
     assert asked == [3]  # of 43 rows: the bridge, its two neighbours
+
+
+def test_tokens_that_end_alike_share_a_state(spark):
+    first = [row("a-1", "e1", 0), row("b-1", "e2", 0)] + [row(f"t{i}-1", f"x{i}", 0) for i in range(9)]
+    index = run(spark, [first, [row("b-1", "e3", 10)], [row("v-2", "e4", 20)], [row("a-1", "e5", 21), row("b-1", "e6", 21)]])
+    # a-1 and the others were idle too long and start anew, b-1 was not
+    assert groups(index.members()) == [["e1"], ["e2", "e3", "e6"], ["e4"], ["e5"], *[[f"x{i}"] for i in range(9)]]
+    state = spark.read.format("statestore").option("stateVarName", "label").load(f"{index.folder}/state").collect()
+    assert {r["key"]["token"]: set(json.loads(r["value"]["tokens"])) for r in state} == {"-1": {"a-1", "b-1"}, "-2": {"v-2"}}
