@@ -143,3 +143,32 @@ def test_tokens_that_end_alike_share_a_state(spark):
     assert groups(index.members()) == [["e1"], ["e2", "e3", "e6"], ["e4"], ["e5"], *[[f"x{i}"] for i in range(9)]]
     state = spark.read.format("statestore").option("stateVarName", "label").load(f"{index.folder}/state").collect()
     assert {r["key"]["token"]: set(json.loads(r["value"]["tokens"])) for r in state} == {"-1": {"a-1", "b-1"}, "-2": {"v-2"}}
+
+
+def test_hubs_and_members_share_one_assembly(spark, monkeypatch):
+    from trailmark.operators import assembly
+
+    r = random.Random(5)
+    rows = [("s", "lot", f"t{r.randint(0, 40)}", f"e{r.randint(0, 60):02}", DAY) for _ in range(70)]
+    rows += [("s", "file", "hub", f"e{i:02}", DAY) for i in range(0, 60, 2)] + [("s", "file", "hub", f"only{i}", DAY) for i in range(3)]
+    rows += [("s", "order", "many", f"m{i}", DAY) for i in range(9)] + [("s", "lot", "pair", f"m{i}", DAY) for i in range(9)]  # on many events, no hubs
+    rows += [("s", "lot", "many", "e01", None), (None, None, None, "x", DAY), ("s", "lot", "alone", None, DAY), *rows[:5]]
+    ids = spark.createDataFrame(rows, "system string, field string, token string, event_key string, observed_at timestamp")
+    made = []
+    monkeypatch.setattr(assembly, "_events", lambda *a, events=assembly._events: made.append(1) or events(*a))
+    hubs, members = assembly.hubs_and_members(ids, 4)
+    assert [h["token"] for h in hubs.collect()] == ["hub"] and len(made) == 1
+    expected = assembly.assemble(ids, hubs)
+    assert sorted(map(tuple, members.collect())) == sorted(map(tuple, expected.collect()))
+    assert [g for g in groups(members) if "m0" in g][0][-9:] == [f"m{i}" for i in range(9)]
+
+
+def test_first_counts_of_hubs_shuffle_few_bytes(spark, monkeypatch):
+    from trailmark.operators import assembly
+
+    widths = []
+    monkeypatch.setattr(assembly, "settled", lambda df, settled=assembly.settled: widths.append(df.columns) or settled(df))
+    rows = [("s", "f", f"t{i // 6}", f"e{i}", DAY) for i in range(12)]
+    ids = spark.createDataFrame(rows, "system string, field string, token string, event_key string, observed_at timestamp")
+    assembly.hub_tokens(ids, 5).collect()
+    assert widths[0] == ["_part"]
